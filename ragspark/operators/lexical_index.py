@@ -1,13 +1,14 @@
-"""The text index: postings, document lengths, document frequencies and corpus statistics.
+"""The text index: postings, document frequencies and corpus statistics.
 
 Postings hold one row per (field, term, article) with the term frequency and, copied next to
-it, the length of that field, so scoring never joins back to a length table. All groupings are
-keyed by article as well as term, or are counts with a map-side combine, so a term found in
-every article loads no single task.
+it, the length of that field, so scoring never joins back to a length table. The stored table
+is bucketed by article: all postings of an article lie in one bucket, a common word is spread
+evenly over all of them, and a search adds up scores inside each bucket without a shuffle.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,7 @@ from ..functions.text import tokens
 from ..sources.tables import table_exists, write_table
 
 FIELDS = ("title", "text")
-TERM_BUCKETS = 16
+ROW_GROUP_BYTES = 32 * 1024 * 1024
 
 
 @dataclass(frozen=True)
@@ -49,10 +50,6 @@ def field_lengths(articles: DataFrame, fields=FIELDS) -> DataFrame:
             .where("dl > 0"))
 
 
-def term_bucket(term):
-    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
-
-
 def postings(articles: DataFrame, fields=FIELDS) -> DataFrame:
     """(field, term, article_id, dl, tf)."""
     rows = _fields(articles, fields).select(
@@ -72,32 +69,52 @@ def corpus_stats(lengths: DataFrame) -> DataFrame:
 
 def build_index(articles: DataFrame, fields=FIELDS) -> LexicalIndex:
     """Index defined over ``articles`` without writing anything."""
-    rows = postings(articles, fields).withColumn("term_bucket", term_bucket("term"))
-    return LexicalIndex(articles, rows, document_frequency(rows),
-                        corpus_stats(field_lengths(articles, fields)))
+    rows = postings(articles, fields)
+    return LexicalIndex(articles, rows, document_frequency(rows), corpus_stats(field_lengths(articles, fields)))
 
 
-def save_index(articles: DataFrame, path: str, fields=FIELDS, mode: str = "ignore") -> LexicalIndex:
+def save_index(articles: DataFrame, path: str, fields=FIELDS, mode: str = "ignore",
+               buckets: int | None = None) -> LexicalIndex:
     """Write the index tables under ``path`` and return them as read back.
 
-    ``mode='ignore'`` leaves an existing index alone. Postings are laid out by term bucket and,
-    inside a file, sorted by term: a few query terms read few buckets and few row groups, and a
-    frequent term is spread over files because the article takes part in the range key.
+    ``mode='ignore'`` leaves an existing index alone. The articles are shuffled once, as raw
+    text, by article; tokens are counted where they land and go straight into that bucket's
+    file, sorted by term so that its row groups can be skipped. ``buckets`` should be about the
+    bytes of the text over 512 MB, and is at least the cores of the cluster by default.
     """
     spark = articles.sparkSession
     if mode != "ignore" or not table_exists(spark, f"{path}/stats"):
-        rows = postings(articles, fields).withColumn("term_bucket", term_bucket("term"))
-        laid_out = (rows.repartitionByRange("term_bucket", "field", "term", "article_id")
-                    .sortWithinPartitions("term_bucket", "field", "term", "article_id"))
-        write_table(laid_out, f"{path}/postings", partition_by=["term_bucket"])
-        stored = spark.read.parquet(f"{path}/postings")
-        write_table(document_frequency(stored), f"{path}/doc_freq")
-        write_table(articles.select("article_id", *fields), f"{path}/articles")
+        n = buckets or spark.sparkContext.defaultParallelism
+        source = articles.select("article_id", *fields)
+        rows = postings(source.repartition(n, "article_id"), fields)
+        (rows.write.mode("overwrite").option("path", f"{path}/postings").option("compression", "zstd")
+         .option("parquet.block.size", ROW_GROUP_BYTES)
+         .bucketBy(n, "article_id").sortBy("field", "term").saveAsTable(_table_name(path)))
+        write_table(source, f"{path}/articles")
+        write_table(document_frequency(spark.read.parquet(f"{path}/postings")), f"{path}/doc_freq")
         # written last: its presence says the index is whole
-        write_table(corpus_stats(field_lengths(articles, fields)), f"{path}/stats")
+        write_table(corpus_stats(field_lengths(source, fields)).withColumn("buckets", F.lit(n)), f"{path}/stats")
     return load_index(spark, path)
 
 
+def _table_name(path: str) -> str:
+    return f"ragspark_postings_{hashlib.md5(path.encode()).hexdigest()[:12]}"
+
+
+def _bucketed(spark: SparkSession, path: str, buckets: int) -> DataFrame:
+    """The postings as a bucketed table; a new session declares it over the files that are there."""
+    name = _table_name(path)
+    if not spark.catalog.tableExists(name):
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}"
+                            for f in spark.read.parquet(f"{path}/postings").schema.fields)
+        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (article_id) "
+                  f"SORTED BY (field, term) INTO {buckets} BUCKETS LOCATION '{path}/postings'")
+    return spark.table(name)
+
+
 def load_index(spark: SparkSession, path: str) -> LexicalIndex:
-    return LexicalIndex(*(spark.read.parquet(f"{path}/{name}")
-                          for name in ("articles", "postings", "doc_freq", "stats")))
+    stats = spark.read.parquet(f"{path}/stats")
+    buckets = stats.agg(F.max("buckets").alias("n")).first()["n"]
+    posting_rows = _bucketed(spark, path, buckets) if buckets else spark.read.parquet(f"{path}/postings")
+    return LexicalIndex(spark.read.parquet(f"{path}/articles"), posting_rows,
+                        spark.read.parquet(f"{path}/doc_freq"), stats.select("field", "n", "avgdl"))

@@ -5,6 +5,10 @@ avgdl``. The score of an article within one ``grp`` is the sum over its matching
 ``w * tf / (tf + k1 * (1 - b + b * dl / avgdl))``; an article's final score is the best of its
 groups. One group per field gives the best-field search, one group for all fields the additive
 boolean search.
+
+Counted and found small, the terms are broadcast to the postings, which are bucketed by
+article. Joining, adding up and keeping the best ``k`` of a bucket then all happen in place,
+and ``k`` rows per question and bucket are the only ones shuffled.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.text import tokens
 from ..session import BROADCAST_LIMIT_BYTES, byte_size, cut
-from .lexical_index import LexicalIndex, term_bucket
+from .lexical_index import LexicalIndex
 
 # Fixed values of the scoring formula and of the field weights.
 K1 = 1.2
@@ -36,7 +40,7 @@ SALT_POSTINGS = 1_000_000
 # so there are at most MAX_FREQUENT_TERMS of them.
 MAX_FREQUENT_TERMS = 200_000
 
-_WEIGHTED = ["qid", "grp", "field", "term_bucket", "term", "w", "avgdl"]
+_WEIGHTED = ["qid", "grp", "field", "term", "w", "avgdl"]
 
 
 def question_terms(questions: DataFrame, fields=tuple(FIELD_WEIGHTS)) -> DataFrame:
@@ -49,14 +53,16 @@ def question_terms(questions: DataFrame, fields=tuple(FIELD_WEIGHTS)) -> DataFra
 def weigh_terms(terms: DataFrame, index: LexicalIndex, weights: dict[str, float],
                 additive: bool = False) -> DataFrame:
     """Attach df, field statistics and the weight ``boost * idf``. Unknown terms drop out."""
-    boost = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
+    def by_field(values) -> Column:
+        return F.create_map(*[F.lit(x) for pair in zip(weights, values) for x in pair])[F.col("field")]
+
+    groups = [0] * len(weights) if additive else range(len(weights))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     return (terms
             .join(index.doc_freq, ["field", "term"])
             .join(F.broadcast(index.stats), "field")  # one row per field
-            .select("qid", (F.lit("") if additive else F.col("field")).alias("grp"), "field",
-                    term_bucket("term").alias("term_bucket"), "term", "df",
-                    (boost[F.col("field")] * idf).alias("w"), "avgdl"))
+            .select("qid", by_field(groups).alias("grp"), "field", "term", "df",
+                    (by_field(weights.values()) * idf).alias("w"), "avgdl"))
 
 
 def _impact() -> Column:
@@ -67,12 +73,12 @@ def _impact() -> Column:
 def _match(terms: DataFrame, index: LexicalIndex, small: bool) -> DataFrame:
     """Weighted terms joined to their postings, one row per (question term, article).
 
-    ``small`` says the terms were counted and may be broadcast: postings then stay where they
-    are. Otherwise both sides shuffle, and terms frequent enough to overload a task are salted
-    by article.
+    ``small`` says the terms were counted and may be broadcast: postings then stay in their
+    buckets. Otherwise both sides shuffle, and terms frequent enough to overload a task are
+    salted by article.
     """
     rows = terms.select(*_WEIGHTED)
-    keys = ["field", "term_bucket", "term"]
+    keys = ["field", "term"]
     if small:
         return index.postings.join(F.broadcast(rows), keys)
     total = index.doc_freq.agg(F.sum("df").alias("total")).scalar()
@@ -87,74 +93,86 @@ def _match(terms: DataFrame, index: LexicalIndex, small: bool) -> DataFrame:
     return spread.join(copies, [*keys, "salt"])
 
 
-def _group_scores(matches: DataFrame) -> DataFrame:
-    return (matches.select("qid", "grp", "article_id", _impact().alias("impact"))
-            .groupBy("qid", "grp", "article_id").agg(F.sum("impact").alias("raw")))
+def _impacts(matches: DataFrame) -> DataFrame:
+    return matches.select("qid", "grp", "article_id", _impact().alias("impact"))
+
+
+def _best_group(impacts: DataFrame, groups: int) -> DataFrame:
+    """(qid, article_id, raw): sum of impacts per group, then the best group.
+
+    One aggregate with a sum per group; bucketed impacts need no shuffle for it.
+    """
+    sums = [F.coalesce(F.sum(F.when(F.col("grp") == g, F.col("impact"))), F.lit(0.0)) for g in range(groups)]
+    if groups == 1:
+        sums = [F.sum("impact")]
+    return (impacts.groupBy("qid", "article_id")
+            .agg(*[s.alias(f"sum{g}") for g, s in enumerate(sums)])
+            .select("qid", "article_id",
+                    (F.greatest(*[f"sum{g}" for g in range(groups)]) if groups > 1 else F.col("sum0")).alias("raw")))
 
 
-def _keep_best(scored: DataFrame, keys: list[str], k: int, order: Column) -> DataFrame:
-    window = W.partitionBy(*keys).orderBy(order.desc(), F.col("article_id").asc())
+def _keep_best(scored: DataFrame, k: int, order: Column) -> DataFrame:
+    window = W.partitionBy("qid").orderBy(order.desc(), F.col("article_id").asc())
     return scored.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
 
 
-def _pruned_scores(terms: DataFrame, index: LexicalIndex, k: int, small: bool) -> DataFrame:
-    """Group scores of every article that can reach the best ``k``, and exact for those.
+def _pruned(terms: DataFrame, index: LexicalIndex, k: int, groups: int, small: bool) -> DataFrame:
+    """Impacts of every article that can reach the best ``k``, complete where it matters.
 
-    1. The rarest terms of a question give some article scores; the k-th of them is a lower
-       bound for the final k-th.
-    2. Terms whose weights together stay below that bound cannot lift an article into the
-       result on their own (an impact never exceeds its weight). Only the other terms,
-       the *deciding* ones, produce candidates.
-    3. Candidates that can still reach the bound get the impacts of the remaining terms by an
-       equi-join on (field, term, article).
+    1. The rarest terms of a question give some articles a partial score; the k-th of them is a
+       lower bound for the final k-th.
+    2. Terms of a group whose weights together stay below that bound cannot lift an article
+       into the result (an impact never exceeds its weight). Only the other terms, the
+       *deciding* ones, produce candidates.
+    3. Candidates that can still reach the bound get the impacts of the group's remaining terms
+       by an equi join on (article, field, term).
 
     Long postings of common words are thus met by few candidates instead of by every question.
     """
     hint = F.broadcast if small else (lambda df: df)  # what follows is no larger than the terms
-    rare_first = W.partitionBy("qid", "grp").orderBy("df", "field", "term")
+    rare_first = W.partitionBy("qid").orderBy("df", "grp", "field", "term")
     seeds = (terms
              .withColumn("seen", F.sum("df").over(rare_first.rowsBetween(W.unboundedPreceding, 0)))
              .withColumn("nth", F.row_number().over(rare_first))
              .where((F.col("nth") == 1) | (F.col("seen") <= SEED_POSTINGS)))
-    bound = (_keep_best(_group_scores(_match(seeds, index, small)), ["qid", "grp"], k, F.col("raw"))
-             .where(F.col("rank") == k)
-             .select("qid", "grp", (F.col("raw") - 10.0 ** -(SCORE_DIGITS - 1)).alias("bound")))
+    first = _keep_best(_best_group(_impacts(_match(seeds, index, small)), groups), k, F.col("raw"))
+    # a margin below the bound keeps articles that tie with the k-th once scores are rounded
+    bound = first.where(F.col("rank") == k).select("qid", (F.col("raw") - 10.0 ** -(SCORE_DIGITS - 1)).alias("bound"))
     light_first = (W.partitionBy("qid", "grp").orderBy("w", "field", "term")
                    .rowsBetween(W.unboundedPreceding, 0))
-    split = cut(terms.join(bound, ["qid", "grp"], "left")
+    split = cut(terms.join(bound, "qid", "left")
                 .withColumn("below", F.sum("w").over(light_first))
                 .withColumn("decides", F.coalesce(F.col("below") >= F.col("bound"), F.lit(True))))
-    deciding, rest = split.where("decides"), split.where("NOT decides")
+    deciding, rest = split.where("decides"), split.where("NOT decides").select(*_WEIGHTED)
     limits = split.groupBy("qid", "grp").agg(
         F.max("bound").alias("bound"),
         F.coalesce(F.max(F.when(~F.col("decides"), F.col("below"))), F.lit(0.0)).alias("rest_w"))
-    candidates = cut(_group_scores(_match(deciding, index, small))
-                     .join(hint(limits), ["qid", "grp"])
-                     .where(F.col("bound").isNull() | (F.col("raw") + F.col("rest_w") >= F.col("bound")))
-                     .select("qid", "grp", "article_id", "raw"))
-    wanted = candidates.join(hint(rest.select(*_WEIGHTED)), ["qid", "grp"])
-    added = (wanted.join(index.postings, ["field", "term_bucket", "term", "article_id"])
-             .select("qid", "grp", "article_id", _impact().alias("raw")))
-    return (candidates.unionByName(added)
-            .groupBy("qid", "grp", "article_id").agg(F.sum("raw").alias("raw")))
-
-
-def rank_articles(terms: DataFrame, index: LexicalIndex, k: int, prune: bool | None = None,
+    partial = (_impacts(_match(deciding, index, small))
+               .groupBy("qid", "grp", "article_id").agg(F.sum("impact").alias("impact")))
+    candidates = cut(partial.join(hint(limits), ["qid", "grp"])
+                     .where(F.col("bound").isNull() | (F.col("impact") + F.col("rest_w") >= F.col("bound")))
+                     .select("qid", "grp", "article_id", "impact"))
+    asked = hint(rest.select("field", "term").distinct())
+    common = index.postings.join(asked, ["field", "term"], "left_semi")
+    added = _impacts(candidates.drop("impact").join(hint(rest), ["qid", "grp"])
+                     .join(common, ["article_id", "field", "term"]))
+    return candidates.unionByName(added)
+
+
+def rank_articles(terms: DataFrame, index: LexicalIndex, k: int, groups: int = 1, prune: bool | None = None,
                   broadcast_limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
     """(qid, article_id, score, rank): the best ``k`` articles of each question, exactly.
 
-    ``prune=None`` decides by the number of postings the terms would touch.
+    ``groups`` is the number of ``grp`` values, counted from 0. ``prune=None`` decides by the
+    number of postings the terms would touch.
     """
     size = terms.agg(byte_size(*_WEIGHTED).alias("bytes"), F.sum("df").alias("pairs")).first()
     small = size["bytes"] <= broadcast_limit
     if prune is None:
         prune = (size["pairs"] or 0) > PRUNE_ABOVE_PAIRS
-    scores = _pruned_scores(terms, index, k, small) if prune else _group_scores(_match(terms, index, small))
-    scored = scores.withColumn("score", F.round("raw", SCORE_DIGITS))
-    # An article's best group also ranks it within that group's k, so the cut per group loses nothing.
-    best = (_keep_best(scored, ["qid", "grp"], k, F.col("score"))
-            .groupBy("qid", "article_id").agg(F.max("score").alias("score")))
-    return _keep_best(best, ["qid"], k, F.col("score")).select("qid", "article_id", "score", "rank")
+    impacts = _pruned(terms, index, k, groups, small) if prune else _impacts(_match(terms, index, small))
+    scored = _best_group(impacts, groups).withColumn("score", F.round("raw", SCORE_DIGITS))
+    return _keep_best(scored, k, F.col("score")).select("qid", "article_id", "score", "rank")
 
 
 def match_text(questions: DataFrame, index: LexicalIndex, field: str = "text", k: int = PAGE_SIZE,
@@ -169,7 +187,7 @@ def multi_match(questions: DataFrame, index: LexicalIndex, weights=None, k: int
     """Search several fields; the best weighted field counts."""
     weights = weights or FIELD_WEIGHTS
     terms = question_terms(questions, tuple(weights))
-    return rank_articles(weigh_terms(terms, index, weights), index, k, **how)
+    return rank_articles(weigh_terms(terms, index, weights), index, k, groups=len(weights), **how)
 
 
 def with_page_content(hits: DataFrame, index: LexicalIndex) -> DataFrame:

@@ -110,7 +110,8 @@ def _hashed(name: str, source: str, key: str, text: str, dims: int = 384) -> str
         FROM (SELECT {key}, unnest({_tokens(text)}) AS term FROM {source}))
   GROUP BY ALL),
 {name} AS (
-  SELECT {key}, dim, CAST(total / sqrt(CAST(sum(total * total) OVER (PARTITION BY {key}) AS DOUBLE)) AS FLOAT) AS weight
+  SELECT {key}, dim, CASE WHEN total = 0 THEN 0 ELSE
+         CAST(total / sqrt(CAST(sum(total * total) OVER (PARTITION BY {key}) AS DOUBLE)) AS FLOAT) END AS weight
   FROM {name}_buckets)"""
 
 
@@ -227,8 +228,7 @@ _ALL_VARIANTS = "SELECT unnest(['default', " + ", ".join(f"'{v.name}'" for v in
 OUTPUT_LINES = """lines AS (
   SELECT doc_id, doc_id % 8 AS k, title, lang,
          CAST(to_json({'question': title, 'answer': lang}) AS VARCHAR) AS good,
-         CAST(to_json({'article_id': doc_id, 'question': title}) AS VARCHAR) AS by_id,
-         CAST(to_json({'Question': title, 'answer': lang}) AS VARCHAR) AS renamed
+         CAST(to_json({'article_id': doc_id, 'question': title}) AS VARCHAR) AS by_id
   FROM (SELECT *, split_part(text, chr(10), 1) AS title FROM documents)),
 repaired AS (
   SELECT doc_id, CAST(0 AS INTEGER) AS line_no, 'Here are the lines:' AS line FROM lines
@@ -236,7 +236,7 @@ repaired AS (
   UNION ALL SELECT doc_id, 1, CASE
     WHEN k IN (0, 1, 4) THEN good
     WHEN k = 2 THEN good || ' trailing'
-    WHEN k = 3 THEN renamed
+    WHEN k = 3 THEN replace(good, '"question":', '"Question":')
     WHEN k = 5 THEN by_id
     WHEN k = 6 THEN substr(good, 1, length(good) - 1)
     ELSE '"' || replace(good, '"', '\\"') || '"' END FROM lines)"""
