@@ -51,8 +51,12 @@ def float_lists(matrix: np.ndarray) -> pa.ListArray:
 
 
 def embed(rows: DataFrame, id_column: str, text_column: str,
-          encoder: Callable[[], TextEncoder] | None = None, dims: int = DIMS) -> DataFrame:
-    """(id, embedding): one vector per row, without a shuffle.
+          encoder: Callable[[], TextEncoder] | None = None, dims: int = DIMS,
+          partitions: int | None = None) -> DataFrame:
+    """(id, embedding): one vector per row, without a shuffle unless ``partitions`` asks for one.
+
+    A corpus comes in enough files to keep all cores busy; set ``partitions`` for inputs that
+    are small next to the cost of the model.
 
     ``encoder`` is called once in each task and returns the batch function; ``None`` takes the
     hashed default, for which the tokens are cut on the JVM side.
@@ -66,6 +70,8 @@ def embed(rows: DataFrame, id_column: str, text_column: str,
             vectors = np.ascontiguousarray(encode(batch.column(1)), dtype=np.float32)
             yield pa.RecordBatch.from_arrays([batch.column(0), float_lists(vectors)], ["id", "embedding"])
 
+    if partitions is not None:
+        rows = rows.select(id_column, text_column).repartition(partitions, id_column)
     picked = rows.where(F.col(text_column).isNotNull()).select(
         F.col(id_column).alias("id"), source.alias("source"))
     id_type = picked.schema["id"].dataType.simpleString()

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ..session import parallel
 from .prompts import DEFAULT_TOKENS, PromptSet, RoleTokens
 
 # Fixed value: how much of its material the stand-in repeats.
@@ -38,8 +39,12 @@ QUESTION_WRITING = Sampling(context_tokens=16384)
 
 
 def generate(rows: DataFrame, factory: Callable[[Sampling], Generator], prompt: str = "prompt",
-             out: str = "output", sampling: Sampling = ANSWERING) -> DataFrame:
-    """Add column ``out``; ``prompt`` is dropped. One generator per task, Arrow batches in and out."""
+             out: str = "output", sampling: Sampling = ANSWERING, partitions: int | None = None) -> DataFrame:
+    """Add column ``out``; ``prompt`` is dropped. One generator per task, Arrow batches in and out.
+
+    Prompts are few bytes next to the work they cause, so they are first dealt out by their text
+    to ``partitions`` tasks, by default one per core.
+    """
     keep = [f for f in rows.schema.fields if f.name != prompt]
     schema = T.StructType([*keep, T.StructField(out, T.StringType())])
     names = [f.name for f in schema.fields]
@@ -50,7 +55,7 @@ def generate(rows: DataFrame, factory: Callable[[Sampling], Generator], prompt:
             batch[out] = write(batch[prompt])
             yield batch[names]
 
-    return rows.mapInPandas(run, schema)
+    return rows.repartition(partitions or parallel(rows.sparkSession), prompt).mapInPandas(run, schema)
 
 
 def extractive_stand_in(prompts: PromptSet = PromptSet(), tokens: RoleTokens = DEFAULT_TOKENS

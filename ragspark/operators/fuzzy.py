@@ -4,7 +4,9 @@ Two strings within ``d`` edits share at least one of ``d + 1`` even segments of
 shifted by at most ``d`` in the other (partition filter, Li, Deng and Feng 2011). So the
 vocabulary is keyed by its segments, the query terms by their shifted substrings, and an equi
 join on ``(length, d, segment number, segment)`` finds every pair; each is then checked by its
-true distance. Work per vocabulary term is ``d + 1`` rows, whatever its length.
+true distance. Work per vocabulary term is ``d + 1`` rows, whatever its length. How far segment
+``i`` may be shifted follows from the edits that can lie left of it (``i``) and right of it
+(``d - i``): if every shared segment needed more than that, another one would be shared.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..session import cut, fits_broadcast
+from ..session import cut, fits_broadcast, parallel
 from .lexical_index import LexicalIndex
 from .lexical_search import FIELD_WEIGHTS, PAGE_SIZE, question_terms, rank_articles, weigh_terms
 
@@ -53,13 +55,17 @@ def _probe_keys(wanted: DataFrame) -> DataFrame:
     n = F.length("query_term")
     start = _segment_start(F.col("len"), F.col("d"), F.col("seg"))
     size = _segment_start(F.col("len"), F.col("d"), F.col("seg") + 1) - start
+    left, right = F.col("seg"), F.col("d") - F.col("seg")
+    longer = n - F.col("len")
+    first = F.greatest(start - left, start + longer - right, F.lit(0))
+    last = F.least(start + left, start + longer + right, n - size)
     return (wanted
             .withColumn("d", allowed_edits(F.col("query_term")))
             .withColumn("len", F.explode(F.sequence(F.greatest(n - F.col("d"), F.lit(1)), n + F.col("d"))))
             .withColumn("seg", F.explode(F.sequence(F.lit(0), F.col("d"))))
-            .withColumn("size", size)
-            .withColumn("at", F.explode(F.sequence(start - F.col("d"), start + F.col("d"))))
-            .where((F.col("at") >= 0) & (F.col("at") + F.col("size") <= n))
+            .withColumns({"size": size, "first": first, "last": last})
+            .where("first <= last")
+            .withColumn("at", F.explode(F.sequence("first", "last")))
             .select("field", "query_term", "d", "len", "seg",
                     F.substring(F.col("query_term"), F.col("at") + 1, F.col("size")).alias("piece"))
             .distinct())
@@ -70,8 +76,10 @@ def expand_terms(wanted: DataFrame, vocabulary: DataFrame,
     """(field, query_term, term, distance, df) for distinct ``wanted(field, query_term)``."""
     probes = _probe_keys(wanted.distinct())
     if fits_broadcast(wanted, ["field", "query_term"], limit=256 * 1024):
-        probes = F.broadcast(probes)  # at most 75 keys a term
-    near = (_vocabulary_keys(vocabulary).join(probes, ["field", "d", "len", "seg", "piece"])
+        probes = F.broadcast(probes)  # at most 19 keys a term
+    # vocabulary rows are few bytes but many comparisons; apart, terms of one stem also part
+    spread = vocabulary.repartition(parallel(vocabulary.sparkSession), "field", "term")
+    near = (_vocabulary_keys(spread).join(probes, ["field", "d", "len", "seg", "piece"])
             .withColumn("distance", F.levenshtein("query_term", "term", 2))
             .where((F.col("distance") >= 0) & (F.col("distance") <= F.col("d")))
             .select("field", "query_term", "term", "distance", "df").distinct())

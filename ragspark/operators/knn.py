@@ -190,7 +190,7 @@ def nearest_self(vectors: DataFrame) -> DataFrame:
 # --- approximate ----------------------------------------------------------------------------
 
 def lsh_knn(queries: DataFrame, vectors: DataFrame, k: int = PARAGRAPHS_PER_QUESTION,
-            bucket_length: float = 0.6, tables: int = 12, projections: int = 1, seed: int = 42,
+            bucket_length: float = 0.5, tables: int = 16, projections: int = 3, seed: int = 42,
             cell_rows: int = CELL_ROWS) -> DataFrame:
     """Approximate neighbours: only vectors that share a bucket with the query are scored.
 

@@ -31,7 +31,7 @@ ARTICLES_PER_QUESTION = 2
 PAGE_SIZE = 10
 
 # Above this many (question term, posting) pairs the search prunes before it scores.
-PRUNE_ABOVE_PAIRS = 50_000_000
+PRUNE_ABOVE_PAIRS = 1_000_000_000
 # Postings a question may read to find its first lower bound.
 SEED_POSTINGS = 100_000
 # One salt of a frequent term holds at most this many postings.
@@ -116,7 +116,8 @@ def _keep_best(scored: DataFrame, k: int, order: Column) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
 
 
-def _pruned(terms: DataFrame, index: LexicalIndex, k: int, groups: int, small: bool) -> DataFrame:
+def _pruned(terms: DataFrame, index: LexicalIndex, k: int, groups: int, small: bool,
+            worth_pairs: float | None) -> DataFrame:
     """Impacts of every article that can reach the best ``k``, complete where it matters.
 
     1. The rarest terms of a question give some articles a partial score; the k-th of them is a
@@ -128,6 +129,8 @@ def _pruned(terms: DataFrame, index: LexicalIndex, k: int, groups: int, small: b
        by an equi join on (article, field, term).
 
     Long postings of common words are thus met by few candidates instead of by every question.
+    If the deciding terms touch more than ``worth_pairs`` postings, nothing is gained and all
+    terms are matched after all.
     """
     hint = F.broadcast if small else (lambda df: df)  # what follows is no larger than the terms
     rare_first = W.partitionBy("qid").orderBy("df", "grp", "field", "term")
@@ -143,6 +146,10 @@ def _pruned(terms: DataFrame, index: LexicalIndex, k: int, groups: int, small: b
     split = cut(terms.join(bound, "qid", "left")
                 .withColumn("below", F.sum("w").over(light_first))
                 .withColumn("decides", F.coalesce(F.col("below") >= F.col("bound"), F.lit(True))))
+    if worth_pairs is not None:
+        left = split.where("decides").agg(F.sum("df").alias("pairs")).first()["pairs"] or 0
+        if left > worth_pairs:
+            return _impacts(_match(terms, index, small))
     deciding, rest = split.where("decides"), split.where("NOT decides").select(*_WEIGHTED)
     limits = split.groupBy("qid", "grp").agg(
         F.max("bound").alias("bound"),
@@ -168,9 +175,11 @@ def rank_articles(terms: DataFrame, index: LexicalIndex, k: int, groups: int = 1
     """
     size = terms.agg(byte_size(*_WEIGHTED).alias("bytes"), F.sum("df").alias("pairs")).first()
     small = size["bytes"] <= broadcast_limit
-    if prune is None:
-        prune = (size["pairs"] or 0) > PRUNE_ABOVE_PAIRS
-    impacts = _pruned(terms, index, k, groups, small) if prune else _impacts(_match(terms, index, small))
+    pairs, worth_pairs = size["pairs"] or 0, None
+    if prune is None and pairs > PRUNE_ABOVE_PAIRS:
+        prune, worth_pairs = True, pairs / 2
+    impacts = (_pruned(terms, index, k, groups, small, worth_pairs) if prune
+               else _impacts(_match(terms, index, small)))
     scored = _best_group(impacts, groups).withColumn("score", F.round("raw", SCORE_DIGITS))
     return _keep_best(scored, k, F.col("score")).select("qid", "article_id", "score", "rank")
 

@@ -24,9 +24,7 @@ def _write_questions(articles: DataFrame, n: int, prompt, factory, sampling: Sam
     rows = prefix_rows(articles.select("article_id", "article_seq", "title", "text"), n).select(
         F.col("article_id").cast("string").alias("source_article_id"),
         prompt(F.col("article_id"), F.col("title"), prefix(F.col("text"), ARTICLE_CHARS)).alias("prompt"))
-    # a limit ends in one partition; generation should not
-    spread = rows.repartition(F.col("source_article_id"))
-    return valid_questions(parse_questions(generate(spread, factory, sampling=sampling)))
+    return valid_questions(parse_questions(generate(rows, factory, sampling=sampling)))
 
 
 def retrieval_questions(articles: DataFrame, factory: Callable, n: int = RETRIEVAL_ARTICLES,

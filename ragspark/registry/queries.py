@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import encoders, json_lines, prompts, text
 from ..operators import contexts, fuzzy, knn, lexical_index, lexical_search, paragraphs, quantize
 from ..plans import answering, evaluation, question_sets
-from ..session import fresh_path, shared_dir
+from ..session import fresh_path, parallel, shared_dir
 from ..sources import articles as corpus
 from ..sources import tables
 from ..streaming import questions as stream
@@ -64,12 +64,17 @@ def _paragraphs(spark, sf):
     return paragraphs.split_paragraphs(_articles(spark, sf), LINES)
 
 
+def _embedded_paragraphs(spark, sf):
+    # the test corpus is a single small file
+    return encoders.embed(_paragraphs(spark, sf), "paragraph_id", "paragraph", partitions=parallel(spark))
+
+
 def paragraph_vectors(spark, sf) -> answering.VectorIndex:
     """Floats are written first; calibration needs all of them before the first int8 vector."""
     home = _home(spark, sf)
     raw = f"{home}/paragraph_floats"
     if not tables.table_exists(spark, raw):
-        tables.write_table(encoders.embed(_paragraphs(spark, sf), "paragraph_id", "paragraph"), raw)
+        tables.write_table(_embedded_paragraphs(spark, sf), raw)
     vectors, calibration = quantize.save_vector_index(spark.read.parquet(raw), f"{home}/paragraph_vectors")
     return answering.VectorIndex(vectors, calibration, _articles(spark, sf), LINES)
 
@@ -328,7 +333,7 @@ def _weights(embedded: DataFrame, key: str) -> DataFrame:
 
 
 def embed_hashed(spark, sf):
-    return _weights(encoders.embed(_paragraphs(spark, sf), "paragraph_id", "paragraph"), "paragraph_id")
+    return _weights(_embedded_paragraphs(spark, sf), "paragraph_id")
 
 
 def embed_queries(spark, sf):

@@ -69,6 +69,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def parallel(spark: SparkSession) -> int:
+    """Tasks for costly work on few bytes, which the adaptive planner would put into one."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def byte_size(*columns: str):
     """Aggregate: bytes of the named columns as text, plus a fixed cost per row."""
     width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in columns), F.lit(32))
