@@ -38,7 +38,15 @@ def parse_object(line: Column) -> Column:
     mark = f"_end_{secrets.token_hex(8)}"
     wrapped = F.from_json(F.concat(F.lit('{"w":'), line, F.lit(f',"{mark}":1}}')), "map<string,string>", _STRICT)
     whole = line.startswith("{") & (F.map_keys(wrapped) == F.array(F.lit("w"), F.lit(mark)))
-    return F.when(whole, F.from_json(wrapped["w"], "map<string,string>", _STRICT))
+    return F.when(whole, _last_of_equal(F.from_json(wrapped["w"], "map<string,string>", _STRICT)))
+
+
+def _last_of_equal(members: Column) -> Column:
+    """Of members with one name the last counts."""
+    names = F.map_keys(members)
+    last = F.filter(F.map_entries(members), lambda entry, i: F.array_position(
+        F.slice(names, i + 2, F.size(names)), entry["key"]) == 0)
+    return F.when(F.size(F.array_distinct(names)) == F.size(names), members).otherwise(F.map_from_entries(last))
 
 
 def has_question_shape(members: Column) -> Column:

@@ -36,8 +36,13 @@ def _segment_start(length: Column, edits: Column, number: Column) -> Column:
     return base * number + F.greatest(F.lit(0), number - (count - longer))
 
 
+def _key(field: str, piece: Column) -> Column:
+    """Join key as one number. Where two keys collide, the check of the distance decides."""
+    return F.xxhash64(field, "d", "len", "seg", piece)
+
+
 def _vocabulary_keys(vocabulary: DataFrame) -> DataFrame:
-    """(field, term, df, d, len, seg, piece)."""
+    """(field, term, df, key)."""
     n = F.length("term")
     # which distances a term of this length can be asked for: exact, one edit, two edits
     asked = F.array_compact(F.array(
@@ -47,11 +52,11 @@ def _vocabulary_keys(vocabulary: DataFrame) -> DataFrame:
     return (vocabulary
             .select("field", "term", "df", n.alias("len"), F.explode(asked).alias("d"))
             .withColumn("seg", F.explode(F.sequence(F.lit(0), F.col("d"))))
-            .withColumn("piece", F.substring(F.col("term"), start + 1, stop - start)))
+            .select("field", "term", "df", _key("field", F.substring(F.col("term"), start + 1, stop - start)).alias("key")))
 
 
 def _probe_keys(wanted: DataFrame) -> DataFrame:
-    """(field, query_term, d, len, seg, piece): every place a segment may sit in a query term."""
+    """(query_field, query_term, d, key): every place a segment may sit in a query term."""
     n = F.length("query_term")
     start = _segment_start(F.col("len"), F.col("d"), F.col("seg"))
     size = _segment_start(F.col("len"), F.col("d"), F.col("seg") + 1) - start
@@ -66,8 +71,8 @@ def _probe_keys(wanted: DataFrame) -> DataFrame:
             .withColumns({"size": size, "first": first, "last": last})
             .where("first <= last")
             .withColumn("at", F.explode(F.sequence("first", "last")))
-            .select("field", "query_term", "d", "len", "seg",
-                    F.substring(F.col("query_term"), F.col("at") + 1, F.col("size")).alias("piece"))
+            .select(F.col("field").alias("query_field"), "query_term", "d",
+                    _key("field", F.substring(F.col("query_term"), F.col("at") + 1, F.col("size"))).alias("key"))
             .distinct())
 
 
@@ -79,10 +84,12 @@ def expand_terms(wanted: DataFrame, vocabulary: DataFrame,
         probes = F.broadcast(probes)  # at most 19 keys a term
     # vocabulary rows are few bytes but many comparisons; apart, terms of one stem also part
     spread = vocabulary.repartition(parallel(vocabulary.sparkSession), "field", "term")
-    near = (_vocabulary_keys(spread).join(probes, ["field", "d", "len", "seg", "piece"])
-            .withColumn("distance", F.levenshtein("query_term", "term", 2))
-            .where((F.col("distance") >= 0) & (F.col("distance") <= F.col("d")))
-            .select("field", "query_term", "term", "distance", "df").distinct())
+    distance = F.levenshtein("query_term", "term", 2)
+    # -1 stands for more than 2 edits; as two bits it is 3, above any allowed number
+    close = (F.col("field") == F.col("query_field")) & (distance.bitwiseAND(F.lit(3)) <= F.col("d"))
+    near = (_vocabulary_keys(spread).join(probes, "key").where(close)
+            .select("field", "query_term", "term", "df").distinct()
+            .withColumn("distance", distance))
     if max_expansions is None:
         return near
     order = W.partitionBy("field", "query_term").orderBy("distance", F.col("df").desc(), "term")
