@@ -22,12 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..session import BROADCAST_LIMIT_BYTES, cut
+from ..session import BROADCAST_LIMIT_BYTES, cut, parallel
 from .quantize import dequantize
 
 PARAGRAPHS_PER_QUESTION = 10
 SCORE_DIGITS = 9
 QUERY_BLOCK = 1024
+BLOCK_ROWS = 10_000
 CELL_ROWS = 50_000
 
 
@@ -116,26 +117,37 @@ def _carried(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     return vectors.select("id", "qv").mapInArrow(run, f"qid {qid_type}, id {id_type}, score double")
 
 
-def _cells(queries: DataFrame, vectors: DataFrame, on: list[str], k: int) -> DataFrame:
-    """Candidates from co-grouped cells; ``on`` names the columns that identify a cell."""
+def _cells(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """Candidates from co-grouped rows: both sides carry ``cell`` and ``part``.
+
+    Rows meet when their ``cell`` is equal. A ``part`` is the group one call gets: one cell, or
+    as many small ones as fill it.
+    """
     qid_type, id_type = _types(queries, vectors)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if left.num_rows == 0 or right.num_rows == 0:
-            return pa.table({"qid": left.column("qid").slice(0, 0), "id": right.column("id").slice(0, 0),
-                             "score": pa.array([], pa.float64())})
-        rows = _matrix(left.column("qv"))
-        best = None
-        vectors_, ids = _matrix(right.column("qv")), _chunk(right.column("id"))
-        for at in range(0, len(vectors_), 10_000):
-            new = _block_best(rows, _norms(rows), vectors_[at:at + 10_000], ids.slice(at, 10_000), k)
-            best = new if best is None else _best(pa.concat_tables([best, new]), k)
+        best = pa.table({"q": pa.array([], pa.int64()), "id": right.column("id").slice(0, 0),
+                         "score": pa.array([], pa.float64())})
+        if left.num_rows and right.num_rows:
+            left, right = (t.take(pc.sort_indices(t.column("cell"))) for t in (left, right))
+            rows, columns = _matrix(left.column("qv")), _matrix(right.column("qv"))
+            norms, ids = _norms(rows), _chunk(right.column("id"))
+            cells, here = left.column("cell").to_numpy(), right.column("cell").to_numpy()
+            for cell in np.intersect1d(cells, here):
+                lo, hi = np.searchsorted(cells, cell), np.searchsorted(cells, cell, "right")
+                stop = np.searchsorted(here, cell, "right")
+                for at in range(np.searchsorted(here, cell), stop, BLOCK_ROWS):
+                    end = min(at + BLOCK_ROWS, stop)
+                    new = _block_best(rows[lo:hi], norms[lo:hi], columns[at:end], ids.slice(at, end - at), k)
+                    new = new.set_column(0, "q", pc.add(new.column("q"), int(lo)))
+                    best = pa.concat_tables([best, new])
+            best = _best(best, k)
         return pa.table({"qid": _chunk(left.column("qid")).take(_chunk(best.column("q"))),
                          "id": best.column("id"), "score": best.column("score")})
 
     # fresh names on both sides: queries are often drawn from the vectors themselves
-    return (queries.select(*[F.col(c).alias(c) for c in [*on, "qid", "qv"]]).groupBy(*on)
-            .cogroup(vectors.select(*[F.col(c).alias(c) for c in [*on, "id", "qv"]]).groupBy(*on))
+    return (queries.select(*[F.col(c).alias(c) for c in ["part", "cell", "qid", "qv"]]).groupBy("part")
+            .cogroup(vectors.select(*[F.col(c).alias(c) for c in ["part", "cell", "id", "qv"]]).groupBy("part"))
             .applyInArrow(run, f"qid {qid_type}, id {id_type}, score double"))
 
 
@@ -146,11 +158,12 @@ def _parts(rows: int, cell_rows: int) -> int:
 def _hashed_cells(queries: DataFrame, vectors: DataFrame, k: int, cell_rows: int) -> DataFrame:
     q_parts = _parts(queries.count(), cell_rows)
     v_parts = _parts(vectors.count(), cell_rows)
-    q = (queries.withColumn("q_part", F.pmod(F.xxhash64("qid"), F.lit(q_parts)).cast("int"))
+    cell = (F.col("q_part") * v_parts + F.col("v_part")).cast("long")
+    q = (queries.withColumn("q_part", F.pmod(F.xxhash64("qid"), F.lit(q_parts)))
          .withColumn("v_part", F.explode(F.sequence(F.lit(0), F.lit(v_parts - 1)))))
-    v = (vectors.withColumn("v_part", F.pmod(F.xxhash64("id"), F.lit(v_parts)).cast("int"))
+    v = (vectors.withColumn("v_part", F.pmod(F.xxhash64("id"), F.lit(v_parts)))
          .withColumn("q_part", F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1)))))
-    return _cells(q, v, ["q_part", "v_part"], k)
+    return _cells(*(side.withColumns({"cell": cell, "part": cell}) for side in (q, v)), k)
 
 
 def exact_knn(queries: DataFrame, vectors: DataFrame, k: int = PARAGRAPHS_PER_QUESTION,
@@ -199,6 +212,7 @@ def lsh_knn(queries: DataFrame, vectors: DataFrame, k: int = PARAGRAPHS_PER_QUES
     more rows than ``cell_rows`` on a side is split on that side into salts, and the other side
     is copied to each, so a bucket full of copies costs several bounded cells, not one huge one.
     """
+    cores = parallel(vectors.sparkSession)
     model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=bucket_length,
                                         numHashTables=tables * projections, seed=seed).fit(
         _unit(vectors.limit(1), "id"))
@@ -214,7 +228,12 @@ def lsh_knn(queries: DataFrame, vectors: DataFrame, k: int = PARAGRAPHS_PER_QUES
          .withColumn("v_salt", F.explode(F.sequence(F.lit(0), F.col("v_salts") - 1))))
     v = (v.withColumn("v_salt", F.pmod(F.xxhash64("id"), F.col("v_salts")).cast("int"))
          .withColumn("q_salt", F.explode(F.sequence(F.lit(0), F.col("q_salts") - 1))))
-    found = _cells(q, v, ["slot", "bucket", "q_salt", "v_salt"], k)
+    # Cells are keyed by one number (where two buckets collide, their rows are scored together)
+    # and packed into parts of about cell_rows rows.
+    parts = _parts((queries.count() + vectors.count()) * tables, cell_rows)
+    cell = F.xxhash64("slot", "bucket", "q_salt", "v_salt")
+    found = _cells(*(side.withColumn("cell", cell).withColumn("part", F.pmod("cell", F.lit(max(parts, cores))))
+                     for side in (q, v)), k)
     # an id met in several tables has the same score in each
     return _final(found.groupBy("qid", "id").agg(F.max("score").alias("score")), k)
 

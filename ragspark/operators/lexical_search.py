@@ -178,6 +178,8 @@ def rank_articles(terms: DataFrame, index: LexicalIndex, k: int, groups: int = 1
     pairs, worth_pairs = size["pairs"] or 0, None
     if prune is None and pairs > PRUNE_ABOVE_PAIRS:
         prune, worth_pairs = True, pairs / 2
+    if prune:
+        terms = cut(terms)  # read by every step of the pruning
     impacts = (_pruned(terms, index, k, groups, small, worth_pairs) if prune
                else _impacts(_match(terms, index, small)))
     scored = _best_group(impacts, groups).withColumn("score", F.round("raw", SCORE_DIGITS))

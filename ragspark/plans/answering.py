@@ -64,10 +64,17 @@ def semantic_retriever(index: VectorIndex, k: int = PARAGRAPHS_PER_QUESTION) ->
     return lambda questions: semantic_retrieve(questions, index, k)
 
 
-def _context_answers(asked: DataFrame, hits: DataFrame, body: Column, separator: str, template,
-                     factory, sampling: Sampling, out: str) -> DataFrame:
-    """(qid, <out>): render hits into the context prompt and generate. No hits, empty context."""
-    contexts = build_context(hits, body, separator=separator)
+def _contexts(searched: DataFrame, retriever: Retriever, body: Column, separator: str) -> DataFrame:
+    """(qid, context). A text that many questions share is searched once, under its lowest qid."""
+    once = cut(searched.groupBy("question").agg(F.min("qid").alias("qid")))
+    found = build_context(retriever(once), body, separator=separator)
+    texts = once.join(found, "qid").select("question", "context")
+    return searched.join(texts, "question").select("qid", "context")
+
+
+def _context_answers(asked: DataFrame, contexts: DataFrame, template, factory, sampling: Sampling,
+                     out: str) -> DataFrame:
+    """(qid, <out>): fill the context prompt and generate. No hits, empty context."""
     rows = asked.join(contexts, "qid", "left").select(
         "qid", render(template, F.col("context"), F.col("question")).alias("prompt"))
     return generate(rows, factory, out=out, sampling=sampling)
@@ -93,9 +100,10 @@ def answer_questions(questions: DataFrame, lexical: Retriever, semantic: Retriev
     to_search = asked.select("qid", render(template("lexical"), F.col("question")).alias("prompt"))
     keywords = cut(generate(to_search, factory, out="question", sampling=sampling))
     lexical_answers = _context_answers(
-        asked, lexical(keywords), article_body(), "", template("context"), factory, sampling, "lexical_answer")
+        asked, _contexts(keywords, lexical, article_body(), ""),
+        template("context"), factory, sampling, "lexical_answer")
     semantic_answers = _context_answers(
-        asked, semantic(asked.select("qid", "question")), F.col("page_content.text"), "\n",
+        asked, _contexts(asked.select("qid", "question"), semantic, F.col("page_content.text"), "\n"),
         template("context"), factory, sampling, "semantic_answer")
     # both answers are read again next to the synthesis
     paired = cut(pair_answers(lexical_answers, semantic_answers))
