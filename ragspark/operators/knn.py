@@ -215,7 +215,7 @@ def lsh_knn(queries: DataFrame, vectors: DataFrame, k: int = PARAGRAPHS_PER_QUES
     cores = parallel(vectors.sparkSession)
     model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=bucket_length,
                                         numHashTables=tables * projections, seed=seed).fit(
-        _unit(vectors.limit(1), "id"))
+        _unit(vectors, "id"))
     q = _buckets(model, queries, "qid", tables, projections)
     v = _buckets(model, vectors, "id", tables, projections)
     busy = _busy(q, "q_salts", cell_rows).join(_busy(v, "v_salts", cell_rows), ["slot", "bucket"], "full")

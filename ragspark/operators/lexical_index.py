@@ -80,7 +80,7 @@ def save_index(articles: DataFrame, path: str, fields=FIELDS, mode: str = "ignor
     ``mode='ignore'`` leaves an existing index alone. The articles are shuffled once, as raw
     text, by article; tokens are counted where they land and go straight into that bucket's
     file, sorted by term so that its row groups can be skipped. ``buckets`` should be about the
-    bytes of the text over 512 MB, and is at least the cores of the cluster by default.
+    bytes of the text over 1 GB (Spark allows 100,000); by default it is the cores of the cluster.
     """
     spark = articles.sparkSession
     if mode != "ignore" or not table_exists(spark, f"{path}/stats"):

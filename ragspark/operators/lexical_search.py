@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import tokens
-from ..session import BROADCAST_LIMIT_BYTES, byte_size, cut
+from ..session import BROADCAST_LIMIT_BYTES, byte_size, cut, needed
 from .lexical_index import LexicalIndex
 
 # Fixed values of the scoring formula and of the field weights.
@@ -202,8 +202,9 @@ def multi_match(questions: DataFrame, index: LexicalIndex, weights=None, k: int
 
 
 def with_page_content(hits: DataFrame, index: LexicalIndex) -> DataFrame:
-    """Attach ``page_content{title, text}`` to hits."""
-    return (hits.join(index.articles, "article_id")
+    """Attach ``page_content{title, text}`` to hits. The search runs once, the articles are scanned."""
+    hits = cut(hits)
+    return (hits.join(needed(index.articles, hits, "article_id"), "article_id")
             .select("qid", "article_id", "score", "rank",
                     F.struct("title", "text").alias("page_content")))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import PARAGRAPH_DELIMITER, article_part, number_part, paragraph_id, pieces
+from ..session import needed
 
 
 def split_paragraphs(articles: DataFrame, delimiter: str = PARAGRAPH_DELIMITER) -> DataFrame:
@@ -28,10 +29,11 @@ def parse_ids(ids: DataFrame, articles: DataFrame | None = None) -> DataFrame:
 def paragraph_to_article(ids: DataFrame, articles: DataFrame) -> DataFrame:
     """Whole article of each paragraph id; ids of unknown articles drop out.
 
-    Neither side is hinted: a few ids are broadcast by their measured size, a large id table
-    shuffles on the article and a popular article is split by the adaptive skew join.
+    Articles are first reduced to those asked for. Of the join that then attaches them, a
+    popular article is split by the adaptive skew join.
     """
-    return parse_ids(ids, articles).join(articles, "article_id")
+    wanted = parse_ids(ids, articles)
+    return wanted.join(needed(articles, wanted, "article_id"), "article_id")
 
 
 def paragraph_to_text(ids: DataFrame, articles: DataFrame,
@@ -39,12 +41,13 @@ def paragraph_to_text(ids: DataFrame, articles: DataFrame,
     """Add ``paragraph``: the numbered piece of the article, null past its end."""
     text = F.get(pieces(F.col("text"), delimiter), F.col("paragraph_no"))
     wanted = parse_ids(ids, articles)
-    found = wanted.join(articles.select("article_id", "text"), "article_id", "left")
-    return found.withColumn("paragraph", text).select(*wanted.columns, "paragraph")
+    texts = needed(articles.select("article_id", "text"), wanted, "article_id")
+    return (wanted.join(texts, "article_id", "left")
+            .withColumn("paragraph", text).select(*wanted.columns, "paragraph"))
 
 
 def get_by_id(ids: DataFrame, articles: DataFrame) -> DataFrame:
     """Each asked ``article_id`` with its article, ``found`` telling whether there is one."""
-    kept = articles.withColumn("_there", F.lit(True))
+    kept = needed(articles, ids, "article_id").withColumn("_there", F.lit(True))
     return (ids.join(kept, "article_id", "left")
             .withColumn("found", F.coalesce("_there", F.lit(False))).drop("_there"))

@@ -41,7 +41,7 @@ def calibrate(vectors: DataFrame, batch_column: str | None = None) -> DataFrame:
                 [pa.array(np.arange(len(lo), dtype=np.int32)), pa.array(lo.astype(np.float64)),
                  pa.array(hi.astype(np.float64))], ["dim", "lo", "hi"])
 
-    rows = vectors.select(F.col("embedding").cast("array<float>"))
+    rows = vectors.where("embedding IS NOT NULL").select(F.col("embedding").cast("array<float>"))
     return (rows.mapInArrow(ranges, CALIBRATION_SCHEMA)
             .groupBy("dim").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")))
 

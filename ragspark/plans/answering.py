@@ -54,7 +54,8 @@ def lexical_retriever(index: LexicalIndex, k: int = ARTICLES_PER_QUESTION) -> Re
 def semantic_retrieve(questions: DataFrame, index: VectorIndex, k: int = PARAGRAPHS_PER_QUESTION,
                       **how) -> DataFrame:
     """(qid, paragraph_id, score, rank, page_content): nearest paragraphs with their text."""
-    hits = exact_knn(embed_questions(questions, index), index.vectors, k, **how)
+    # an encoder runs once, and so does the search
+    hits = cut(exact_knn(cut(embed_questions(questions, index)), index.vectors, k, **how))
     found = paragraph_to_text(hits.withColumnRenamed("id", "paragraph_id"), index.articles, index.delimiter)
     return found.select("qid", "paragraph_id", "score", "rank",
                         F.struct(F.lit("").alias("title"), F.col("paragraph").alias("text")).alias("page_content"))

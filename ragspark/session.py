@@ -83,3 +83,18 @@ def byte_size(*columns: str):
 def fits_broadcast(df: DataFrame, columns: list[str], limit: int = BROADCAST_LIMIT_BYTES) -> bool:
     """Count the bytes of ``columns``; true when they are within ``limit``."""
     return df.agg(byte_size(*columns).alias("bytes")).first()["bytes"] <= limit
+
+
+def sized(df: DataFrame, columns: list[str], limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint when its counted bytes are within ``limit``, else as it is."""
+    return F.broadcast(df) if fits_broadcast(df, columns, limit) else df
+
+
+def needed(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of a large ``table`` whose ``key`` occurs in ``keys``.
+
+    Left to its estimates the planner may shuffle the whole table before it learns how few rows
+    are asked for. So the distinct keys are counted first: few are broadcast and the table is
+    only scanned, many make it an ordinary semi join.
+    """
+    return table.join(sized(keys.select(key).distinct(), [key]), key, "left_semi")
