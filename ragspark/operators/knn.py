@@ -24,6 +24,7 @@ from pyspark.sql.window import Window as W
 
 from ..session import BROADCAST_LIMIT_BYTES, cut, parallel
 from .quantize import dequantize
+from .topk import best_cells, best_rows, whole
 
 PARAGRAPHS_PER_QUESTION = 10
 SCORE_DIGITS = 9
@@ -37,8 +38,8 @@ def _matrix(lists: pa.Array) -> np.ndarray:
     if isinstance(lists, pa.ChunkedArray):
         lists = lists.combine_chunks()
     values = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
-    whole = np.issubdtype(values.dtype, np.integer)
-    return values.astype(np.float32 if whole and values.shape[1] <= 1024 else np.float64)
+    integral = np.issubdtype(values.dtype, np.integer)
+    return values.astype(np.float32 if integral and values.shape[1] <= 1024 else np.float64)
 
 
 def _norms(matrix: np.ndarray) -> np.ndarray:
@@ -46,16 +47,6 @@ def _norms(matrix: np.ndarray) -> np.ndarray:
     return np.sqrt((wide * wide).sum(axis=1))
 
 
-def _best(table: pa.Table, k: int) -> pa.Table:
-    """The first ``k`` rows of each ``q`` by score descending, id ascending."""
-    order = pc.sort_indices(table, sort_keys=[("q", "ascending"), ("score", "descending"), ("id", "ascending")])
-    table = table.take(order)
-    q = table.column("q").to_numpy()
-    starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.array([], dtype=np.int64)
-    nth = np.arange(len(q)) - np.repeat(starts, np.diff(np.r_[starts, len(q)]))
-    return table.filter(pa.array(nth < k))
-
-
 def _block_best(queries: np.ndarray, query_norms: np.ndarray, vectors: np.ndarray, ids: pa.Array,
                 k: int) -> pa.Table:
     """Best ``k`` of one block of vectors for every query: ``q`` (row number), ``id``, ``score``."""
@@ -67,21 +58,10 @@ def _block_best(queries: np.ndarray, query_norms: np.ndarray, vectors: np.ndarra
         dots = (queries[block] @ vectors.T).astype(np.float64)
         score = np.divide(dots, length, out=np.zeros_like(dots), where=length > 0)
         score = np.rint(score * 10.0 ** SCORE_DIGITS) / 10.0 ** SCORE_DIGITS
-        n = score.shape[1]
-        if n > k:
-            kth = np.partition(score, n - k, axis=1)[:, n - k]
-            q, v = np.nonzero(score >= kth[:, None])
-        else:
-            q, v = (x.ravel() for x in np.indices(score.shape))
-        found.append(_best(pa.table({"q": pa.array(q + at, pa.int64()), "id": ids.take(pa.array(v)),
-                                     "score": score[q, v]}), k))
+        found.append(best_cells(score, ids, k, first_q=at))
     return pa.concat_tables(found)
 
 
-def _chunk(array) -> pa.Array:
-    return array.combine_chunks() if isinstance(array, pa.ChunkedArray) else array
-
-
 def _final(candidates: DataFrame, k: int) -> DataFrame:
     order = W.partitionBy("qid").orderBy(F.col("score").desc(), F.col("id").asc())
     return (candidates.withColumn("rank", F.row_number().over(order))
@@ -98,7 +78,7 @@ def _carried(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     qid_type, id_type = _types(queries, vectors)
     if table.num_rows == 0:
         return queries.sparkSession.createDataFrame([], f"qid {qid_type}, id {id_type}, score double")
-    query_ids, matrix = _chunk(table.column("qid")), _matrix(table.column("qv"))
+    query_ids, matrix = whole(table.column("qid")), _matrix(table.column("qv"))
     sent = queries.sparkSession.sparkContext.broadcast((query_ids, matrix, _norms(matrix)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,9 +88,9 @@ def _carried(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
             if batch.num_rows == 0:
                 continue
             new = _block_best(rows, norms, _matrix(batch.column(1)), batch.column(0), k)
-            best = new if best is None else _best(pa.concat_tables([best, new]), k)
+            best = new if best is None else best_rows(pa.concat_tables([best, new]), k)
         if best is not None:
-            out = pa.table({"qid": ids_of.take(_chunk(best.column("q"))), "id": best.column("id"),
+            out = pa.table({"qid": ids_of.take(whole(best.column("q"))), "id": best.column("id"),
                             "score": best.column("score")})
             yield from out.to_batches(max_chunksize=100_000)
 
@@ -131,7 +111,7 @@ def _cells(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
         if left.num_rows and right.num_rows:
             left, right = (t.take(pc.sort_indices(t.column("cell"))) for t in (left, right))
             rows, columns = _matrix(left.column("qv")), _matrix(right.column("qv"))
-            norms, ids = _norms(rows), _chunk(right.column("id"))
+            norms, ids = _norms(rows), whole(right.column("id"))
             cells, here = left.column("cell").to_numpy(), right.column("cell").to_numpy()
             for cell in np.intersect1d(cells, here):
                 lo, hi = np.searchsorted(cells, cell), np.searchsorted(cells, cell, "right")
@@ -141,8 +121,8 @@ def _cells(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
                     new = _block_best(rows[lo:hi], norms[lo:hi], columns[at:end], ids.slice(at, end - at), k)
                     new = new.set_column(0, "q", pc.add(new.column("q"), int(lo)))
                     best = pa.concat_tables([best, new])
-            best = _best(best, k)
-        return pa.table({"qid": _chunk(left.column("qid")).take(_chunk(best.column("q"))),
+            best = best_rows(best, k)
+        return pa.table({"qid": whole(left.column("qid")).take(whole(best.column("q"))),
                          "id": best.column("id"), "score": best.column("score")})
 
     # fresh names on both sides: queries are often drawn from the vectors themselves

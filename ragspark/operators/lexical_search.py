@@ -6,13 +6,17 @@ avgdl``. The score of an article within one ``grp`` is the sum over its matching
 groups. One group per field gives the best-field search, one group for all fields the additive
 boolean search.
 
-Counted and found small, the terms are broadcast to the postings, which are bucketed by
-article. Joining, adding up and keeping the best ``k`` of a bucket then all happen in place,
-and ``k`` rows per question and bucket are the only ones shuffled.
+Counted and found small, the terms travel to the postings, which are bucketed by article.
+Matching, adding up and keeping the best ``k`` of a bucket then all happen in place, and ``k``
+rows per question and bucket are the only ones shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -20,6 +24,7 @@ from pyspark.sql.window import Window as W
 from ..functions.text import tokens
 from ..session import BROADCAST_LIMIT_BYTES, byte_size, cut, needed
 from .lexical_index import LexicalIndex
+from .topk import best_cells, best_rows, whole
 
 # Fixed values of the scoring formula and of the field weights.
 K1 = 1.2
@@ -40,6 +45,10 @@ SALT_POSTINGS = 1_000_000
 # so there are at most MAX_FREQUENT_TERMS of them.
 MAX_FREQUENT_TERMS = 200_000
 
+# Scores a task holds at once, as a matrix of questions x articles, and impacts it adds at once.
+BLOCK_SCORES = 2_000_000
+BLOCK_IMPACTS = 4_000_000
+
 _WEIGHTED = ["qid", "grp", "field", "term", "w", "avgdl"]
 
 
@@ -166,6 +175,78 @@ def _pruned(terms: DataFrame, index: LexicalIndex, k: int, groups: int, small: b
     return candidates.unionByName(added)
 
 
+def _in_place(terms: DataFrame, index: LexicalIndex, k: int, groups: int) -> DataFrame:
+    """Best ``k`` of each bucket for (counted, bounded) terms: (qid, article_id, score).
+
+    Distinct terms are numbered and broadcast to the postings; each article's matches come
+    together in its bucket, bounded by the length of the article. A task then adds the impacts
+    of a block of articles into a matrix of questions by articles and keeps the best of it.
+    A hash table of all (question, article) pairs would do the same at many times the cost.
+    """
+    table = terms.select(*_WEIGHTED).toArrow()
+    spark = terms.sparkSession
+    types = (terms.schema["qid"].dataType.simpleString(), index.postings.schema["article_id"].dataType.simpleString())
+    if table.num_rows == 0:
+        return spark.createDataFrame([], f"qid {types[0]}, article_id {types[1]}, score double")
+    names = pa.table({"field": whole(table.column("field")), "term": whole(table.column("term"))})
+    distinct = names.group_by(["field", "term"]).aggregate([])
+    position = {key: i for i, key in enumerate(zip(*(distinct.column(c).to_pylist() for c in ("field", "term"))))}
+    number = np.array([position[key] for key in zip(*(names.column(c).to_pylist() for c in ("field", "term")))])
+    order = np.argsort(number, kind="stable")
+    qids = whole(table.column("qid")).dictionary_encode()
+    avgdl = np.empty(len(position))
+    avgdl[number] = table.column("avgdl").to_numpy()
+    starts = np.searchsorted(number[order], np.arange(len(position) + 1))
+    cell = (table.column("grp").to_numpy() * len(qids.dictionary) + qids.indices.to_numpy())[order]
+    sent = spark.sparkContext.broadcast(
+        (qids.dictionary, starts, cell, table.column("w").to_numpy()[order], avgdl))
+    numbered = spark.createDataFrame(
+        distinct.append_column("number", pa.array(np.arange(len(position)), pa.int32())))
+
+    matched = (index.postings.join(F.broadcast(numbered), ["field", "term"])
+               .groupBy("article_id")
+               .agg(F.collect_list(F.struct("number", F.col("dl").cast("double").alias("dl"),
+                                            F.col("tf").cast("double").alias("tf"))).alias("matches")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, begin, cells, w, mean = sent.value
+        width = groups * len(asked)
+        block = max(1, BLOCK_SCORES // width)
+        best = None
+        for batch in batches:
+            lengths = batch.column(1).value_lengths().to_numpy()
+            numbers = batch.column(1).flatten().field(0).to_numpy()
+            impacts = np.cumsum(np.bincount(np.repeat(np.arange(len(lengths)), lengths),
+                                            begin[numbers + 1] - begin[numbers], len(lengths)))
+            at = 0
+            while at < len(lengths):
+                done = impacts[at - 1] if at else 0
+                end = min(at + block, max(at + 1, np.searchsorted(impacts, done + BLOCK_IMPACTS)))
+                part = batch.slice(at, end - at)
+                at = end
+                lists = part.column(1)
+                flat = lists.flatten()
+                which, dl, tf = (flat.field(i).to_numpy() for i in range(3))
+                article = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
+                share = tf / (tf + K1 * (1 - B + B * dl / mean[which]))
+                copies = begin[which + 1] - begin[which]
+                posting = np.repeat(np.arange(len(which)), copies)
+                term = np.arange(len(posting)) - np.repeat(np.cumsum(copies) - copies, copies) + begin[which][posting]
+                place = cells[term] * part.num_rows + article[posting]
+                score = np.bincount(place, w[term] * share[posting], width * part.num_rows)
+                score = score.reshape(groups, len(asked), part.num_rows).max(axis=0)
+                matched_cells = score > 0
+                score = np.rint(score * 10.0 ** SCORE_DIGITS) / 10.0 ** SCORE_DIGITS
+                new = best_cells(score, part.column(0), k, matched=matched_cells)
+                best = new if best is None else best_rows(pa.concat_tables([best, new]), k)
+        if best is not None:
+            out = pa.table({"qid": asked.take(whole(best.column("q"))), "article_id": best.column("id"),
+                            "score": best.column("score")})
+            yield from out.to_batches(max_chunksize=100_000)
+
+    return matched.mapInArrow(run, f"qid {types[0]}, article_id {types[1]}, score double")
+
+
 def rank_articles(terms: DataFrame, index: LexicalIndex, k: int, groups: int = 1, prune: bool | None = None,
                   broadcast_limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
     """(qid, article_id, score, rank): the best ``k`` articles of each question, exactly.
@@ -178,11 +259,13 @@ def rank_articles(terms: DataFrame, index: LexicalIndex, k: int, groups: int = 1
     pairs, worth_pairs = size["pairs"] or 0, None
     if prune is None and pairs > PRUNE_ABOVE_PAIRS:
         prune, worth_pairs = True, pairs / 2
-    if prune:
+    if not prune and small:
+        scored = _in_place(terms, index, k, groups)
+    else:
         terms = cut(terms)  # read by every step of the pruning
-    impacts = (_pruned(terms, index, k, groups, small, worth_pairs) if prune
-               else _impacts(_match(terms, index, small)))
-    scored = _best_group(impacts, groups).withColumn("score", F.round("raw", SCORE_DIGITS))
+        impacts = (_pruned(terms, index, k, groups, small, worth_pairs) if prune
+                   else _impacts(_match(terms, index, small)))
+        scored = _best_group(impacts, groups).withColumn("score", F.round("raw", SCORE_DIGITS))
     return _keep_best(scored, k, F.col("score")).select("qid", "article_id", "score", "rank")
 
 
