@@ -31,6 +31,22 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN c ON c.a = d.doc_id
 """
 
+LINES = r"""
+WITH l AS (
+  SELECT doc_id, coalesce(source, '') AS site, i - 1 AS pos, t[i] AS line, lower(trim(t[i], ' ')) AS k
+  FROM (SELECT doc_id, source, string_split(text, chr(10)) AS t FROM documents), range(1, len(t) + 1) AS r(i)),
+f AS (
+  SELECT k, min(struct_pack(d := doc_id, p := pos)) AS first FROM l WHERE k <> '' GROUP BY k HAVING count(DISTINCT site) >= 8),
+m AS (
+  SELECT l.doc_id, l.pos, l.line, f.k IS NOT NULL AND f.first <> struct_pack(d := l.doc_id, p := l.pos) AS bad
+  FROM l LEFT JOIN f ON l.k = f.k)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE
+    coalesce(string_agg(m.line, chr(10) ORDER BY m.pos) FILTER (WHERE NOT m.bad), '') END AS text,
+  count(m.pos) AS n_lines, count(*) FILTER (WHERE m.bad) AS n_removed
+FROM documents d LEFT JOIN m USING (doc_id) GROUP BY d.doc_id, d.text
+"""
+
 ORACLES = {
+    "op7_line_dedup": LINES,
     "op9_ngram_jaccard_join": JACCARD,
 }

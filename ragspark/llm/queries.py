@@ -2,15 +2,30 @@
 
 from __future__ import annotations
 
-from . import jaccard_join
+from . import jaccard_join, line_dedup, syncmers, toxicity
 from .common import source
 from .oracles import ORACLES  # noqa: F401
 
 
+def op1_document_fingerprints(spark, sf_dir):
+    return syncmers.fingerprints(source(spark, sf_dir))
+
+
+def op4_toxicity(spark, sf_dir):
+    return toxicity.toxicity(source(spark, sf_dir), source(spark, sf_dir, "labels"))
+
+
+def op7_line_dedup(spark, sf_dir):
+    return line_dedup.clean_lines(source(spark, sf_dir)).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op9_ngram_jaccard_join(spark, sf_dir):
     return jaccard_join.jaccard_components(source(spark, sf_dir))
 
 
 QUERIES = {
+    "op1_document_fingerprints": op1_document_fingerprints,
+    "op4_toxicity": op4_toxicity,
+    "op7_line_dedup": op7_line_dedup,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
 }
