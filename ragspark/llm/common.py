@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..session import cut, fresh_path
 
 #: Text bytes that one numpy step works on; a longer single text is a step of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 SLICE_ROWS = 8_000
 #: Stands for a null id inside an operator, so that a real id is always the smaller one.
 NO_ID = (1 << 63) - 1

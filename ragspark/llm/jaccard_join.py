@@ -6,10 +6,10 @@
    or leads a group. Groups are connected by construction. A hot group is dealt into pieces.
 3. The matrix holds the union of each group: its rare shingles as rows ``token, group`` (any link
    must meet in one of them), its full union beside the members.
-4. Groups that share a matrix row are candidates. A query set visits a group; only when its
-   overlap with the group's union reaches the bound is the group opened and its members compared.
-   First every group visits the largest one of each row, then only groups still in different
-   components visit each other. What was compared exactly decides; components follow.
+4. Groups that share a matrix row may hold a link. Such groups form families (by the largest group
+   of their heaviest row), so that a query set visits each family once and never each of thousands
+   of similar groups: its overlap with the union of the family is bounded first, and only where the
+   bound is reached the members are opened and compared exactly. Components of the links follow.
 
 Nulls and texts without words have an empty set and no links. Repeated rows count as equal sets.
 A text of one to four words is one shingle. Only ``id_column`` and ``text_column`` are read.
@@ -27,8 +27,9 @@ from .common import (components, distinct, known_id, mix, pieces, public_id, shi
                      text_bytes, words_of)
 from .repeats import BUCKET_KEYS, PACKED, pack, settled
 
-#: Shingles of one piece of a group, and of the query sets that visit it at a time.
-GROUP_TOKENS = 2 << 20
+#: Shingles of one part of a group or family, and of the query sets that visit it at a time.
+GROUP_TOKENS = 1 << 20
+QUERY_TOKENS = 1 << 18
 #: Counters of the frequency sketch that orders shingles; 4 MB whatever the corpus holds.
 SKETCH = 1 << 20
 _CHUNKS = 16
@@ -173,41 +174,64 @@ def _matrix_rows(batches):
 
 
 def _visitor(percent: int):
-    """Query sets against one group: bound first, members only behind it."""
-    def run(key, members: pa.Table, queries: pa.Table) -> pa.Table:
+    """Query sets against one group: bound by the union first, members only behind it.
+
+    Of the links that are found, those are returned that connect something new in this task.
+    """
+    def run(members: pa.Table, queries: pa.Table) -> pa.Table:
+        out: list[tuple[int, int]] = []
         own = [np.frombuffer(x, np.uint64) for x in members.column("tokens").to_pylist()]
-        gid, out = key[0].as_py(), []
         if own and queries.num_rows:
-            union = distinct(np.sort(np.concatenate(own)))
-            sizes = np.array([len(s) for s in own])
-            done: set[int] = set()
-            for q, tokens in zip(queries.column("q").to_pylist(), queries.column("tokens").to_pylist()):
-                if q in done:
-                    continue
-                s = np.frombuffer(tokens, np.uint64)
-                if _shared(s, union) < least_overlap(len(s), percent):
+            gids, sizes = members.column("gid").to_numpy(), np.array([len(s) for s in own])
+            tokens = np.concatenate(own)
+            order = np.argsort(tokens, kind="stable")
+            holder = np.repeat(np.arange(len(own)), sizes)[order]
+            tokens = tokens[order]
+            first = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
+            union, bounds = tokens[first], np.r_[first, len(tokens)]
+            root: dict[int, int] = {}
+
+            def top(x: int) -> int:
+                while root.setdefault(x, x) != x:
+                    root[x] = x = root[root[x]]
+                return x
+
+            for q, raw in zip(queries.column("q").to_pylist(), queries.column("query").to_pylist()):
+                s = np.frombuffer(raw, np.uint64)
+                at = np.searchsorted(union, s)
+                at = at[union[np.minimum(at, len(union) - 1)] == s]
+                if len(at) < least_overlap(len(s), percent):
                     continue
-                fit = np.flatnonzero((100 * sizes >= percent * len(s)) & (100 * len(s) >= percent * sizes))
-                if any(linked(_shared(s, own[i]), len(s), len(own[i]), percent) for i in fit):
-                    out.append(q)
-                    done.add(q)
-        return pa.table({"a": pa.array(out, pa.int64()), "b": pa.array([gid] * len(out), pa.int64())})
+                lengths = bounds[at + 1] - bounds[at]
+                ends = np.cumsum(lengths)
+                spots = np.arange(ends[-1]) + np.repeat(bounds[at] - (ends - lengths), lengths)
+                shared = np.bincount(holder[spots], minlength=len(own))
+                hit = 100 * shared >= percent * (len(s) + sizes - shared)
+                for g in distinct(np.sort(gids[hit])).tolist():
+                    x, y = top(q), top(g)
+                    if x != y:
+                        root[x] = y
+                        out.append((q, g))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
     return run
 
 
 def _visit(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Links ``a, b`` among candidate pairs ``q, gid``: the sets of group q visit group gid. A group
-    with many visitors is repeated, each copy taking a share of them."""
-    pairs = stored(pairs, "jaccard-pairs")
-    sizes = groups.groupBy("gid").agg(F.sum("n").alias("tokens"))
-    load = (pairs.join(sizes.select(F.col("gid").alias("q"), "tokens"), "q").groupBy("gid")
-            .agg(F.ceil(F.sum("tokens") / GROUP_TOKENS).cast("int").alias("parts")))
-    queries = (pairs.join(load, "gid")
-               .join(groups.select(F.col("gid").alias("q"), "sid", "tokens"), "q")
-               .select("gid", F.expr("int(pmod(xxhash64(sid), parts))").alias("part"), "q", "tokens"))
-    opened = (groups.join(load, "gid")
-              .select("gid", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "sid", "tokens"))
-    return (opened.groupBy("gid", "part").cogroup(queries.groupBy("gid", "part"))
+    """Links ``a, b`` among candidates ``q, family``: the sets of q visit the groups of a family. A
+    large family is dealt into parts, and one with many visitors is repeated for shares of them."""
+    own = groups.select(F.col("gid").alias("q"), "sid", "n", "tokens")
+    parts = (groups.where("family is not null").groupBy("family")
+             .agg(F.ceil(F.sum("n") / GROUP_TOKENS).cast("int").alias("parts")))
+    load = (pairs.join(own.groupBy("q").agg(F.sum("n").alias("n")), "q").groupBy("family")
+            .agg(F.ceil(F.sum("n") / QUERY_TOKENS).cast("int").alias("shares")).join(parts, "family"))
+    load = stored(load, "jaccard-load")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    queries = (pairs.join(load, "family").withColumn("part", upto("parts")).join(own, "q")
+               .select(F.col("family").alias("f"), F.col("part").alias("p"),
+                       F.expr("int(pmod(xxhash64(sid), shares))").alias("s"), "q", F.col("tokens").alias("query")))
+    opened = (groups.join(load, "family").withColumn("share", upto("shares"))
+              .select("family", F.expr("int(pmod(xxhash64(sid), parts))").alias("part"), "share", "gid", "tokens"))
+    return (opened.groupBy("family", "part", "share").cogroup(queries.groupBy("f", "p", "s"))
             .applyInArrow(_visitor(percent), "a long, b long"))
 
 
@@ -239,22 +263,19 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     weight = groups.groupBy("gid").agg(F.count("*").cast("int").alias("n"))
     rows = (leads.select("gid", "matrix").join(weight, "gid").select("gid", "n", "matrix")
             .mapInArrow(_matrix_rows, "token long, gid long, n int"))
-    lead = (rows.groupBy("token").agg(F.max(F.struct("n", "gid")).alias("m"), F.count("*").alias("k"))
-            .where("k > 1").select("token", F.col("m.gid").alias("main")))
-    matrix = stored(rows.join(lead, "token"), "jaccard-matrix")
-    stars = matrix.where("gid <> main").select(F.col("gid").alias("q"), F.col("main").alias("gid")).distinct()
-    links = stored(near.unionByName(_visit(stars, groups, percent)), "jaccard-links")
-
-    found = components(links)
-    placed = (matrix.select("token", "gid").join(found.withColumnRenamed("node", "gid"), "gid", "left")
-              .select("token", "gid", F.coalesce("component", "gid").alias("comp")))
-    split = placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
-    placed = stored(placed.join(split.select("token"), "token"), "jaccard-placed")
-    other = placed.select("token", F.col("gid").alias("q"), F.col("comp").alias("q_comp"))
-    apart = (placed.join(other, "token").where("q_comp < comp").select("q", "gid").distinct()
-             .join(stars, ["q", "gid"], "left_anti")
-             .join(stars.select(F.col("gid").alias("q"), F.col("q").alias("gid")), ["q", "gid"], "left_anti"))
-    found = components(links.unionByName(_visit(apart, groups, percent)))
+    lead = (rows.groupBy("token").agg(F.max(F.struct("n", "gid")).alias("main"), F.count("*").alias("k"))
+            .where("k > 1").select("token", "main"))
+    matrix = stored(rows.join(lead, "token").select("token", "gid", "main"), "jaccard-matrix")
+    # a family: groups whose heaviest row has the same largest group; its matrix row is their union
+    family = stored(matrix.groupBy("gid").agg(F.max("main").alias("family")), "jaccard-families")
+    placed = matrix.select("token", "gid").join(family, "gid")
+    columns = placed.select("token", F.col("family").alias("other")).distinct()
+    pairs = (placed.join(columns, "token")
+             .where("family <= other and not (family = other and family.gid = gid)")
+             .select(F.col("gid").alias("q"), F.col("other.gid").alias("family")).distinct())
+    pairs = stored(pairs, "jaccard-pairs")
+    tagged = groups.join(family.select("gid", F.col("family.gid").alias("family")), "gid", "left")
+    found = components(near.unionByName(_visit(pairs, tagged, percent)))
 
     label = (groups.select("sid", "gid").join(found.withColumnRenamed("node", "gid"), "gid", "left")
              .select("sid", F.coalesce("component", "gid").alias("comp")).distinct())

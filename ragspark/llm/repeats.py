@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 
 #: Item number of a key that several items of the slice hold.
 SHARED = 0xFFFF
-#: Keys of one bucket: 16 MB of entries.
-BUCKET_KEYS = 2 << 20
+#: Keys of one bucket: 8 MB of entries.
+BUCKET_KEYS = 1 << 20
 PACKED = ("slice long, bucket int, entries binary, need array<int>, single array<int>, "
           "a array<long>, b array<long>, c array<long>")
 _TYPES = pa.schema([("slice", pa.int64()), ("bucket", pa.int32()), ("entries", pa.binary()),

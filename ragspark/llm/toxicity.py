@@ -26,6 +26,8 @@ from .common import _BASE, mix, prefix_sums, range_hashes, slices, words_of
 #: Labelled rows that the fit sees at most; the bound of the fit, not of scoring.
 MAX_LABELLED = 8_000
 MAX_FEATURES = 6_000
+#: Standard errors that a feature's log odds ratio lies from zero, at least.
+LEAST_Z = 2.8
 #: Bytes of the word beginnings that are features.
 HEADS = (5, 7)
 THRESHOLD = 0.3
@@ -38,7 +40,7 @@ IDENTITY_TERMS = (
     ("immigrants", "refugees", "foreigners", "natives"),
     ("old", "young", "elderly", "disabled", "blind", "deaf"),
 )
-COUNTERFACTUAL, RIDGE = 1.0, 2e-5
+COUNTERFACTUAL, RIDGE = 1.0, 1e-4
 
 
 def _trim(words):
@@ -131,11 +133,11 @@ def fit(sets: list[np.ndarray], toxic: np.ndarray, rounds: int = 300) -> Model:
     on = np.bincount(inverse, toxic[doc], len(feature))
     off = np.bincount(inverse, minlength=len(feature)) - on
     odds = np.log((on + 0.5) / (hits + 1)) - np.log((off + 0.5) / (n - hits + 1))
-    rank = np.abs(odds) * np.sqrt(on + off)
-    rank[on + off < 4] = 0
+    rank = np.abs(odds) / np.sqrt(1 / (on + 0.5) + 1 / (off + 0.5))
     kinds = [np.array([_term(t) for t in kind], np.uint64) for kind in IDENTITY_TERMS]
     rank[np.isin(feature, np.concatenate(kinds)) & (on + off > 0)] = np.inf
-    chosen = np.sort(np.argsort(-rank, kind="stable")[:MAX_FEATURES])
+    chosen = np.argsort(-rank, kind="stable")[:MAX_FEATURES]
+    chosen = np.sort(chosen[rank[chosen] >= LEAST_Z])
     place = np.full(len(feature), -1)
     place[chosen] = np.arange(len(chosen))
     feature, column = feature[chosen], place[inverse]
