@@ -46,7 +46,46 @@ SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE
 FROM documents d LEFT JOIN m USING (doc_id) GROUP BY d.doc_id, d.text
 """
 
+_MASKS = ((0, 1, 2, 4, 7, 8, 10), (0, 1, 3, 5, 6, 9, 10), (0, 2, 3, 6, 8, 9, 10))
+
+
+def _seeds(table: str, key: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT {key} AS k, i - 1 AS pos, '{m}:' || concat_ws(' ', {', '.join(f't[i + {o}]' for o in mask)}) AS seed "
+        f"FROM {table}, range(1, len(t) - 9) AS r(i) WHERE len(t) >= 11" for m, mask in enumerate(_MASKS))
+
+
+_TOKENS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+
+SPACED = f"""
+WITH d AS (SELECT doc_id, {_TOKENS} AS t FROM documents),
+b AS (SELECT item_id, {_TOKENS} AS t FROM benchmark),
+ds AS ({_seeds('d', 'doc_id')}),
+bs AS ({_seeds('b', 'item_id')}
+  UNION ALL SELECT item_id, 0, 'w' || len(t) || array_to_string(t, ' ') FROM b WHERE len(t) BETWEEN 5 AND 10),
+dw AS (
+  SELECT doc_id AS k, i - 1 AS pos, 'w' || n || array_to_string(t[i:i + n - 1], ' ') AS seed
+  FROM d, (SELECT DISTINCT len(t) AS n FROM b WHERE len(t) BETWEEN 5 AND 10) AS z, range(1, len(t) - n + 2) AS r(i)),
+h AS (
+  SELECT DISTINCT x.k AS doc_id, y.k AS item_id, x.pos - y.pos AS off
+  FROM (SELECT * FROM ds UNION ALL SELECT * FROM dw) x JOIN bs y ON x.seed = y.seed),
+v AS (
+  SELECT h.doc_id, item_id, off, len(b.t) AS n, j,
+    CASE WHEN d.t[off + j] = b.t[j] THEN 1 ELSE -2 END AS worth
+  FROM h JOIN d USING (doc_id) JOIN b USING (item_id), range(1, len(b.t) + 1) AS r(j)
+  WHERE off + j BETWEEN 1 AND len(d.t)),
+s AS (SELECT *, sum(worth) OVER (PARTITION BY doc_id, item_id, off ORDER BY j) AS p FROM v),
+m AS (
+  SELECT *, p - least(0, coalesce(min(p) OVER (PARTITION BY doc_id, item_id, off ORDER BY j
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS run FROM s),
+g AS (SELECT doc_id, item_id, off, n, max(run) AS score FROM m GROUP BY doc_id, item_id, off, n)
+SELECT doc_id, item_id, CAST(arg_max(off, score * 1000000000 - off) AS BIGINT) AS offset,
+  CAST(max(score) AS BIGINT) AS score
+FROM g WHERE score >= least(13, ceil(n * 4 / 5)) GROUP BY doc_id, item_id
+"""
+
 ORACLES = {
+    "op8_benchmark_decontamination": SPACED,
     "op7_line_dedup": LINES,
     "op9_ngram_jaccard_join": JACCARD,
 }

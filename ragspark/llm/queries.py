@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, line_dedup, syncmers, toxicity
+from . import jaccard_join, line_dedup, nbest_pieces, spaced_seeds, syncmers, toxicity, wordpiece_counts
 from .common import source
 from .oracles import ORACLES  # noqa: F401
 
@@ -15,6 +15,10 @@ def op4_toxicity(spark, sf_dir):
     return toxicity.toxicity(source(spark, sf_dir), source(spark, sf_dir, "labels"))
 
 
+def op6_token_counts(spark, sf_dir):
+    return wordpiece_counts.token_counts(source(spark, sf_dir))
+
+
 def op7_line_dedup(spark, sf_dir):
     return line_dedup.clean_lines(source(spark, sf_dir)).select("doc_id", "text", "n_lines", "n_removed")
 
@@ -23,9 +27,20 @@ def op9_ngram_jaccard_join(spark, sf_dir):
     return jaccard_join.jaccard_components(source(spark, sf_dir))
 
 
+def op8_benchmark_decontamination(spark, sf_dir):
+    return spaced_seeds.contaminated(source(spark, sf_dir), source(spark, sf_dir, "benchmark"))
+
+
+def op10_sentencepiece_nbest(spark, sf_dir):
+    return nbest_pieces.digests(nbest_pieces.encode(source(spark, sf_dir)))
+
+
 QUERIES = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op4_toxicity": op4_toxicity,
+    "op6_token_counts": op6_token_counts,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op10_sentencepiece_nbest": op10_sentencepiece_nbest,
     "op7_line_dedup": op7_line_dedup,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
 }
