@@ -67,7 +67,9 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", size: int =
 
 def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts in a row, and the n + 1 bounds between them; null is empty."""
-    texts = pc.fill_null(texts, "").cast(pa.large_binary())
+    if texts.null_count:
+        texts = pc.fill_null(texts, "")
+    texts = texts.cast(pa.large_binary())
     bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
     data = texts.buffers()[2]
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)

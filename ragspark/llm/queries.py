@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, line_dedup, nbest_pieces, spaced_seeds, syncmers, toxicity, wordpiece_counts
+from . import jaccard_join, line_dedup, nbest_pieces, ppm, spaced_seeds, syncmers, toxicity, wordpiece_counts
 from .common import source
 from .oracles import ORACLES  # noqa: F401
 
@@ -11,6 +11,10 @@ def op1_document_fingerprints(spark, sf_dir):
     return syncmers.fingerprints(source(spark, sf_dir))
 
 
+def op2_lm_scoring(spark, sf_dir):
+    return ppm.scores(source(spark, sf_dir))
+
+
 def op4_toxicity(spark, sf_dir):
     return toxicity.toxicity(source(spark, sf_dir), source(spark, sf_dir, "labels"))
 
@@ -37,6 +41,7 @@ def op10_sentencepiece_nbest(spark, sf_dir):
 
 QUERIES = {
     "op1_document_fingerprints": op1_document_fingerprints,
+    "op2_lm_scoring": op2_lm_scoring,
     "op4_toxicity": op4_toxicity,
     "op6_token_counts": op6_token_counts,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
