@@ -84,7 +84,32 @@ SELECT doc_id, item_id, CAST(arg_max(off, score * 1000000000 - off) AS BIGINT) A
 FROM g WHERE score >= least(13, ceil(n * 4 / 5)) GROUP BY doc_id, item_id
 """
 
+PREFERENCES = """
+WITH r AS (
+  SELECT DISTINCT CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, conv_id % 2 = 0 AS c, turn,
+    coalesce(role, 'user') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+s AS (SELECT *, '<|' || role || '|>' || chr(10) AS head, text || '<|end|>' || chr(10) AS body FROM r),
+t AS (
+  SELECT pair_id, turn, string_agg(head || body, '' ORDER BY role, head, body) FILTER (WHERE c) AS x,
+    string_agg(head || body, '' ORDER BY role, head, body) FILTER (WHERE NOT c) AS y FROM s GROUP BY pair_id, turn),
+e AS (SELECT pair_id, min(turn) AS first FROM t WHERE x IS DISTINCT FROM y GROUP BY pair_id),
+p AS (
+  SELECT s.*, CASE WHEN e.first IS NULL OR turn < e.first THEN 'prompt' WHEN c THEN 'chosen' ELSE 'rejected' END AS part
+  FROM s LEFT JOIN e USING (pair_id)),
+q AS (
+  SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY pair_id, part, CAST(floor(turn / 256) AS BIGINT)
+    ORDER BY turn, role, head, body ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS at_body
+  FROM p WHERE c OR part <> 'prompt')
+SELECT pair_id, part, CAST(floor(turn / 256) AS BIGINT) AS block, min(turn) AS first_turn,
+  count(DISTINCT turn) AS n_turns, string_agg(head || body, '' ORDER BY turn, role, head, body) AS text,
+  CASE WHEN part = 'prompt' THEN '' ELSE coalesce(string_agg(CAST(at_body AS BIGINT) || ':' || length(body), ','
+    ORDER BY turn, role, head, body) FILTER (WHERE role = 'assistant'), '') END AS mask
+FROM q GROUP BY pair_id, part, CAST(floor(turn / 256) AS BIGINT)
+"""
+
 ORACLES = {
+    "op3_preference_formatting": PREFERENCES,
     "op8_benchmark_decontamination": SPACED,
     "op7_line_dedup": LINES,
     "op9_ngram_jaccard_join": JACCARD,

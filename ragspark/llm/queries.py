@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, line_dedup, nbest_pieces, ppm, spaced_seeds, syncmers, toxicity, wordpiece_counts
+from . import (jaccard_join, line_dedup, nbest_pieces, passage_dedup, ppm, preferences, spaced_seeds, syncmers,
+               toxicity, wordpiece_counts)
 from .common import source
 from .oracles import ORACLES  # noqa: F401
 
@@ -15,10 +16,18 @@ def op2_lm_scoring(spark, sf_dir):
     return ppm.scores(source(spark, sf_dir))
 
 
+def op3_preference_formatting(spark, sf_dir):
+    return preferences.preference_pairs(preferences.paired_neighbours(source(spark, sf_dir, "conversations")))
+
+
 def op4_toxicity(spark, sf_dir):
     return toxicity.toxicity(source(spark, sf_dir), source(spark, sf_dir, "labels"))
 
 
+def op5_substring_dedup(spark, sf_dir):
+    return passage_dedup.repeated_passages(source(spark, sf_dir))
+
+
 def op6_token_counts(spark, sf_dir):
     return wordpiece_counts.token_counts(source(spark, sf_dir))
 
@@ -42,7 +51,9 @@ def op10_sentencepiece_nbest(spark, sf_dir):
 QUERIES = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_lm_scoring": op2_lm_scoring,
+    "op3_preference_formatting": op3_preference_formatting,
     "op4_toxicity": op4_toxicity,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_token_counts": op6_token_counts,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op10_sentencepiece_nbest": op10_sentencepiece_nbest,
