@@ -1,26 +1,56 @@
-"""From raw documents to encoded training text, stage by stage."""
+"""From raw documents to encoded training text: five stages, each on all that the one before kept.
+
+Toxic documents go; lines on many sites stay where they are seen first and go elsewhere; one
+document of each group of near duplicates stays; documents that hold a benchmark passage go; the
+rest is encoded. Every stage but the last returns the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ragspark.llm import jaccard_join, line_dedup, nbest_pieces, spaced_seeds, toxicity
+from ragspark.llm.common import source, stored
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.without_toxic(docs, source(spark, sf_dir, "labels"))
+
 
-from ragspark.llm import jaccard_join
-from ragspark.llm.common import stored
+def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.clean_lines(docs).drop("n_lines", "n_removed")
+    return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return jaccard_join.first_of_each(docs)
 
 
-STAGES = [("ngram_jaccard_join", near_duplicates)]
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return spaced_seeds.decontaminated(docs, source(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return nbest_pieces.digests(nbest_pieces.encode(docs))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_boilerplate),
+    ("ngram_jaccard_join", drop_near_duplicates),
+    ("benchmark_decontamination", drop_contaminated),
+    ("sentencepiece", encode),
+]
 
-#: The first stage is learned, so SQL cannot state the result; tests compare with brute force.
+#: The first stage is learned and the last searches a lattice: SQL can state neither. The tests
+#: hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to ``documents``; each stage's rows are written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = source(spark, sf_dir)
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
