@@ -9,8 +9,8 @@ taken for toxic. Scoring reads whole texts and depends on nothing but the text.
 
 Null and empty texts have no feature and get the score of the intercept. Several labels of one
 document: the highest counts. Without labelled rows, or with one class only, every score is the
-share of toxic rows (0 where there is none). Repeated rows score alike. A null id is trained on
-like any other row that has no label: not at all.
+share of toxic rows (0 where there is none). Repeated rows score alike, and teach as often as they
+occur. A null id has no label and is not trained on.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _BASE, mix, prefix_sums, range_hashes, slices, words_of
+from ..session import cut
+from .common import _BASE, mix, prefix_sums, range_hashes, signed, slices, words_of
 
 #: Labelled rows that the fit sees at most; the bound of the fit, not of scoring.
 MAX_LABELLED = 8_000
@@ -90,14 +91,33 @@ def _pairs(rows: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return rows, found
 
 
-def _sampler(batches):
+def _statistics(batches):
+    """In how many toxic and other texts of a slice each feature occurs."""
     for piece in slices(batches):
         rows, found = _pairs(*_features(piece.column("text")))
-        bounds = np.searchsorted(rows, np.arange(piece.num_rows + 1))
-        yield pa.RecordBatch.from_arrays(
-            [piece.column("key"), piece.column("toxic"),
-             pa.array([found[bounds[i]:bounds[i + 1]].tobytes() for i in range(piece.num_rows)], pa.binary())],
-            names=["key", "toxic", "features"])
+        toxic = piece.column("toxic").to_numpy()[rows] > 0 if len(rows) else np.zeros(0, bool)
+        feature, inverse = np.unique(found, return_inverse=True)
+        on = np.bincount(inverse, toxic, len(feature)).astype(np.int64)
+        every = np.bincount(inverse, minlength=len(feature))
+        yield pa.RecordBatch.from_arrays([pa.array(signed(feature)), pa.array(on), pa.array(every - on)],
+                                         names=["feature", "on", "off"])
+
+
+def _sampler(features: np.ndarray):
+    """The chosen features of each text, by number."""
+    def run(batches):
+        for piece in slices(batches):
+            rows, found = _features(piece.column("text"))
+            at = np.minimum(np.searchsorted(features, found), len(features) - 1)
+            here = features[at] == found
+            key = np.unique(rows[here].astype(np.int64) * len(features) + at[here])
+            bounds = np.searchsorted(key, np.arange(piece.num_rows + 1) * len(features))
+            own = (key % len(features)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [piece.column("key"), piece.column("toxic"),
+                 pa.array([own[bounds[i]:bounds[i + 1]].tobytes() for i in range(piece.num_rows)], pa.binary())],
+                names=["key", "toxic", "features"])
+    return run
 
 
 def _term(term: str) -> int:
@@ -122,26 +142,16 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
 
 
-def fit(sets: list[np.ndarray], toxic: np.ndarray, rounds: int = 300) -> Model:
-    """Logistic regression with a ridge and the counterfactual penalty, by full-batch Adam."""
+def fit(feature: np.ndarray, sets: list[np.ndarray], toxic: np.ndarray, rounds: int = 300) -> Model:
+    """Logistic regression with a ridge and the counterfactual penalty, by full-batch Adam; ``sets``
+    hold numbers of the sorted ``feature`` hashes."""
     n, hits = len(sets), int(toxic.sum())
     if not 0 < hits < n:
         share = hits / n if n else 0.0
-        return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log((share + 1e-9) / (1 - share + 1e-9))))
+        return Model(feature[:0], np.zeros(0), float(np.log((share + 1e-9) / (1 - share + 1e-9))))
     doc = np.repeat(np.arange(n), [len(s) for s in sets])
-    feature, inverse = np.unique(np.concatenate(sets), return_inverse=True)
-    on = np.bincount(inverse, toxic[doc], len(feature))
-    off = np.bincount(inverse, minlength=len(feature)) - on
-    odds = np.log((on + 0.5) / (hits + 1)) - np.log((off + 0.5) / (n - hits + 1))
-    rank = np.abs(odds) / np.sqrt(1 / (on + 0.5) + 1 / (off + 0.5))
+    column = np.concatenate(sets).astype(np.int64)
     kinds = [np.array([_term(t) for t in kind], np.uint64) for kind in IDENTITY_TERMS]
-    rank[np.isin(feature, np.concatenate(kinds)) & (on + off > 0)] = np.inf
-    chosen = np.argsort(-rank, kind="stable")[:MAX_FEATURES]
-    chosen = np.sort(chosen[rank[chosen] >= LEAST_Z])
-    place = np.full(len(feature), -1)
-    place[chosen] = np.arange(len(chosen))
-    feature, column = feature[chosen], place[inverse]
-    doc, column = doc[column >= 0], column[column >= 0]
     # a swap takes one term out and puts another of its kind in: the change of the linear score
     out_of, into = [], []
     for kind in kinds:
@@ -175,22 +185,31 @@ def held_out(id_column: str = "doc_id"):
 
 def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> Model:
     """Fit on a bounded sample of the labelled rows that are not held out."""
-    known = (labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(~held_out())
-             .groupBy(F.col("doc_id").cast("long").alias("key")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-             .orderBy(F.xxhash64("key"), "key").limit(MAX_LABELLED))
+    known = cut(labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(~held_out())
+                .groupBy(F.col("doc_id").cast("long").alias("key"))
+                .agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+                .orderBy(F.xxhash64("key"), "key").limit(MAX_LABELLED))
     texts = docs.select(F.col(id_column).cast("long").alias("key"), F.col(text_column).alias("text"))
-    rows = (texts.join(F.broadcast(known), "key").select("key", "toxic", "text")
-            .mapInArrow(_sampler, "key long, toxic int, features binary").toArrow())
-    order = np.argsort(rows.column("key").to_numpy(), kind="stable")
-    sets = [np.frombuffer(x, np.uint64) for x in rows.column("features").to_pylist()]
+    sample = texts.join(F.broadcast(known), "key").select("key", "toxic", "text")
+    sizes = known.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("toxic") > 0).cast("int")), F.lit(0)).alias("h")).first()
+    n, hits = sizes["n"], sizes["h"]
+    terms = [int(signed(np.array([_term(t)], np.uint64))[0]) for kind in IDENTITY_TERMS for t in kind]
+    on, off = F.col("on"), F.col("off")
+    odds = F.log((on + 0.5) / (hits + 1)) - F.log((off + 0.5) / (n - hits + 1))
+    chosen = (sample.mapInArrow(_statistics, "feature long, on long, off long")
+              .groupBy("feature").agg(F.sum("on").alias("on"), F.sum("off").alias("off"))
+              .withColumn("z", F.when(F.col("feature").isin(terms), F.lit(1e9))
+                          .otherwise(F.abs(odds) / F.sqrt(1 / (on + 0.5) + 1 / (off + 0.5))))
+              .where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature").limit(MAX_FEATURES)
+              .select("feature").collect()) if 0 < hits < n else []
+    features = np.sort(np.array([r["feature"] for r in chosen], np.int64).view(np.uint64))
+    if not len(features):
+        return fit(features, [np.zeros(0, np.int32)] * n, np.arange(n) < hits)
+    rows = sample.mapInArrow(_sampler(features), "key long, toxic int, features binary").toArrow()
+    order = np.lexsort((rows.column("toxic").to_numpy(), rows.column("key").to_numpy()))
+    sets = [np.frombuffer(x, np.int32) for x in rows.column("features").to_pylist()]
     toxic = (rows.column("toxic").to_numpy() > 0).astype(int)
-    sets, toxic, seen, kept = [sets[i] for i in order], toxic[order], set(), []
-    for i, s in enumerate(sets):  # equal texts with equal labels teach once
-        mark = (s.tobytes(), int(toxic[i]))
-        if mark not in seen:
-            seen.add(mark)
-            kept.append(i)
-    return fit([sets[i] for i in kept], toxic[kept])
+    return fit(features, [sets[i] for i in order], toxic[order])
 
 
 def scored(docs: DataFrame, model: Model, text_column: str = "text", name: str = "score") -> DataFrame:
