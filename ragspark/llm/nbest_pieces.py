@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding with the N best segmentations of a text.
 
 The piece lattice of a text falls into independent units, because no piece used here holds a blank
-after another character, nor a line feed: a unit is a run of blanks with the word behind it. A
+after another character, nor a line feed, nor (where the vocabulary keeps to it) letters beside other
+characters: a unit is a run of blanks with the word or the marks behind it. A
 forward Viterbi pass gives each place of a unit the best score from its beginning, which is the
 exact rest cost for an A* search backward from its end; the search therefore yields segmentations
 in order of their score. Units combine to the N best of the whole text: all but the units whose
@@ -10,7 +11,7 @@ second choice costs least keep their best one.
 A piece scores by its rank in the vocabulary, log(1 / ((rank + 10) ln V)), in units of 2**-16, so
 sums are exact. What no piece covers is spelled in byte pieces. A blank goes before the text, as the
 vocabulary expects. ``decode`` gives back every text exactly. Null and empty texts have no pieces
-and one segmentation of score 0; equal scores are ordered by the pieces from the end.
+and one segmentation of score 0; of equal scores the one with the longer last piece comes first.
 """
 
 from __future__ import annotations
@@ -31,9 +32,14 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NBEST = 4
 MARK = "▁"
 #: Cached units of a task; beyond it the cache starts anew.
-CACHE = 250_000
-UNIT = re.compile(r"\n| *[^ \n]+| +")
+CACHE = 120_000
+#: Units by blanks and line feeds; and, for a vocabulary whose pieces never mix letters with other
+#: characters, by words and marks.
+COARSE = re.compile(r"\n| *[^ \n]+| +")
+_FIGURES = r"\d_\u00b2\u00b3\u00b9\u00bc-\u00be\u2070-\u209c\u2150-\u218b\u2460-\u24ff"
+FINE = re.compile(rf"\n| *[^\W{_FIGURES}]+| *(?:[^\w \n]|[{_FIGURES}])+| +")
 SCALE = 1 << 16
+_NEVER = -(1 << 60)
 
 
 def read_vocabulary(path: str = MODEL) -> tuple[dict[str, int], list[int]]:
@@ -65,6 +71,10 @@ class Lattice:
         self.longest = max(map(len, pieces))
         self.value = {i: p for p, i in pieces.items()}
         self.byte = {i: b for b, i in enumerate(single)}
+        letter = re.compile(rf"[^\W{_FIGURES}]\Z").match
+        mixed = any(a != MARK and bool(letter(a)) != bool(letter(b)) for p in pieces for a, b in zip(p, p[1:]))
+        self.unit = COARSE if mixed else FINE
+        self.trie = dict.fromkeys((p[:k] for p in pieces for k in range(1, len(p))), 0) | self.score
         self.cache: dict[str, tuple] = {}
         self.lists: dict[str, list[int]] = {}
 
@@ -95,43 +105,63 @@ class Lattice:
         """The ``n`` best segmentations: A* from the end, the forward scores being exact."""
         into = self.edges(unit)
         best, out = self.forward(into), []
-        heap = [(-best[-1], (), len(unit), 0)]
+        heap = [(-best[-1], (), len(unit), 0, ())]
         while heap and len(out) < n:
-            cost, tail, j, done = heapq.heappop(heap)
+            cost, cuts, j, done, tail = heapq.heappop(heap)
             if not j:
                 out.append((-cost, tail))
                 continue
             for i, s, ids in into[j]:
-                heapq.heappush(heap, (-(best[i] + s + done), ids + tail, i, done + s))
+                heapq.heappush(heap, (-(best[i] + s + done), (*cuts, i), i, done + s, ids + tail))
         return out
 
     def encode(self, unit: str) -> tuple[bytes, int, int]:
-        """Ids of the best segmentation, its score, and what the second best costs more (or -1)."""
-        into = self.edges(unit)
-        best = self.forward(into)
-        if len(into) > 64:
+        """Ids of the best segmentation, its score, and what the second best costs more (or -1).
+
+        The forward pass keeps the two best scores of each place."""
+        if MARK in unit:
             two = self.paths(unit, 2)
             return (np.array(two[0][1], "<u2").tobytes(), two[0][0], two[0][0] - two[1][0] if len(two) > 1 else -1)
-        j, ids = len(unit), ()
-        on: set[tuple[int, int]] = set()
+        n, trie = len(unit), self.trie
+        text = unit.replace(" ", MARK) if " " in unit else unit
+        best, second, back = [_NEVER] * (n + 1), [_NEVER] * (n + 1), [0] * (n + 1)
+        best[0] = 0
+        for i in range(n):
+            b, other = best[i], second[i]
+            s = trie.get(text[i])
+            if not s:  # no piece: bytes
+                s0 = self.byte_score * len(text[i].encode("utf-8", "surrogatepass"))
+                j = i + 1
+                if b + s0 > best[j]:
+                    second[j] = max(best[j], other + s0)
+                    best[j], back[j] = b + s0, i
+                else:
+                    second[j] = max(second[j], b + s0)
+            j = i + 1
+            while s is not None:
+                if s:
+                    c = b + s
+                    if c > best[j]:
+                        c2 = other + s
+                        second[j] = best[j] if best[j] > c2 else c2
+                        best[j], back[j] = c, i
+                    elif c > second[j]:
+                        second[j] = c
+                j += 1
+                if j > n:
+                    break
+                s = trie.get(text[i:j])
+        j, ids = n, []
         while j:
-            top = best[j]
-            i, s, own = min((e for e in into[j] if best[e[0]] + e[1] == top), key=lambda e: e[2])
-            on.add((i, j))
-            ids, j = own + ids, i
-        n = len(unit)
-        after = [None] * (n + 1)
-        after[n], second = 0, None
-        for j in range(n, 0, -1):
-            if after[j] is None:
-                continue
-            for i, s, _ in into[j]:
-                rest = after[j] + s
-                if after[i] is None or rest > after[i]:
-                    after[i] = rest
-                if (i, j) not in on and (second is None or best[i] + rest > second):
-                    second = best[i] + rest
-        return np.array(ids, "<u2").tobytes(), best[n], -1 if second is None else best[n] - second
+            i = back[j]
+            p = self.id.get(text[i:j])
+            if p is None:
+                ids.extend(self.single[x] for x in reversed(text[i:j].encode("utf-8", "surrogatepass")))
+            else:
+                ids.append(p)
+            j = i
+        ids.reverse()
+        return np.array(ids, "<u2").tobytes(), best[n], best[n] - second[n] if second[n] > _NEVER // 2 else -1
 
     def known(self, unit: str) -> tuple[bytes, int, int]:
         found = self.cache.get(unit)
@@ -155,7 +185,7 @@ class Lattice:
         """Ids of the best segmentation of a whole text, and the scores of the N best."""
         if not text:
             return b"", [0]
-        units = UNIT.findall(" " + text)
+        units = self.unit.findall(" " + text)
         known = self.known
         found = {u: known(u) for u in set(units)}
         ids = b"".join([found[u][0] for u in units])
