@@ -7,7 +7,8 @@ stays where it is seen first (smallest id, first place) and goes everywhere else
 
 A line is compared without surrounding blanks and without its letter case; blank lines are never
 touched. A null text stays null, a null site is a site of its own, null ids come last. Rows with
-equal ids lose the same lines. All columns of the input are returned.
+equal ids lose the same lines. All columns of the input are returned, but that the two counts take the
+place of columns of their names.
 """
 
 from __future__ import annotations
@@ -61,15 +62,16 @@ def clean_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     hits = (_lines(slim).join(sized(known, ["line", "first_id", "first_at"], 16 << 20), "line")
             .groupBy("id").agg(F.collect_set(F.struct(
                 "line", F.when(F.col("first_id") == F.col("id"), F.col("first_at")).alias("keep"))).alias("bad")))
-    hits = stored(hits.withColumnRenamed("id", "_dedup_id"), "line-hits")
-    size = hits.agg(F.coalesce(F.sum(F.lit(48) + 32 * F.size("bad")), F.lit(0)).alias("n")).first()["n"]
+    hits = stored(hits.select(F.col("id").alias("_dedup_id"), F.col("bad").alias("_dedup_bad")), "line-hits")
+    size = hits.agg(F.coalesce(F.sum(F.lit(48) + 32 * F.size("_dedup_bad")), F.lit(0)).alias("n")).first()["n"]
     joined = docs.withColumn("_dedup_id", known_id(id_column)).join(
         F.broadcast(hits) if size <= HITS_BYTES else hits, "_dedup_id", "left")
     split = F.split(text_column, "\n")
     kept = F.filter(split, lambda line, i: ~F.exists(
-        "bad", lambda b: (b["line"] == _line_hash(line)) & (F.trim(line) != "") & ~b["keep"].eqNullSafe(i)))
-    text = F.when(F.col("bad").isNull(), F.col(text_column)).otherwise(F.array_join(kept, "\n"))
+        "_dedup_bad", lambda b: (b["line"] == _line_hash(line)) & (F.trim(line) != "") & ~b["keep"].eqNullSafe(i)))
+    text = F.when(F.col("_dedup_bad").isNull(), F.col(text_column)).otherwise(F.array_join(kept, "\n"))
     n_lines = F.coalesce(F.size(split), F.lit(0))
-    n_kept = F.when(F.col("bad").isNull(), n_lines).otherwise(F.size(kept))
-    columns = [text.alias(c) if c == text_column else F.col(c) for c in docs.columns]
+    n_kept = F.when(F.col("_dedup_bad").isNull(), n_lines).otherwise(F.size(kept))
+    columns = [text.alias(c) if c == text_column else F.col(c) for c in docs.columns
+               if c not in ("n_lines", "n_removed")]
     return joined.select(*columns, n_lines.cast("long").alias("n_lines"), (n_lines - n_kept).cast("long").alias("n_removed"))
