@@ -11,7 +11,8 @@ second choice costs least keep their best one.
 A piece scores by its rank in the vocabulary, log(1 / ((rank + 10) ln V)), in units of 2**-16, so
 sums are exact. What no piece covers is spelled in byte pieces. A blank goes before the text, as the
 vocabulary expects. ``decode`` gives back every text exactly. Null and empty texts have no pieces
-and one segmentation of score 0; of equal scores the one with the longer last piece comes first.
+and one segmentation of score 0; of equal best segmentations the one with the longer last piece is
+taken. A long text is read in stretches that end between units, so its units are never held at once.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import heapq
 import math
 import re
 from collections import Counter
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +33,18 @@ from .common import slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NBEST = 4
 MARK = "▁"
-#: Cached units of a task; beyond it the cache starts anew.
-CACHE = 120_000
+#: Units of each half of a task's cache: what was not asked for while a half filled up is forgotten.
+CACHE = 50_000
+#: Longest unit that is cached.
+CACHED_CHARS = 64
+#: Characters of a long text whose units are held at once; a stretch ends before a blank.
+STRETCH_CHARS = 1 << 17
 #: Units by blanks and line feeds; and, for a vocabulary whose pieces never mix letters with other
 #: characters, by words and marks.
 COARSE = re.compile(r"\n| *[^ \n]+| +")
 _FIGURES = r"\d_\u00b2\u00b3\u00b9\u00bc-\u00be\u2070-\u209c\u2150-\u218b\u2460-\u24ff"
 FINE = re.compile(rf"\n| *[^\W{_FIGURES}]+| *(?:[^\w \n]|[{_FIGURES}])+| +")
+_BREAK = re.compile(r"[^ ] ")
 SCALE = 1 << 16
 _NEVER = -(1 << 60)
 
@@ -74,10 +81,23 @@ class Lattice:
         letter = re.compile(rf"[^\W{_FIGURES}]\Z").match
         mixed = any(a != MARK and bool(letter(a)) != bool(letter(b)) for p in pieces for a, b in zip(p, p[1:]))
         self.unit = COARSE if mixed else FINE
-        self.trie = dict.fromkeys((p[:k] for p in pieces for k in range(1, len(p))), 0) | self.score
+        self.trie = self._trie()
         self.cache: dict[str, tuple] = {}
+        self.older: dict[str, tuple] = {}
         self.lists: dict[str, list[int]] = {}
 
+    def _trie(self) -> dict:
+        """Character -> (the node behind it, score of the piece that ends there or 0)."""
+        leaf: dict = {}
+        below: dict[str, dict] = {"": {}}
+        for p in sorted(self.score, key=len, reverse=True):
+            for k in range(len(p) - 1, -1, -1):
+                node = below.setdefault(p[:k], {})
+                if p[k] in node:
+                    break
+                node[p[k]] = (below.get(p[:k + 1], leaf), self.score.get(p[:k + 1], 0))
+        return below[""]
+
     def edges(self, unit: str) -> list[list[tuple[int, int, tuple[int, ...]]]]:
         """For each end: start, score and ids of the pieces that end there."""
         n, score, ids = len(unit), self.score, self.id
@@ -104,15 +124,20 @@ class Lattice:
     def paths(self, unit: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
         """The ``n`` best segmentations: A* from the end, the forward scores being exact."""
         into = self.edges(unit)
-        best, out = self.forward(into), []
-        heap = [(-best[-1], (), len(unit), 0, ())]
+        best, out, made = self.forward(into), [], 0
+        heap: list[tuple] = [(-best[-1], 0, len(unit), 0, None)]
         while heap and len(out) < n:
-            cost, cuts, j, done, tail = heapq.heappop(heap)
+            cost, _, j, done, tail = heapq.heappop(heap)
             if not j:
-                out.append((-cost, tail))
+                ids: list[int] = []
+                while tail is not None:  # pieces are linked to what follows them
+                    ids.extend(tail[0])
+                    tail = tail[1]
+                out.append((-cost, tuple(ids)))
                 continue
-            for i, s, ids in into[j]:
-                heapq.heappush(heap, (-(best[i] + s + done), (*cuts, i), i, done + s, ids + tail))
+            for i, s, ids in reversed(into[j]):  # of equal costs the last one made is opened first
+                made -= 1
+                heapq.heappush(heap, (-(best[i] + s + done), made, i, done + s, (ids, tail)))
         return out
 
     def encode(self, unit: str) -> tuple[bytes, int, int]:
@@ -122,35 +147,34 @@ class Lattice:
         if MARK in unit:
             two = self.paths(unit, 2)
             return (np.array(two[0][1], "<u2").tobytes(), two[0][0], two[0][0] - two[1][0] if len(two) > 1 else -1)
-        n, trie = len(unit), self.trie
+        n, root = len(unit), self.trie
         text = unit.replace(" ", MARK) if " " in unit else unit
         best, second, back = [_NEVER] * (n + 1), [_NEVER] * (n + 1), [0] * (n + 1)
         best[0] = 0
         for i in range(n):
-            b, other = best[i], second[i]
-            s = trie.get(text[i])
-            if not s:  # no piece: bytes
-                s0 = self.byte_score * len(text[i].encode("utf-8", "surrogatepass"))
+            b, other, node, j = best[i], second[i], root, i
+            for c in text[i:i + self.longest]:
+                hit = node.get(c)
+                if hit is None:
+                    break
+                node, s = hit
+                j += 1
+                if s:
+                    score = b + s
+                    if score > best[j]:
+                        next_best = other + s
+                        second[j] = best[j] if best[j] > next_best else next_best
+                        best[j], back[j] = score, i
+                    elif score > second[j]:
+                        second[j] = score
+            if text[i] not in self.score:  # no piece: bytes
+                s = self.byte_score * len(text[i].encode("utf-8", "surrogatepass"))
                 j = i + 1
-                if b + s0 > best[j]:
-                    second[j] = max(best[j], other + s0)
-                    best[j], back[j] = b + s0, i
+                if b + s > best[j]:
+                    second[j] = max(best[j], other + s)
+                    best[j], back[j] = b + s, i
                 else:
-                    second[j] = max(second[j], b + s0)
-            j = i + 1
-            while s is not None:
-                if s:
-                    c = b + s
-                    if c > best[j]:
-                        c2 = other + s
-                        second[j] = best[j] if best[j] > c2 else c2
-                        best[j], back[j] = c, i
-                    elif c > second[j]:
-                        second[j] = c
-                j += 1
-                if j > n:
-                    break
-                s = trie.get(text[i:j])
+                    second[j] = max(second[j], b + s)
         j, ids = n, []
         while j:
             i = back[j]
@@ -161,42 +185,59 @@ class Lattice:
                 ids.append(p)
             j = i
         ids.reverse()
-        return np.array(ids, "<u2").tobytes(), best[n], best[n] - second[n] if second[n] > _NEVER // 2 else -1
+        return pack(f"<{len(ids)}H", *ids), best[n], best[n] - second[n] if second[n] > _NEVER // 2 else -1
 
     def known(self, unit: str) -> tuple[bytes, int, int]:
         found = self.cache.get(unit)
         if found is None:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            found = self.cache[unit] = self.encode(unit)
+            found = self.older.get(unit) or self.encode(unit)
+            if len(unit) <= CACHED_CHARS:
+                if len(self.cache) >= CACHE:
+                    self.older, self.cache = self.cache, {}
+                self.cache[unit] = found
         return found
 
     def costs(self, unit: str) -> list[int]:
         """What the further segmentations of a unit cost more than its best."""
         found = self.lists.get(unit)
         if found is None:
-            if len(self.lists) >= CACHE // 10:
-                self.lists.clear()
             paths = self.paths(unit, self.nbest)
-            found = self.lists[unit] = [paths[0][0] - s for s, _ in paths[1:]]
+            found = [paths[0][0] - s for s, _ in paths[1:]]
+            if len(unit) <= CACHED_CHARS:
+                if len(self.lists) >= CACHE // 10:
+                    self.lists.clear()
+                self.lists[unit] = found
         return found
 
+    def stretches(self, text: str):
+        """Units of a text, in lists of about ``STRETCH_CHARS`` characters."""
+        at = 0
+        while at < len(text):
+            cut = _BREAK.search(text, at + STRETCH_CHARS)
+            end = cut.end() - 1 if cut else len(text)
+            yield self.unit.findall(text, at, end)
+            at = end
+
     def text(self, text: str) -> tuple[bytes, list[int]]:
         """Ids of the best segmentation of a whole text, and the scores of the N best."""
         if not text:
             return b"", [0]
-        units = self.unit.findall(" " + text)
-        known = self.known
-        found = {u: known(u) for u in set(units)}
-        ids = b"".join([found[u][0] for u in units])
-        counts = Counter(units)
-        total = sum(found[u][1] * c for u, c in counts.items())
-        cheap = heapq.nsmallest(self.nbest, ((f[2], u) for u, f in found.items() if f[2] >= 0))
+        ids, total, cheap, times = [], 0, {}, Counter()
+        for units in self.stretches(" " + text):
+            counts = Counter(units)
+            found = dict(zip(counts, map(self.known, counts)))
+            ids.append(b"".join([found[u][0] for u in units]))
+            for (_, score, _), count in zip(found.values(), counts.values()):
+                total += score * count
+            cheap |= {u: f[2] for u, f in found.items() if f[2] >= 0}
+            cheap = dict(heapq.nsmallest(self.nbest, cheap.items(), key=lambda x: (x[1], x[0])))
+            # a unit that is among the cheapest of all stretches is so in each that holds it
+            times = Counter({u: times[u] + counts[u] for u in cheap})
         sums = [0]
-        for _, u in cheap:
-            for _ in range(min(counts[u], self.nbest)):
+        for u in cheap:
+            for _ in range(min(times[u], self.nbest)):
                 sums = heapq.nsmallest(self.nbest, [a + b for a in sums for b in (0, *self.costs(u))])
-        return ids, [total - x for x in sums]
+        return b"".join(ids), [total - x for x in sums]
 
     def decode(self, ids) -> str:
         out, raw = [], bytearray()
