@@ -1,9 +1,9 @@
-"""The ten operators bound to the test tables, and their SQL twins."""
+"""The thirteen operators bound to the test tables, and their SQL twins."""
 
 from __future__ import annotations
 
-from . import (jaccard_join, line_dedup, nbest_pieces, passage_dedup, ppm, preferences, spaced_seeds, syncmers,
-               toxicity, wordpiece_counts)
+from . import (byte_cnn, jaccard_join, line_dedup, nbest_pieces, passage_dedup, periodic_runs, ppm, preferences,
+               simplex_kmeans, spaced_seeds, syncmers, toxicity, wordpiece_counts)
 from .common import source
 from .oracles import ORACLES  # noqa: F401
 
@@ -48,6 +48,18 @@ def op10_sentencepiece_nbest(spark, sf_dir):
     return nbest_pieces.digests(nbest_pieces.encode(source(spark, sf_dir)))
 
 
+def op11_periodic_runs(spark, sf_dir):
+    return periodic_runs.digests(periodic_runs.find_runs(source(spark, sf_dir), rearrange=periodic_runs.periodic_tail))
+
+
+def op12_language_id(spark, sf_dir):
+    return byte_cnn.languages(source(spark, sf_dir))
+
+
+def op13_centroid_clustering(spark, sf_dir):
+    return simplex_kmeans.centroid_clusters(source(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_lm_scoring": op2_lm_scoring,
@@ -59,4 +71,7 @@ QUERIES = {
     "op10_sentencepiece_nbest": op10_sentencepiece_nbest,
     "op7_line_dedup": op7_line_dedup,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_language_id": op12_language_id,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
