@@ -1,34 +1,87 @@
-"""The text index: postings, document frequencies and corpus statistics.
-
-Postings hold one row per (field, term, article) with the term frequency and, copied next to
-it, the length of that field, so scoring never joins back to a length table. The stored table
-is bucketed by article: all postings of an article lie in one bucket, a common word is spread
-evenly over all of them, and a search adds up scores inside each bucket without a shuffle.
+"""The text index: postings in blocks by term, document frequencies, statistics, versions.
+
+Postings hold one row per (field, term, article) with the term frequency and, copied next to it,
+the length of that field, so scoring never joins back to a length table. They are stored by
+*part*, a hash of field and term, so that a search reads the parts of its terms only; a large corpus
+is first cut into slices of articles, which bounds what one term has in one part. Within a part the
+postings of a term lie in tiers: the ``BLOCK`` that weigh most are block 0, the next ``BLOCK * 2**j``
+are dealt to the blocks ``2**j .. 2**(j + 1) - 1`` by a hash of the article, for j = 0, 1, ... A block
+carries the highest ``share`` (the part of the score that depends on the article alone) of its
+postings. So a search that knows a lower bound of its result skips blocks by their maximum, and one
+that knows its candidates skips the blocks none of them can lie in.
+
+An index is a list of segments under a folder. Building writes one; ``update_index`` adds a small
+one with new and changed articles, marks of the articles it replaces, and signed differences of
+frequencies and statistics, so they equal those of an index built from scratch. ``merge_index``
+turns all into one again. A version is a small table that names its segments and is written last:
+whatever dies before leaves the version before in force, and a running search keeps its own.
 """
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..sources.tables import table_exists, write_table
+from ..session import cut, needed, pieces_of, sized
+from ..sources.tables import finished_folders, union_all, write_table
 
 FIELDS = ("title", "text")
 ROW_GROUP_BYTES = 32 * 1024 * 1024
+# Fixed values of the scoring formula.
+K1 = 1.2
+B = 0.75
+BLOCK = 512
+#: Text bytes that one part is meant to hold, and how many parts there may be.
+PART_BYTES = 64 * 1024 * 1024
+LEAST_PARTS, MOST_PARTS = 16, 4096
+#: Articles of one slice; no term has more postings in one part.
+SLICE_ARTICLES = 4_000_000
+
+_VERSION = "number INT, folder STRING, parts INT, slices INT, field STRING, avgdl DOUBLE"
+_TERMS = "field STRING, term STRING, df BIGINT, top DOUBLE, part INT"
+
+
+@dataclass(frozen=True)
+class Segment:
+    """Blocks of one write. ``avgdl`` are the mean lengths its block maxima were taken with."""
+
+    number: int
+    blocks: DataFrame
+    parts: int
+    slices: int
+    avgdl: dict[str, float]
 
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """Tables of a text index; ``articles`` holds ``article_id, title, text``."""
+    """Tables of a text index; ``articles`` holds ``article_id, title, text``.
+
+    ``doc_freq`` has ``field, term, df, top``, the last an upper bound of the term's shares.
+    ``dead`` names articles whose postings in segments before ``since`` no longer count.
+    """
 
     articles: DataFrame
-    postings: DataFrame
     doc_freq: DataFrame
     stats: DataFrame
+    segments: tuple[Segment, ...]
+    dead: DataFrame | None = None
+    version: int = 0
+
+    @property
+    def postings(self) -> DataFrame:
+        """(field, term, article_id, dl, tf) of all live postings."""
+        return union_all([self.live(s, posting_rows(s.blocks)) for s in self.segments])
+
+    def live(self, segment: Segment, rows: DataFrame) -> DataFrame:
+        """Rows of a segment without those of articles that a later segment replaced."""
+        if self.dead is None:
+            return rows
+        gone = self.dead.where(F.col("since") > segment.number).select("article_id")
+        return rows.join(sized(gone, ["article_id"]), "article_id", "left_anti").select(*rows.columns)
 
 
 def _fields(articles: DataFrame, fields) -> DataFrame:
@@ -57,64 +110,239 @@ def postings(articles: DataFrame, fields=FIELDS) -> DataFrame:
     return rows.groupBy("field", "term", "article_id", "dl").agg(F.count("*").alias("tf"))
 
 
-def document_frequency(posting_rows: DataFrame) -> DataFrame:
-    """(field, term, df)."""
-    return posting_rows.groupBy("field", "term").agg(F.count("*").alias("df"))
+def field_totals(lengths: DataFrame) -> DataFrame:
+    """(field, n, total): articles that hold the field, and their lengths together."""
+    return lengths.groupBy("field").agg(F.count("*").alias("n"), F.sum("dl").alias("total"))
+
+
+def corpus_stats(totals: DataFrame) -> DataFrame:
+    """(field, n, avgdl)."""
+    return totals.select("field", "n", (F.col("total") / F.col("n")).alias("avgdl"))
+
 
+def share(tf: Column, dl: Column, avgdl: Column) -> Column:
+    """What an article gives to the score of a term, below 1; rises with ``avgdl`` at most in proportion."""
+    return tf / (tf + K1 * (1 - B + B * dl / avgdl))
 
-def corpus_stats(lengths: DataFrame) -> DataFrame:
-    """(field, n, avgdl): articles that hold the field, and its mean length."""
-    return lengths.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
+def term_part(parts: int, field: str = "field", term: str = "term") -> Column:
+    return F.pmod(F.xxhash64(field, term), F.lit(parts)).cast("int")
 
-def build_index(articles: DataFrame, fields=FIELDS) -> LexicalIndex:
+
+def tier_block(tier: Column) -> Column:
+    """Block of an article in a tier; tier -1 is the head, block 0."""
+    size = F.call_function("shiftleft", F.lit(1), F.greatest(tier, F.lit(0)).cast("int"))
+    return F.when(tier < 0, 0).otherwise(size + F.pmod(F.xxhash64("article_id"), size)).cast("int")
+
+
+def blocks_of(rows: DataFrame, stats: DataFrame, parts: int, slices: int) -> DataFrame:
+    """(part, field, term, block, n, top, articles, dls, tfs): one shuffle of the postings by part."""
+    from pyspark.sql.window import Window as W
+    place = F.pmod(F.xxhash64("article_id"), F.lit(slices)).cast("int") * parts + term_part(parts)
+    heavy_first = W.partitionBy("part", "field", "term").orderBy(F.desc("share"), "article_id")
+    tier = F.floor(F.log2(F.floor((F.row_number().over(heavy_first) - 1) / BLOCK + 1))).cast("int") - 1
+    return (rows.join(F.broadcast(stats.select("field", "avgdl")), "field")  # one row per field
+            .select(place.alias("part"), "field", "term", "article_id", "dl", "tf",
+                    share(F.col("tf"), F.col("dl"), F.col("avgdl")).alias("share"))
+            .repartition(parts * slices, "part")
+            .withColumn("block", tier_block(tier))
+            .groupBy("part", "field", "term", "block")
+            .agg(F.count("*").cast("int").alias("n"), F.max("share").alias("top"),
+                 F.collect_list(F.struct("article_id", "dl", "tf")).alias("held"))  # about BLOCK
+            .select("part", "field", "term", "block", "n", "top", F.col("held.article_id").alias("articles"),
+                    F.col("held.dl").cast("array<int>").alias("dls"), F.col("held.tf").cast("array<int>").alias("tfs")))
+
+
+def posting_rows(blocks: DataFrame, *keep: str) -> DataFrame:
+    """(field, term, *keep, article_id, dl, tf) of blocks."""
+    keys = ["field", "term", *keep]
+    return blocks.select(*keys, F.inline(F.arrays_zip("articles", "dls", "tfs"))).select(
+        *keys, F.col("articles").alias("article_id"), F.col("dls").cast("long").alias("dl"), F.col("tfs").cast("long").alias("tf"))
+
+
+def document_frequency(blocks: DataFrame) -> DataFrame:
+    """(field, term, df, top); reads no posting."""
+    return blocks.groupBy("field", "term").agg(F.sum(F.col("n").cast("long")).alias("df"), F.max("top").alias("top"))
+
+
+def _layout(articles: DataFrame, fields, parts: int | None) -> tuple[int, int, int]:
+    """Parts and slices for the counted text, and tasks for its tokens."""
+    size = articles.agg(F.count("*").alias("rows"), F.coalesce(F.sum(sum(
+        (F.coalesce(F.octet_length(f), F.lit(0)).cast("long") for f in fields), F.lit(0))), F.lit(0)).alias("bytes")).first()
+    slices = pieces_of(size["rows"], SLICE_ARTICLES)
+    wanted = parts or min(max(pieces_of(size["bytes"], PART_BYTES * slices), LEAST_PARTS), MOST_PARTS)
+    tasks = max(pieces_of(size["bytes"], PART_BYTES), articles.sparkSession.sparkContext.defaultParallelism)
+    return wanted, slices, tasks
+
+
+def build_index(articles: DataFrame, fields=FIELDS, parts: int = LEAST_PARTS) -> LexicalIndex:
     """Index defined over ``articles`` without writing anything."""
-    rows = postings(articles, fields)
-    return LexicalIndex(articles, rows, document_frequency(rows), corpus_stats(field_lengths(articles, fields)))
+    stats = corpus_stats(field_totals(field_lengths(articles, fields)))
+    blocks = blocks_of(postings(articles, fields), stats, parts, 1)
+    avgdl = {r["field"]: r["avgdl"] for r in stats.collect()}  # one row per field
+    return LexicalIndex(articles, document_frequency(blocks), stats, (Segment(1, blocks, parts, 1, avgdl),))
+
+
+# --- stored segments and versions -------------------------------------------------------------
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Finished versions of an index, oldest first."""
+    return sorted(int(name) for name in finished_folders(spark, f"{path}/versions"))
 
 
 def save_index(articles: DataFrame, path: str, fields=FIELDS, mode: str = "ignore",
-               buckets: int | None = None) -> LexicalIndex:
-    """Write the index tables under ``path`` and return them as read back.
+               parts: int | None = None) -> LexicalIndex:
+    """Write an index of one segment under ``path`` as a new version and return it as read back.
 
-    ``mode='ignore'`` leaves an existing index alone. The articles are shuffled once, as raw
-    text, by article; tokens are counted where they land and go straight into that bucket's
-    file, sorted by term so that its row groups can be skipped. ``buckets`` should be about the
-    bytes of the text over 1 GB (Spark allows 100,000); by default it is the cores of the cluster.
+    ``mode='ignore'`` leaves an existing index alone. The articles are shuffled once, as raw text,
+    by article; tokens are counted where they land. ``parts`` follows the counted bytes unless given.
     """
     spark = articles.sparkSession
-    if mode != "ignore" or not table_exists(spark, f"{path}/stats"):
-        n = buckets or spark.sparkContext.defaultParallelism
-        source = articles.select("article_id", *fields)
-        rows = postings(source.repartition(n, "article_id"), fields)
-        (rows.write.mode("overwrite").option("path", f"{path}/postings").option("compression", "zstd")
-         .option("parquet.block.size", ROW_GROUP_BYTES)
-         .bucketBy(n, "article_id").sortBy("field", "term").saveAsTable(_table_name(path)))
-        write_table(source, f"{path}/articles")
-        write_table(document_frequency(spark.read.parquet(f"{path}/postings")), f"{path}/doc_freq")
-        # written last: its presence says the index is whole
-        write_table(corpus_stats(field_lengths(source, fields)).withColumn("buckets", F.lit(n)), f"{path}/stats")
+    if mode == "ignore" and versions(spark, path):
+        return load_index(spark, path)
+    source = articles.select("article_id", *fields)
+    wanted, slices, tasks = _layout(source, fields, parts)
+    folder = _new_folder()
+    write_table(source, f"{path}/{folder}/articles")
+    source = spark.read.parquet(f"{path}/{folder}/articles")
+    write_table(field_totals(field_lengths(source, fields)).coalesce(1), f"{path}/{folder}/totals")
+    _write_blocks(spark, path, folder, postings(source.repartition(tasks, "article_id"), fields), wanted, slices)
+    _write_terms(document_frequency(_read_blocks(spark, f"{path}/{folder}")), path, folder, wanted)
+    _write_version(spark, path, [_entry(spark, path, 1, folder, wanted, slices)])
     return load_index(spark, path)
 
 
-def _table_name(path: str) -> str:
-    return f"ragspark_postings_{hashlib.md5(path.encode()).hexdigest()[:12]}"
+def _read_blocks(spark, base: str) -> DataFrame:
+    """Blocks of a segment, which may be empty."""
+    kind = spark.read.parquet(f"{base}/articles").schema["article_id"].dataType.simpleString()
+    return spark.read.schema(f"field STRING, term STRING, block INT, n INT, top DOUBLE, articles ARRAY<{kind}>, "
+                             "dls ARRAY<INT>, tfs ARRAY<INT>, part INT").parquet(f"{base}/blocks")
+
+
+def _read_terms(spark, base: str) -> DataFrame:
+    return spark.read.schema(_TERMS).parquet(f"{base}/terms")
+
+
+def _new_folder() -> str:
+    return f"segment-{uuid.uuid4().hex[:12]}"
+
+
+def _write_blocks(spark, path: str, folder: str, rows: DataFrame, parts: int, slices: int) -> None:
+    stats = corpus_stats(spark.read.parquet(f"{path}/{folder}/totals").where("n > 0"))
+    blocks = blocks_of(rows, stats, parts, slices).sortWithinPartitions("part", "field", "term", "block")
+    write_table(blocks, f"{path}/{folder}/blocks", partition_by=["part"], row_group_bytes=ROW_GROUP_BYTES)
+
+
+def _write_terms(terms: DataFrame, path: str, folder: str, parts: int) -> None:
+    write_table(terms.withColumn("part", term_part(parts)).repartition(parts, "part").sortWithinPartitions("part", "field", "term"),
+                f"{path}/{folder}/terms", partition_by=["part"])
+
+
+def _entry(spark, path: str, number: int, folder: str, parts: int, slices: int) -> list[tuple]:
+    totals = spark.read.parquet(f"{path}/{folder}/totals").where("n > 0")
+    means = {r["field"]: r["avgdl"] for r in corpus_stats(totals).collect()}  # one row per field
+    return [(number, folder, parts, slices, f, m) for f, m in (means or {"": 0.0}).items()]
 
 
-def _bucketed(spark: SparkSession, path: str, buckets: int) -> DataFrame:
-    """The postings as a bucketed table; a new session declares it over the files that are there."""
-    name = _table_name(path)
-    if not spark.catalog.tableExists(name):
-        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}"
-                            for f in spark.read.parquet(f"{path}/postings").schema.fields)
-        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (article_id) "
-                  f"SORTED BY (field, term) INTO {buckets} BUCKETS LOCATION '{path}/postings'")
-    return spark.table(name)
+def _write_version(spark, path: str, entries: list[list[tuple]]) -> None:
+    version = max(versions(spark, path), default=0) + 1
+    rows = spark.createDataFrame([row for entry in entries for row in entry], _VERSION)
+    write_table(rows.coalesce(1), f"{path}/versions/{version}", mode="error")
 
 
-def load_index(spark: SparkSession, path: str) -> LexicalIndex:
-    stats = spark.read.parquet(f"{path}/stats")
-    buckets = stats.agg(F.max("buckets").alias("n")).first()["n"]
-    posting_rows = _bucketed(spark, path, buckets) if buckets else spark.read.parquet(f"{path}/postings")
-    return LexicalIndex(spark.read.parquet(f"{path}/articles"), posting_rows,
-                        spark.read.parquet(f"{path}/doc_freq"), stats.select("field", "n", "avgdl"))
+def load_index(spark: SparkSession, path: str, version: int | None = None) -> LexicalIndex:
+    """The newest finished version, or the one asked for."""
+    version = version or max(versions(spark, path))
+    rows = spark.read.schema(_VERSION).parquet(f"{path}/versions/{version}").collect()  # segments x fields
+    entries: dict[tuple, dict] = {}
+    for r in rows:
+        entries.setdefault((r["number"], r["folder"], r["parts"], r["slices"]), {})[r["field"]] = r["avgdl"]
+    at = {number: f"{path}/{folder}" for number, folder, _, _ in entries}
+    segments = tuple(Segment(number, _read_blocks(spark, at[number]), parts, slices, avgdl)
+                     for (number, _, parts, slices), avgdl in sorted(entries.items()))
+    if len(segments) == 1:
+        home = at[segments[0].number]
+        stats = corpus_stats(spark.read.parquet(f"{home}/totals"))
+        return LexicalIndex(spark.read.parquet(f"{home}/articles"), _read_terms(spark, home),
+                            stats, segments, None, version)
+    first, *later = (s.number for s in segments)
+    totals = union_all([spark.read.parquet(f"{at[first]}/totals").select("field", "n", "total"),
+                        *(spark.read.parquet(f"{at[s]}/changed_totals") for s in later)])
+    stats = corpus_stats(totals.groupBy("field").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).where("n > 0"))
+    means = {r["field"]: r["avgdl"] for r in stats.collect()}  # one row per field
+    terms = union_all([
+        _read_terms(spark, at[s.number]).select("field", "term", "df", (F.col("top") * _grown(s, means)).alias("top"))
+        for s in segments])
+    terms = terms.groupBy("field", "term").agg(F.sum("df").alias("df"), F.max("top").alias("top")).where("df > 0")
+    dead = union_all([spark.read.parquet(f"{at[s]}/dead").select("article_id", F.lit(s).alias("since")) for s in later])
+    dead = dead.groupBy("article_id").agg(F.max("since").alias("since"))
+    index = LexicalIndex(spark.read.parquet(f"{at[first]}/articles"), terms, stats, segments, dead, version)
+    texts = union_all([index.live(s, spark.read.parquet(f"{at[s.number]}/articles")) for s in segments])
+    return LexicalIndex(texts, terms, stats, segments, dead, version)
+
+
+def growth(segment: Segment, means: dict[str, float]) -> dict[str, float]:
+    """How far a share may lie above the one its block maximum was taken with."""
+    return {f: max(1.0, m / segment.avgdl[f]) if segment.avgdl.get(f) else 1.0 for f, m in means.items()}
+
+
+def _grown(segment: Segment, means: dict[str, float]) -> Column:
+    factors = growth(segment, means)
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in factors.items() for x in pair])[F.col("field")], F.lit(1.0))
+
+
+def update_index(spark: SparkSession, path: str, changed: DataFrame, deleted: DataFrame | None = None,
+                 fields=FIELDS) -> LexicalIndex:
+    """Add, replace and delete articles; the work follows the change, not the index.
+
+    ``changed`` holds ``article_id`` and the fields (of rows with equal ids one is kept, the greatest);
+    ``deleted`` holds ``article_id``. An id in both is replaced; unknown ids are ignored by deletion.
+    Of the old index only the touched articles are read, to take their words out of the frequencies.
+    """
+    old = load_index(spark, path)
+    row = F.struct(*fields)
+    new = cut(changed.groupBy("article_id").agg(F.max(row).alias("row")).select("article_id", "row.*"))
+    touched = new.select("article_id")
+    if deleted is not None:
+        touched = touched.unionByName(deleted.select("article_id")).distinct()
+    before = cut(needed(old.articles.select("article_id", *fields), touched, "article_id"))
+    number, folder = old.segments[-1].number + 1, _new_folder()
+    parts, slices, _ = _layout(new, fields, None)
+    base = f"{path}/{folder}"
+    write_table(new, f"{base}/articles")
+    write_table(before.select("article_id"), f"{base}/dead")
+    totals = field_totals(field_lengths(new, fields))
+    write_table(totals.coalesce(1), f"{base}/totals")
+    minus = field_totals(field_lengths(before, fields)).select("field", (-F.col("n")).alias("n"), (-F.col("total")).alias("total"))
+    write_table(totals.unionByName(minus).coalesce(1), f"{base}/changed_totals")
+    _write_blocks(spark, path, folder, postings(new, fields), parts, slices)
+    gone = (postings(before, fields).groupBy("field", "term").agg((-F.count("*")).alias("df"))
+            .withColumn("top", F.lit(0.0)))
+    plus = document_frequency(_read_blocks(spark, base))
+    _write_terms(plus.unionByName(gone).groupBy("field", "term").agg(F.sum("df").alias("df"), F.max("top").alias("top")),
+                 path, folder, parts)
+    _write_version(spark, path, [*_entries(spark, path, old.version), _entry(spark, path, number, folder, parts, slices)])
+    return load_index(spark, path)
+
+
+def _entries(spark, path: str, version: int) -> list[list[tuple]]:
+    rows = spark.read.schema(_VERSION).parquet(f"{path}/versions/{version}").collect()
+    return [[tuple(r) for r in rows]]
+
+
+def merge_index(spark: SparkSession, path: str) -> LexicalIndex:
+    """Turn all segments into one. Postings are carried over, no text is analyzed again."""
+    old = load_index(spark, path)
+    if len(old.segments) == 1:
+        return old
+    folder = _new_folder()
+    base = f"{path}/{folder}"
+    fields = [f for f in old.articles.columns if f != "article_id"]
+    parts, slices, _ = _layout(old.articles, fields, None)
+    write_table(old.articles, f"{base}/articles")
+    totals = old.stats.select("field", "n", F.round(F.col("avgdl") * F.col("n")).cast("long").alias("total"))
+    write_table(totals.coalesce(1), f"{base}/totals")
+    _write_blocks(spark, path, folder, old.postings, parts, slices)
+    _write_terms(document_frequency(_read_blocks(spark, base)), path, folder, parts)
+    _write_version(spark, path, [_entry(spark, path, 1, folder, parts, slices)])
+    return load_index(spark, path)

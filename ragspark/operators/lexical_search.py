@@ -1,14 +1,17 @@
 """Keyword search: BM25 over the text index, for a whole table of questions at once.
 
-Every search is first turned into *weighted terms*, rows of ``qid, grp, field, term, df, w,
-avgdl``. The score of an article within one ``grp`` is the sum over its matching terms of
-``w * tf / (tf + k1 * (1 - b + b * dl / avgdl))``; an article's final score is the best of its
-groups. One group per field gives the best-field search, one group for all fields the additive
-boolean search.
-
-Counted and found small, the terms travel to the postings, which are bucketed by article.
-Matching, adding up and keeping the best ``k`` of a bucket then all happen in place, and ``k``
-rows per question and bucket are the only ones shuffled.
+Every search is first turned into *weighted terms*, rows of ``qid, grp, field, term, df, top, w,
+avgdl``. The score of an article within one ``grp`` is the sum over its matching terms of ``w``
+times the article's share of the term; an article's final score is the best of its groups. One group
+per field gives the best-field search, one group for all fields the additive boolean search.
+
+Counted and found small, the terms go to the blocks of their parts; their postings are shuffled once,
+by article, and added up in sparse blocks of bounded memory. Where the terms have many postings, two
+rounds go before. The first reads the heaviest block of each term: the k-th best sum found is a lower
+bound of a question's result. Terms that together stay below it cannot lift an article into the
+result. The second round adds up the others, the *deciding* terms, without blocks and postings that
+stay below the bound even beside the heaviest postings of all other terms; articles that can still
+reach the bound are the candidates. The last round reads only the blocks that candidates lie in.
 """
 
 from __future__ import annotations
@@ -17,18 +20,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import tokens
-from ..session import BROADCAST_LIMIT_BYTES, byte_size, cut, needed
-from .lexical_index import LexicalIndex
-from .topk import best_cells, best_rows, whole
+from ..session import BROADCAST_LIMIT_BYTES, cut, needed, parallel, pieces_of, sized
+from ..sources.tables import union_all
+from .lexical_index import BLOCK, LexicalIndex, growth, posting_rows, share, tier_block
+from .topk import best_rows, whole
 
-# Fixed values of the scoring formula and of the field weights.
-K1 = 1.2
-B = 0.75
+# Fixed values of the field weights.
 TITLE_WEIGHT = 3.0
 FIELD_WEIGHTS = {"title": TITLE_WEIGHT, "text": 1.0}
 SCORE_DIGITS = 6
@@ -36,7 +39,9 @@ ARTICLES_PER_QUESTION = 2
 PAGE_SIZE = 10
 
 # Above this many (question term, posting) pairs the search prunes before it scores.
-PRUNE_ABOVE_PAIRS = 1_000_000_000
+PRUNE_ABOVE_PAIRS = 200_000_000
+# Tiers of blocks that a term's postings of one part can fill.
+TIERS = 22
 # Postings a question may read to find its first lower bound.
 SEED_POSTINGS = 100_000
 # One salt of a frequent term holds at most this many postings.
@@ -45,11 +50,11 @@ SALT_POSTINGS = 1_000_000
 # so there are at most MAX_FREQUENT_TERMS of them.
 MAX_FREQUENT_TERMS = 200_000
 
-# Scores a task holds at once, as a matrix of questions x articles, and impacts it adds at once.
-BLOCK_SCORES = 2_000_000
+# Impacts a task adds at once, and postings that one task of a search gets.
 BLOCK_IMPACTS = 4_000_000
+TASK_POSTINGS = 1_000_000
 
-_WEIGHTED = ["qid", "grp", "field", "term", "w", "avgdl"]
+_WEIGHTED = ["qid", "grp", "field", "term", "w", "avgdl", "top"]
 
 
 def question_terms(questions: DataFrame, fields=tuple(FIELD_WEIGHTS)) -> DataFrame:
@@ -67,29 +72,22 @@ def weigh_terms(terms: DataFrame, index: LexicalIndex, weights: dict[str, float]
 
     groups = [0] * len(weights) if additive else range(len(weights))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return (terms
-            .join(index.doc_freq, ["field", "term"])
+    few = sized(terms, ["qid", "field", "term"])  # then the frequencies are scanned in place
+    return (few.join(index.doc_freq, ["field", "term"])
             .join(F.broadcast(index.stats), "field")  # one row per field
-            .select("qid", by_field(groups).alias("grp"), "field", "term", "df",
+            .select("qid", by_field(groups).alias("grp"), "field", "term", "df", "top",
                     (by_field(weights.values()) * idf).alias("w"), "avgdl"))
 
 
 def _impact() -> Column:
-    tf = F.col("tf")
-    return F.col("w") * tf / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return F.col("w") * share(F.col("tf"), F.col("dl"), F.col("avgdl"))
 
 
-def _match(terms: DataFrame, index: LexicalIndex, small: bool) -> DataFrame:
-    """Weighted terms joined to their postings, one row per (question term, article).
-
-    ``small`` says the terms were counted and may be broadcast: postings then stay in their
-    buckets. Otherwise both sides shuffle, and terms frequent enough to overload a task are
-    salted by article.
+def _match(terms: DataFrame, index: LexicalIndex) -> DataFrame:
+    """Weighted terms, too many to broadcast, joined to their postings: one row per (question term,
+    article). Terms frequent enough to overload a task are salted by article.
     """
     rows = terms.select(*_WEIGHTED)
-    keys = ["field", "term"]
-    if small:
-        return index.postings.join(F.broadcast(rows), keys)
     total = index.doc_freq.agg(F.sum("df").alias("total")).scalar()
     frequent = (index.doc_freq
                 .where((F.col("df") > SALT_POSTINGS) & (F.col("df") * MAX_FREQUENT_TERMS >= total))
@@ -99,7 +97,7 @@ def _match(terms: DataFrame, index: LexicalIndex, small: bool) -> DataFrame:
               .withColumn("salt", F.pmod(F.xxhash64("article_id"), salts).cast("int")).drop("salts"))
     copies = (rows.join(F.broadcast(frequent), ["field", "term"], "left")
               .withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts"))
-    return spread.join(copies, [*keys, "salt"])
+    return spread.join(copies, ["field", "term", "salt"])
 
 
 def _impacts(matches: DataFrame) -> DataFrame:
@@ -109,7 +107,7 @@ def _impacts(matches: DataFrame) -> DataFrame:
 def _best_group(impacts: DataFrame, groups: int) -> DataFrame:
     """(qid, article_id, raw): sum of impacts per group, then the best group.
 
-    One aggregate with a sum per group; bucketed impacts need no shuffle for it.
+    One aggregate with a sum per group.
     """
     sums = [F.coalesce(F.sum(F.when(F.col("grp") == g, F.col("impact"))), F.lit(0.0)) for g in range(groups)]
     if groups == 1:
@@ -125,8 +123,7 @@ def _keep_best(scored: DataFrame, k: int, order: Column) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
 
 
-def _pruned(terms: DataFrame, index: LexicalIndex, k: int, groups: int, small: bool,
-            worth_pairs: float | None) -> DataFrame:
+def _pruned(terms: DataFrame, index: LexicalIndex, k: int, groups: int, worth_pairs: float | None) -> DataFrame:
     """Impacts of every article that can reach the best ``k``, complete where it matters.
 
     1. The rarest terms of a question give some articles a partial score; the k-th of them is a
@@ -141,13 +138,12 @@ def _pruned(terms: DataFrame, index: LexicalIndex, k: int, groups: int, small: b
     If the deciding terms touch more than ``worth_pairs`` postings, nothing is gained and all
     terms are matched after all.
     """
-    hint = F.broadcast if small else (lambda df: df)  # what follows is no larger than the terms
     rare_first = W.partitionBy("qid").orderBy("df", "grp", "field", "term")
     seeds = (terms
              .withColumn("seen", F.sum("df").over(rare_first.rowsBetween(W.unboundedPreceding, 0)))
              .withColumn("nth", F.row_number().over(rare_first))
              .where((F.col("nth") == 1) | (F.col("seen") <= SEED_POSTINGS)))
-    first = _keep_best(_best_group(_impacts(_match(seeds, index, small)), groups), k, F.col("raw"))
+    first = _keep_best(_best_group(_impacts(_match(seeds, index)), groups), k, F.col("raw"))
     # a margin below the bound keeps articles that tie with the k-th once scores are rounded
     bound = first.where(F.col("rank") == k).select("qid", (F.col("raw") - 10.0 ** -(SCORE_DIGITS - 1)).alias("bound"))
     light_first = (W.partitionBy("qid", "grp").orderBy("w", "field", "term")
@@ -158,113 +154,299 @@ def _pruned(terms: DataFrame, index: LexicalIndex, k: int, groups: int, small: b
     if worth_pairs is not None:
         left = split.where("decides").agg(F.sum("df").alias("pairs")).first()["pairs"] or 0
         if left > worth_pairs:
-            return _impacts(_match(terms, index, small))
+            return _impacts(_match(terms, index))
     deciding, rest = split.where("decides"), split.where("NOT decides").select(*_WEIGHTED)
     limits = split.groupBy("qid", "grp").agg(
         F.max("bound").alias("bound"),
         F.coalesce(F.max(F.when(~F.col("decides"), F.col("below"))), F.lit(0.0)).alias("rest_w"))
-    partial = (_impacts(_match(deciding, index, small))
+    partial = (_impacts(_match(deciding, index))
                .groupBy("qid", "grp", "article_id").agg(F.sum("impact").alias("impact")))
-    candidates = cut(partial.join(hint(limits), ["qid", "grp"])
+    candidates = cut(partial.join(limits, ["qid", "grp"])
                      .where(F.col("bound").isNull() | (F.col("impact") + F.col("rest_w") >= F.col("bound")))
                      .select("qid", "grp", "article_id", "impact"))
-    asked = hint(rest.select("field", "term").distinct())
+    asked = rest.select("field", "term").distinct()
     common = index.postings.join(asked, ["field", "term"], "left_semi")
-    added = _impacts(candidates.drop("impact").join(hint(rest), ["qid", "grp"])
+    added = _impacts(candidates.drop("impact").join(rest, ["qid", "grp"])
                      .join(common, ["article_id", "field", "term"]))
     return candidates.unionByName(added)
 
 
-def _in_place(terms: DataFrame, index: LexicalIndex, k: int, groups: int) -> DataFrame:
-    """Best ``k`` of each bucket for (counted, bounded) terms: (qid, article_id, score).
+class _Asked:
+    """The (counted, bounded) weighted terms of a search, as arrays.
 
-    Distinct terms are numbered and broadcast to the postings; each article's matches come
-    together in its bucket, bounded by the length of the article. A task then adds the impacts
-    of a block of articles into a matrix of questions by articles and keeps the best of it.
-    A hash table of all (question, article) pairs would do the same at many times the cost.
+    Terms are numbered; entries are the (question, group) cells a term counts in.
     """
-    table = terms.select(*_WEIGHTED).toArrow()
-    spark = terms.sparkSession
-    types = (terms.schema["qid"].dataType.simpleString(), index.postings.schema["article_id"].dataType.simpleString())
-    if table.num_rows == 0:
-        return spark.createDataFrame([], f"qid {types[0]}, article_id {types[1]}, score double")
-    names = pa.table({"field": whole(table.column("field")), "term": whole(table.column("term"))})
-    distinct = names.group_by(["field", "term"]).aggregate([])
-    position = {key: i for i, key in enumerate(zip(*(distinct.column(c).to_pylist() for c in ("field", "term"))))}
-    number = np.array([position[key] for key in zip(*(names.column(c).to_pylist() for c in ("field", "term")))])
-    order = np.argsort(number, kind="stable")
-    qids = whole(table.column("qid")).dictionary_encode()
-    avgdl = np.empty(len(position))
-    avgdl[number] = table.column("avgdl").to_numpy()
-    starts = np.searchsorted(number[order], np.arange(len(position) + 1))
-    cell = (table.column("grp").to_numpy() * len(qids.dictionary) + qids.indices.to_numpy())[order]
-    sent = spark.sparkContext.broadcast(
-        (qids.dictionary, starts, cell, table.column("w").to_numpy()[order], avgdl))
-    numbered = spark.createDataFrame(
-        distinct.append_column("number", pa.array(np.arange(len(position)), pa.int32())))
-
-    matched = (index.postings.join(F.broadcast(numbered), ["field", "term"])
-               .groupBy("article_id")
-               .agg(F.collect_list(F.struct("number", F.col("dl").cast("double").alias("dl"),
-                                            F.col("tf").cast("double").alias("tf"))).alias("matches")))
+
+    def __init__(self, table: pa.Table, groups: int):
+        names = list(zip(*(table.column(c).to_pylist() for c in ("field", "term"))))
+        self.names = list(dict.fromkeys(names))
+        number = {key: i for i, key in enumerate(self.names)}
+        self.term = np.array([number[key] for key in names], np.int64)
+        qids = whole(table.column("qid")).dictionary_encode()
+        self.qids, self.groups = qids.dictionary, groups
+        self.cell = table.column("grp").to_numpy().astype(np.int64) * len(self.qids) + qids.indices.to_numpy()
+        self.w = table.column("w").to_numpy()
+        self.top, self.avgdl, self.df = (np.empty(len(self.names)) for _ in range(3))
+        for name in ("top", "avgdl", "df"):
+            getattr(self, name)[self.term] = table.column(name).to_numpy()
+        self.hash = np.empty(len(self.names), np.int64)
+        self.hash[self.term] = table.column("hash").to_numpy()
+        self.floor, self.decides = np.zeros(len(names)), np.ones(len(names), bool)
+        self.bound = np.full(len(self.qids), -np.inf)
+        self.slack = np.zeros(groups * len(self.qids))
+
+    def set_bounds(self, found: pa.Table, k: int) -> None:
+        """Take the k-th best sums of the first round (``qid, score``) as bounds."""
+        place = {q: i for i, q in enumerate(self.qids.to_pylist())}
+        scores: dict[int, list[float]] = {}
+        for q, score in zip(found.column("qid").to_pylist(), found.column("score").to_pylist()):
+            scores.setdefault(place[q], []).append(score)
+        for q, mine in scores.items():
+            if len(mine) >= k:
+                # rounding, and ties with the k-th, stay above the bound
+                self.bound[q] = sorted(mine, reverse=True)[k - 1] - 10.0 ** -(SCORE_DIGITS - 1)
+        heaviest, bound = self.w * self.top[self.term], self.bound[self.cell % len(self.qids)]
+        order = np.lexsort((heaviest, self.cell))  # the light terms of each cell first
+        running = np.cumsum(heaviest[order])
+        first = np.r_[True, np.diff(self.cell[order]) != 0]
+        before = np.maximum.accumulate(np.where(first, running - heaviest[order], -np.inf))
+        self.decides = np.empty(len(order), bool)
+        self.decides[order] = running - before >= bound[order]
+        self.slack = np.bincount(self.cell[~self.decides], heaviest[~self.decides], len(self.slack))
+        rest = np.bincount(self.cell, heaviest, len(self.slack))[self.cell] - heaviest
+        self.floor = np.clip((bound - rest) / self.w - 1e-8, 0, 2)
+
+    def needed(self, deciding: bool = False) -> list[tuple[int, int, str, str, float]]:
+        """Number, hash, field, term and lowest floor of the (deciding) terms."""
+        least = np.full(len(self.names), np.inf)
+        used = self.decides if deciding else slice(None)
+        np.minimum.at(least, self.term[used], self.floor[used] if deciding else 0.0)
+        return [(i, int(self.hash[i]), *self.names[i], float(least[i])) for i in np.flatnonzero(least <= self.top).tolist()]
+
+    def arrays(self, deciding: bool = False) -> tuple:
+        """Entries by term, of each term those with low floors first."""
+        floor = self.floor if deciding else np.zeros(len(self.floor))
+        order = np.lexsort((floor, self.term))
+        order = order[self.decides[order]] if deciding else order
+        key = self.term[order] * 4.0 + floor[order]
+        begin = np.searchsorted(self.term[order], np.arange(len(self.names) + 1))
+        limits = (self.slack, self.bound) if deciding else None
+        return self.qids, self.groups, begin, key, self.cell[order], self.w[order], self.avgdl, limits
+
+
+def _sums(asked: tuple, number: np.ndarray, share_: np.ndarray, article: np.ndarray, n: int
+          ) -> tuple[np.ndarray, np.ndarray]:
+    """Sums by (cell, article) of whole articles' postings: places ``cell * n + article`` in order,
+    and their totals. Memory follows the matches."""
+    qids, groups, begin, key, cell, w, *_ = asked
+    copies = np.searchsorted(key, number * 4.0 + share_, side="right") - begin[number]
+    posting = np.repeat(np.arange(len(number)), copies)
+    entry = np.arange(len(posting)) - np.repeat(np.cumsum(copies) - copies, copies) + begin[number][posting]
+    impact, size = w[entry] * share_[posting], groups * len(qids) * n
+    place = cell[entry] * n + article[posting]
+    if size <= 4 * len(place):
+        total = np.bincount(place, impact, size)
+        place = np.flatnonzero(total)
+        return place, total[place]
+    order = np.argsort(place, kind="stable")
+    place, impact = place[order], impact[order]
+    first = np.flatnonzero(np.r_[True, np.diff(place) != 0]) if len(place) else np.zeros(0, np.int64)
+    return place[first], np.add.reduceat(impact, first) if len(first) else impact
+
+
+def _best_of(asked: tuple, place: np.ndarray, total: np.ndarray, articles: pa.Array, k: int) -> pa.Table:
+    """Best ``k`` articles of each question (``q, id, score``): of each article its best group."""
+    n, questions = len(articles), len(asked[0])
+    place = place % (questions * n)
+    if asked[1] > 1 and len(place):
+        order = np.argsort(place, kind="stable")
+        place, total = place[order], total[order]
+        first = np.flatnonzero(np.r_[True, np.diff(place) != 0])
+        place, total = place[first], np.maximum.reduceat(total, first)
+    total = np.rint(total * 10.0 ** SCORE_DIGITS) / 10.0 ** SCORE_DIGITS
+    return best_rows(pa.table({"q": pa.array(place // n, pa.int64()), "id": articles.take(pa.array(place % n)),
+                               "score": total}), k)
+
+
+def _needed_blocks(wanted: list[tuple], index: LexicalIndex, seeds: bool = False,
+                   places: DataFrame | None = None) -> list[tuple]:
+    """(segment, its blocks that can matter): by part, term and block maximum, and with ``places``
+    (``block``) by the blocks that candidates lie in."""
+    spark = index.doc_freq.sparkSession
+    if not wanted:
+        return []
+    number, hashes, field, term, floor = (list(x) for x in zip(*wanted))
+    table = spark.createDataFrame(pa.table({"number": pa.array(number, pa.int32()), "field": field, "term": term, "floor": floor}))
+    # a block maximum may lie too low only where later segments changed the mean lengths
+    means = {r["field"]: r["avgdl"] for r in index.stats.collect()} if len(index.segments) > 1 else {}
+    out = []
+    for segment in index.segments:
+        parts = {h % segment.parts for h in hashes}
+        asked = [s * segment.parts + p for s in range(segment.slices) for p in sorted(parts)]
+        blocks = segment.blocks
+        if len(asked) < segment.parts * segment.slices:
+            blocks = blocks.where(F.col("part").isin(asked))
+        if seeds:
+            blocks = blocks.where("block = 0")
+        top = F.col("top")
+        if means:
+            top = top * F.create_map(*[F.lit(x) for pair in growth(segment, means).items() for x in pair])[F.col("field")]
+        blocks = blocks.join(F.broadcast(table), ["field", "term"]).where(top >= F.col("floor"))
+        if places is not None:
+            blocks = blocks.join(sized(places, ["block"]), "block", "left_semi")
+        out.append((segment, blocks))
+    return out
+
+
+def _whole_articles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables cut between articles, of batches sorted by ``article_id``."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        ids = batch.column(0)
+        if not len(ids):
+            continue
+        codes = pc.run_end_encode(ids)
+        if held and held[-1].column(0)[-1].as_py() != ids[0].as_py():
+            yield pa.Table.from_batches(held)
+            held = []
+        start = codes.run_ends[-2].as_py() if len(codes.run_ends) > 1 else 0
+        if start:
+            yield pa.Table.from_batches([*held, batch.slice(0, start)])
+            held = []
+        held.append(batch.slice(start))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _added_up(asked: _Asked, index: LexicalIndex, k: int, found: list[tuple], postings_: float, schema: str,
+              deciding: bool = False, keep: DataFrame | None = None) -> DataFrame:
+    """Sum the postings of the blocks ``found``: (qid, article_id, score), the best ``k`` of each task,
+    or with ``deciding`` the candidates (article_id)."""
+    spark = index.doc_freq.sparkSession
+    if not found:
+        return spark.createDataFrame([], schema)
+    rows = union_all([index.live(segment, posting_rows(blocks, "number")) for segment, blocks in found])
+    rows = rows.select("article_id", "number", F.col("dl").cast("int").alias("dl"), F.col("tf").cast("int").alias("tf"))
+    if keep is not None:
+        rows = rows.join(sized(keep, ["article_id"]), "article_id", "left_semi")
+    tasks = max(parallel(spark), pieces_of(postings_, TASK_POSTINGS))
+    dealt = rows.repartition(tasks, "article_id").sortWithinPartitions("article_id")
+    sent = spark.sparkContext.broadcast(asked.arrays(deciding))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, begin, cells, w, mean = sent.value
-        width = groups * len(asked)
-        block = max(1, BLOCK_SCORES // width)
+        value = sent.value
+        questions, begin, mean, limits = value[0], value[2], value[6], value[7]
         best = None
-        for batch in batches:
-            lengths = batch.column(1).value_lengths().to_numpy()
-            numbers = batch.column(1).flatten().field(0).to_numpy()
-            impacts = np.cumsum(np.bincount(np.repeat(np.arange(len(lengths)), lengths),
-                                            begin[numbers + 1] - begin[numbers], len(lengths)))
+        for table in _whole_articles(batches):
+            codes = whole(table.column("article_id")).dictionary_encode()
+            article = codes.indices.to_numpy().astype(np.int64)
+            number = table.column("number").to_numpy().astype(np.int64)
+            tf, dl = (table.column(c).to_numpy().astype(np.float64) for c in ("tf", "dl"))
+            weight = share(tf, dl, mean[number])
+            # steps of whole articles and a bounded number of impacts
+            first = np.flatnonzero(np.r_[True, article[1:] != article[:-1]])
+            work = np.add.reduceat(begin[number + 1] - begin[number], first).cumsum()
             at = 0
-            while at < len(lengths):
-                done = impacts[at - 1] if at else 0
-                end = min(at + block, max(at + 1, np.searchsorted(impacts, done + BLOCK_IMPACTS)))
-                part = batch.slice(at, end - at)
-                at = end
-                lists = part.column(1)
-                flat = lists.flatten()
-                which, dl, tf = (flat.field(i).to_numpy() for i in range(3))
-                article = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
-                share = tf / (tf + K1 * (1 - B + B * dl / mean[which]))
-                copies = begin[which + 1] - begin[which]
-                posting = np.repeat(np.arange(len(which)), copies)
-                term = np.arange(len(posting)) - np.repeat(np.cumsum(copies) - copies, copies) + begin[which][posting]
-                place = cells[term] * part.num_rows + article[posting]
-                score = np.bincount(place, w[term] * share[posting], width * part.num_rows)
-                score = score.reshape(groups, len(asked), part.num_rows).max(axis=0)
-                matched_cells = score > 0
-                score = np.rint(score * 10.0 ** SCORE_DIGITS) / 10.0 ** SCORE_DIGITS
-                new = best_cells(score, part.column(0), k, matched=matched_cells)
+            while at < len(first):
+                end = max(at + 1, int(np.searchsorted(work, (work[at - 1] if at else 0) + BLOCK_IMPACTS)))
+                lo, hi = first[at], first[end] if end < len(first) else len(number)
+                low, at = int(article[lo]), end
+                names = codes.dictionary.slice(low, int(article[hi - 1]) - low + 1)
+                place, total = _sums(value, number[lo:hi], weight[lo:hi], article[lo:hi] - low, len(names))
+                if limits is not None:
+                    cell = place // len(names)
+                    reach = total + limits[0][cell] >= limits[1][cell % len(questions)]
+                    some = np.unique(place[reach] % len(names))
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(some))], ["article_id"])
+                    continue
+                new = _best_of(value, place, total, names, k)
                 best = new if best is None else best_rows(pa.concat_tables([best, new]), k)
         if best is not None:
-            out = pa.table({"qid": asked.take(whole(best.column("q"))), "article_id": best.column("id"),
+            out = pa.table({"qid": questions.take(whole(best.column("q"))), "article_id": best.column("id"),
                             "score": best.column("score")})
             yield from out.to_batches(max_chunksize=100_000)
 
-    return matched.mapInArrow(run, f"qid {types[0]}, article_id {types[1]}, score double")
+    return dealt.mapInArrow(run, f"article_id {index.articles.schema['article_id'].dataType.simpleString()}" if deciding else schema)
+
+
+def _candidates(asked: _Asked, index: LexicalIndex, k: int, schema: str) -> DataFrame | None:
+    """Articles that can reach the best ``k`` of a question; none where the deciding terms touch more
+    than half of all postings anyway."""
+    seeds = _added_up(asked, index, k, _needed_blocks(asked.needed(), index, seeds=True),
+                      np.minimum(asked.df, BLOCK).sum(), schema)
+    asked.set_bounds(_keep_best(seeds, k, F.col("score")).select("qid", "score").toArrow(), k)
+    deciding = asked.df[np.unique(asked.term[asked.decides])].sum()
+    if deciding > 0.5 * asked.df.sum():
+        return None
+    found = _needed_blocks(asked.needed(deciding=True), index)
+    return cut(_added_up(asked, index, k, found, deciding, schema, deciding=True).distinct())
+
+
+def _candidate_blocks(candidates: DataFrame) -> DataFrame:
+    """(block): where in the tiers of any term a candidate can lie."""
+    tiers = F.explode(F.sequence(F.lit(-1), F.lit(TIERS))).alias("tier")
+    return candidates.select("article_id", tiers).select(tier_block(F.col("tier")).alias("block")).distinct()
+
+
+def _fetched(terms: DataFrame, limit: int) -> pa.Table | None:
+    """The weighted terms, unless they take more than ``limit`` bytes."""
+    rows = limit // 128  # of the columns and of what is made of them
+    table = terms.select(*_WEIGHTED, "df", F.xxhash64("field", "term").alias("hash")).limit(rows + 1).toArrow()
+    return table if table.num_rows <= rows and table.nbytes <= limit else None
+
+
+def _result_schema(terms: DataFrame, index: LexicalIndex) -> str:
+    types = (terms.schema["qid"].dataType.simpleString(), index.articles.schema["article_id"].dataType.simpleString())
+    return f"qid {types[0]}, article_id {types[1]}, score double"
+
+
+def _small_search(table: pa.Table, schema: str, index: LexicalIndex, k: int, groups: int, prune: bool) -> DataFrame:
+    """(qid, article_id, score) for terms that fit a broadcast."""
+    if not table.num_rows:
+        return index.doc_freq.sparkSession.createDataFrame([], schema)
+    asked = _Asked(table, groups)
+    candidates = _candidates(asked, index, k, schema) if prune else None
+    if candidates is None:
+        return _added_up(asked, index, k, _needed_blocks(asked.needed(), index), asked.df.sum(), schema)
+    found = _needed_blocks(asked.needed(), index, places=_candidate_blocks(candidates))
+    return _added_up(asked, index, k, found, asked.df.sum() / 2, schema, keep=candidates)
+
+
+def block_counts(terms: DataFrame, index: LexicalIndex, k: int, groups: int = 1) -> dict[str, int]:
+    """Blocks the terms of a search have, blocks read to find its candidates, and blocks the
+    candidates lie in. Without candidates the search reads all."""
+    table = _fetched(terms, BROADCAST_LIMIT_BYTES)
+    if table is None or not table.num_rows:
+        return {"all": 0, "deciding": 0, "last": 0}
+    asked = _Asked(table, groups)
+    candidates = _candidates(asked, index, k, _result_schema(terms, index))
+
+    def count(found):
+        return sum(blocks.count() for _, blocks in found)
+    everything = count(_needed_blocks(asked.needed(), index))
+    if candidates is None:
+        return {"all": everything, "deciding": 0, "last": everything}
+    return {"all": everything, "deciding": count(_needed_blocks(asked.needed(deciding=True), index)),
+            "last": count(_needed_blocks(asked.needed(), index, places=_candidate_blocks(candidates)))}
 
 
 def rank_articles(terms: DataFrame, index: LexicalIndex, k: int, groups: int = 1, prune: bool | None = None,
                   broadcast_limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
     """(qid, article_id, score, rank): the best ``k`` articles of each question, exactly.
 
-    ``groups`` is the number of ``grp`` values, counted from 0. ``prune=None`` decides by the
-    number of postings the terms would touch.
+    ``groups`` is the number of ``grp`` values, counted from 0. ``prune=None`` decides by the number
+    of postings the terms would touch.
     """
-    size = terms.agg(byte_size(*_WEIGHTED).alias("bytes"), F.sum("df").alias("pairs")).first()
-    small = size["bytes"] <= broadcast_limit
-    pairs, worth_pairs = size["pairs"] or 0, None
-    if prune is None and pairs > PRUNE_ABOVE_PAIRS:
+    table = _fetched(terms, broadcast_limit)
+    pairs = terms.agg(F.sum("df").alias("n")).first()["n"] if table is None else pc.sum(table.column("df")).as_py()
+    worth_pairs = None
+    if prune is None and (pairs or 0) > PRUNE_ABOVE_PAIRS:
         prune, worth_pairs = True, pairs / 2
-    if not prune and small:
-        scored = _in_place(terms, index, k, groups)
+    if table is not None:
+        scored = _small_search(table, _result_schema(terms, index), index, k, groups, bool(prune))
     else:
         terms = cut(terms)  # read by every step of the pruning
-        impacts = (_pruned(terms, index, k, groups, small, worth_pairs) if prune
-                   else _impacts(_match(terms, index, small)))
+        impacts = _pruned(terms, index, k, groups, worth_pairs) if prune else _impacts(_match(terms, index))
         scored = _best_group(impacts, groups).withColumn("score", F.round("raw", SCORE_DIGITS))
     return _keep_best(scored, k, F.col("score")).select("qid", "article_id", "score", "rank")
 

@@ -68,8 +68,9 @@ def _with(*parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
 
 
-def _search(k: int, *, questions: str = QUESTIONS, combine: str = _BEST, where: str = "true") -> list[str]:
-    return [ARTICLES, questions, INDEX, QUESTION_TERMS, _scores(), _hits(k, combine, where)]
+def _search(k: int, *, articles: str = ARTICLES, questions: str = QUESTIONS, combine: str = _BEST,
+            where: str = "true") -> list[str]:
+    return [articles, questions, INDEX, QUESTION_TERMS, _scores(), _hits(k, combine, where)]
 
 
 # The other engine counts edits in bytes, so every letter outside ASCII is first mapped to one
@@ -353,6 +354,7 @@ FROM fields, unnest(range(1, len(terms) + 1)) AS u(n)""",
     "fuzzy_match": _with(*_fuzzy(10, "max(raw)", "field = 'text'")) + "SELECT * FROM hits",
     "bool_should_fuzzy": _with(*_fuzzy(10, _SUM, "true")) + "SELECT * FROM hits",
     "lexical_top2": _with(*_search(2)) + "SELECT * FROM hits",
+    "update_index": _with(*_search(2, articles=ARTICLES[:-1] + " WHERE doc_id % 11 <> 0)")) + "SELECT * FROM hits",
     "lexical_retrieve": _with(*_search(2, questions=(
         "questions AS (SELECT item_id AS qid, replace(text, ' ', ',') AS question FROM benchmark)"))) + """
 SELECT qid, article_id, score, rank, title, md5(text) AS text_md5 FROM hits JOIN articles USING (article_id)""",

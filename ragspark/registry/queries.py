@@ -325,6 +325,17 @@ def lexical_retrieve(spark, sf):
         F.md5("page_content.text").alias("text_md5"))
 
 
+def update_index(spark, sf):
+    """An index of an older corpus, brought up to date by one delta and searched: one article in
+    five is new, one in seven had another text, one in eleven is deleted."""
+    now, path = _articles(spark, sf).select("article_id", "title", "text"), fresh_path(spark, "lexical")
+    other = F.when(F.col("article_id") % 7 == 2, F.concat_ws(" ", "title", "text", "title")).otherwise(F.col("text"))
+    lexical_index.save_index(now.where("article_id % 5 <> 1").withColumn("text", other), path)
+    changed = now.where("(article_id % 5 = 1 OR article_id % 7 = 2) AND article_id % 11 <> 0")
+    index = lexical_index.update_index(spark, path, changed, now.where("article_id % 11 = 0").select("article_id"))
+    return lexical_search.multi_match(_questions(spark, sf), index, k=lexical_search.ARTICLES_PER_QUESTION)
+
+
 # --- vectors ------------------------------------------------------------------------------------
 
 def _weights(embedded: DataFrame, key: str) -> DataFrame:
@@ -477,7 +488,7 @@ QUERIES = {f.__name__: f for f in (
     repair_json_lines, parse_questions, parse_quality, questions_jsonl, read_questions,
     retrieval_questions, essay_questions,
     tokenize, postings, doc_freq, corpus_stats, match_text, multi_match, fuzzy_match, bool_should_fuzzy,
-    lexical_top2, lexical_retrieve,
+    lexical_top2, lexical_retrieve, update_index,
     embed_hashed, embed_queries, calibrate_int8, quantize_int8, quantize_queries, validate_vectors,
     knn_int8, knn_lsh, knn_self_check, semantic_retrieve,
     build_context, pair_answers, answer_questions, eval_cases, read_eval_cases, icontains, run_eval, pass_rate,

@@ -74,6 +74,11 @@ def parallel(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def pieces_of(total: int, each: int) -> int:
+    """How many pieces of ``each`` make up ``total``; at least one."""
+    return max(1, -(-int(total) // int(each)))
+
+
 def byte_size(*columns: str):
     """Aggregate: bytes of the named columns as text, plus a fixed cost per row."""
     width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in columns), F.lit(32))

@@ -33,6 +33,13 @@ def table_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(folder.suffix("/_SUCCESS"))
 
 
+def finished_folders(spark: SparkSession, root: str) -> list[str]:
+    """Names of the folders under ``root`` that hold a finished write."""
+    fs, folder = _hadoop_path(spark, root)
+    names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    return [n for n in names if table_exists(spark, f"{root}/{n}")]
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """Parquet scan; a missing path is reported by name instead of as a planning error."""
     reader = spark.read if schema is None else spark.read.schema(schema)

@@ -21,7 +21,7 @@ def world(spark, tmp_path_factory):
     articles = spark.createDataFrame([(str(i), i, t, x) for i, (t, x) in enumerate(TEXTS)],
                                      "article_id STRING, article_seq BIGINT, title STRING, text STRING")
     home = str(tmp_path_factory.mktemp("world"))
-    lexical = lexical_index.save_index(articles, home + "/lex", buckets=2)
+    lexical = lexical_index.save_index(articles, home + "/lex", parts=2)
     floats = encoders.embed(paragraphs.split_paragraphs(articles), "paragraph_id", "paragraph")
     tables.write_table(floats, home + "/floats")
     vectors, ranges = quantize.save_vector_index(spark.read.parquet(home + "/floats"), home + "/vec")

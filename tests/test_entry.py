@@ -5,12 +5,12 @@ import os
 import pytest
 
 import __spark_entry__ as entry_point
+from ragspark.registry.oracles import ORACLES
+from ragspark.registry.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables not present")
 
-QUERIES, ORACLES = entry_point.queries(), entry_point.oracle_sql()
-
 
 @pytest.fixture(scope="module")
 def duck():
@@ -41,6 +41,8 @@ def test_flagship(spark):
 
 def test_every_twin_has_a_query():
     assert set(ORACLES) <= set(QUERIES) and set(QUERIES) - set(ORACLES) == {"knn_lsh"}
+    assert set(QUERIES) <= set(entry_point.queries())
+    assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

@@ -52,7 +52,7 @@ def corpus(spark):
 
 @pytest.fixture(scope="module")
 def index(corpus, tmp_path_factory):
-    return lexical_index.save_index(corpus[1], str(tmp_path_factory.mktemp("lex")), buckets=4)
+    return lexical_index.save_index(corpus[1], str(tmp_path_factory.mktemp("lex")), parts=4)
 
 
 QUESTIONS = ["the bara obsti", "onlytitle", "onlytext", "inboth", "unknownword", "twin", "kimo, kimo, kimo", "the",
@@ -111,16 +111,88 @@ def test_unsaved_index_is_the_same(corpus, index, questions):
 
 def test_second_build_leaves_index_alone(spark, corpus, index, tmp_path):
     path = str(tmp_path / "ix")
-    lexical_index.save_index(corpus[1], path, buckets=2)
-    again = lexical_index.save_index(corpus[1].limit(1), path, buckets=2)
+    lexical_index.save_index(corpus[1], path, parts=2)
+    again = lexical_index.save_index(corpus[1].limit(1), path, parts=2)
     assert again.articles.count() == 305
-    replaced = lexical_index.save_index(corpus[1].limit(1), path, mode="overwrite", buckets=2)
+    replaced = lexical_index.save_index(corpus[1].limit(1), path, mode="overwrite", parts=2)
     assert replaced.articles.count() == 1
 
 
-def test_search_shuffles_only_the_best(index, questions):
-    plan = lexical_search.multi_match(questions, index, k=2)._jdf.queryExecution().executedPlan().toString()
-    assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 1 and "WindowGroupLimit" in plan
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_search_reads_only_the_parts_of_its_terms(spark, corpus, tmp_path):
+    index = lexical_index.save_index(corpus[1], str(tmp_path / "ix"), parts=64)
+    one = spark.createDataFrame([(1, "onlytext inboth")], "qid INT, question STRING")
+    plan = _plan(lexical_search.multi_match(one, index, k=2))
+    assert "PartitionFilters: [part" in plan and "WindowGroupLimit" in plan
+    # postings by article, best rows by question
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_blocks_are_skipped_without_a_change_of_the_result(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lexical_index, "BLOCK", 4)
+    monkeypatch.setattr(lexical_search, "BLOCK", 4)
+    rng = random.Random(2)
+    rows = [(i, f"t{i % 50}", " ".join(["the", "of"] * rng.randint(1, 3) + [f"w{rng.randint(0, 300)}" for _ in range(8)]))
+            for i in range(800)]
+    index = lexical_index.save_index(spark.createDataFrame(rows, "article_id INT, title STRING, text STRING"), str(tmp_path / "ix"))
+    asked = spark.createDataFrame([(i, f"the of w{i} w{i + 1} w{i + 2}") for i in range(0, 30, 5)], "qid INT, question STRING")
+    assert _by_question(lexical_search.multi_match(asked, index, k=2, prune=True)) == _by_question(
+        lexical_search.multi_match(asked, index, k=2, prune=False))
+    weights = lexical_search.FIELD_WEIGHTS
+    terms = lexical_search.weigh_terms(lexical_search.question_terms(asked.where("qid = 5")), index, weights)
+    counts = lexical_search.block_counts(terms, index, 2, len(weights))
+    assert 0 < counts["deciding"] < 0.5 * counts["all"] and counts["last"] < 0.7 * counts["all"]
+
+
+def _tables(index):
+    return [sorted(map(tuple, df.collect())) for df in (
+        index.articles.select("article_id", "title", "text"), index.doc_freq.select("field", "term", "df"),
+        index.postings, index.stats.selectExpr("field", "n", "round(avgdl, 9)"))]
+
+
+def test_updated_index_equals_a_new_one(spark, corpus, questions, tmp_path):
+    docs, df = corpus
+    path = str(tmp_path / "ix")
+    lexical_index.save_index(df.where("article_id % 3 <> 1").selectExpr(
+        "article_id", "title", "if(article_id % 4 = 0, concat(text, ' the lu outdated'), text) AS text"), path, parts=8)
+    lexical_index.update_index(spark, path, df.where("article_id % 3 = 1 OR article_id % 4 = 0"))
+    gone = spark.createDataFrame([(5,), (304,), (9999,)], "article_id INT")
+    again = df.where("article_id = 7")
+    updated = lexical_index.update_index(spark, path, again.unionByName(again), gone)
+    final = df.where("article_id NOT IN (5, 304)")
+    fresh = lexical_index.save_index(final, str(tmp_path / "fresh"))
+    assert len(updated.segments) == 3
+    for got, want in zip(_tables(updated), _tables(fresh)):
+        assert got == want
+    want = _by_question(lexical_search.multi_match(questions, fresh, k=5))
+    for how in ({}, {"prune": True}, {"broadcast_limit": 0}):
+        assert _by_question(lexical_search.multi_match(questions, updated, k=5, **how)) == want
+    merged = lexical_index.merge_index(spark, path)
+    assert len(merged.segments) == 1 and _tables(merged) == _tables(fresh)
+    assert _by_question(lexical_search.multi_match(questions, merged, k=5)) == want
+    # an older version is still there to be read
+    assert len(lexical_index.load_index(spark, path, 2).segments) == 2
+    only = lexical_index.update_index(spark, path, df.where("false"), gone.limit(1))
+    assert _tables(only) == _tables(fresh)
+
+
+def test_killed_overwrite_leaves_the_old_version(spark, corpus, tmp_path, monkeypatch):
+    path = str(tmp_path / "ix")
+    lexical_index.save_index(corpus[1], path)
+
+    def killed(*_):
+        raise RuntimeError("killed")
+    with monkeypatch.context() as m:
+        m.setattr(lexical_index, "_write_terms", killed)
+        with pytest.raises(RuntimeError):
+            lexical_index.save_index(corpus[1].limit(1), path, mode="overwrite")
+        with pytest.raises(RuntimeError):
+            lexical_index.update_index(spark, path, corpus[1].limit(1))
+    assert lexical_index.versions(spark, path) == [1]
+    assert lexical_index.load_index(spark, path).articles.count() == 305
 
 
 def _edits(a, b):
