@@ -193,9 +193,13 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", l
             .select(F.col(lang_column).cast("string").alias("lang"), F.col(text_column).alias("text"))
             .withColumn("key", F.xxhash64("lang", "text")))
     keys = rows.groupBy("lang", "key").agg(F.count("*").alias("n"))
-    common = keys.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    common = (keys.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("texts"))
+              .orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES))
+    # keys are hashes: a share of them holds about four times the sample, and only that is ranked
+    share = F.least(F.lit(1.0), F.lit(4.0 * PER_LANGUAGE) / F.col("texts"))
     rank = F.row_number().over(W.partitionBy("lang").orderBy("key"))
-    chosen = (keys.join(F.broadcast(common.select("lang")), "lang").withColumn("nth", rank)
+    chosen = (keys.join(F.broadcast(common.select("lang", "texts")), "lang")
+              .where(F.pmod("key", F.lit(1 << 20)) < share * (1 << 20)).withColumn("nth", rank)
               .where(F.col("nth") <= PER_LANGUAGE).select("lang", "key"))  # at most 64 x 500 keys
     sample = (rows.join(F.broadcast(chosen), ["lang", "key"])
               .mapInArrow(_sampler, "lang string, key long, windows array<binary>")
