@@ -6,7 +6,8 @@ ways to lay out the blocks:
 
 * few queries (their bytes are counted): they travel to every task and the vectors stay put;
 * many queries: both sides are hashed into cells of bounded size, each cell one block;
-* approximate: cells are the buckets of a random projection, oversized buckets split by salt.
+* approximate: only pairs that share a bucket of random projections are scored. Few queries travel to
+  the vectors with their bucket keys; for many, cells are the buckets, oversized ones split by salt.
 """
 
 from __future__ import annotations
@@ -16,14 +17,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..session import BROADCAST_LIMIT_BYTES, cut, parallel
-from .quantize import dequantize
+from .quantize import dequantize, same_length
 from .topk import best_cells, best_rows, whole
 
 PARAGRAPHS_PER_QUESTION = 10
@@ -31,13 +30,16 @@ SCORE_DIGITS = 9
 QUERY_BLOCK = 1024
 BLOCK_ROWS = 10_000
 CELL_ROWS = 50_000
+# Vectors matched with the queries' bucket keys at once, and pairs scored at once.
+KEYED_ROWS = 1_000
+PAIR_BLOCK = 100_000
 
 
 def _matrix(lists: pa.Array) -> np.ndarray:
     """List column as a matrix. float32 holds int8 dot products exactly up to 1,024 dimensions."""
     if isinstance(lists, pa.ChunkedArray):
         lists = lists.combine_chunks()
-    values = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+    values = same_length(lists)
     integral = np.issubdtype(values.dtype, np.integer)
     return values.astype(np.float32 if integral and values.shape[1] <= 1024 else np.float64)
 
@@ -182,60 +184,131 @@ def nearest_self(vectors: DataFrame) -> DataFrame:
 
 # --- approximate ----------------------------------------------------------------------------
 
+def _projections(dims: int, tables: int, projections: int, seed: int) -> np.ndarray:
+    """Random unit directions, (dims, tables * projections)."""
+    drawn = np.random.default_rng(seed).normal(size=(dims, tables * projections))
+    return drawn / np.sqrt((drawn * drawn).sum(axis=0))
+
+
+def _bucket_keys(rows: np.ndarray, directions: np.ndarray, tables: int, bucket_length: float) -> np.ndarray:
+    """One number per row and hash table, for the cut projections of the unit vector. Where two buckets
+    get one number, their rows are scored together."""
+    norms = _norms(rows)
+    unit = np.divide(rows, norms[:, None], out=np.zeros(rows.shape), where=norms[:, None] > 0)
+    cells = np.floor(unit @ directions / bucket_length).astype(np.int64).reshape(len(rows), tables, -1)
+    key = np.broadcast_to(np.arange(tables, dtype=np.uint64), cells.shape[:2]).copy()
+    for j in range(cells.shape[2]):
+        key = (key ^ cells[:, :, j].view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
+
+
+def _pair_scores(queries, query_norms, vectors, q, v) -> np.ndarray:
+    """Scores of listed pairs."""
+    norms, score = _norms(vectors), np.zeros(len(q))
+    for at in range(0, len(q), PAIR_BLOCK):
+        x, y = q[at:at + PAIR_BLOCK], v[at:at + PAIR_BLOCK]
+        dots = np.einsum("ij,ij->i", queries[x], vectors[y]).astype(np.float64)
+        length = query_norms[x] * norms[y]
+        score[at:at + PAIR_BLOCK] = np.divide(dots, length, out=np.zeros(len(x)), where=length > 0)
+    return np.rint(score * 10.0 ** SCORE_DIGITS) / 10.0 ** SCORE_DIGITS
+
+
 def lsh_knn(queries: DataFrame, vectors: DataFrame, k: int = PARAGRAPHS_PER_QUESTION,
             bucket_length: float = 0.5, tables: int = 16, projections: int = 3, seed: int = 42,
-            cell_rows: int = CELL_ROWS) -> DataFrame:
-    """Approximate neighbours: only vectors that share a bucket with the query are scored.
+            cell_rows: int = CELL_ROWS, broadcast_limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
+    """Approximate neighbours without a stored index: only vectors that share a bucket with the query
+    are scored, exactly. A query may have fewer than ``k`` such vectors; ``inverted_lists`` never has.
 
     ``tables`` independent hash tables, each keyed by ``projections`` random projections of the
-    unit vector cut every ``bucket_length``. Within a bucket the search is exact. A bucket with
-    more rows than ``cell_rows`` on a side is split on that side into salts, and the other side
-    is copied to each, so a bucket full of copies costs several bounded cells, not one huge one.
+    unit vector cut every ``bucket_length``. Few queries (counted) travel to the vectors with their keys
+    and nothing is shuffled but the hits. Otherwise rows meet by bucket; one with more rows than
+    ``cell_rows`` on a side is split on that side into salts, and the other side is copied to each.
     """
+    first = vectors.select(F.size("qv").alias("dims")).first()
+    if first is None:
+        qid_type, id_type = _types(queries, vectors)
+        return vectors.sparkSession.createDataFrame([], f"qid {qid_type}, id {id_type}, score double, rank int")
+    directions = _projections(first["dims"], tables, projections, seed)
+    needed = queries.agg(F.sum(F.size("qv") * 8 + 64 + 16 * tables).alias("bytes")).first()["bytes"] or 0
+    if needed <= broadcast_limit:
+        return _final(_carried_with_keys(queries, vectors, k, directions, tables, bucket_length), k)
     cores = parallel(vectors.sparkSession)
-    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=bucket_length,
-                                        numHashTables=tables * projections, seed=seed).fit(
-        _unit(vectors, "id"))
-    q = _buckets(model, queries, "qid", tables, projections)
-    v = _buckets(model, vectors, "id", tables, projections)
-    busy = _busy(q, "q_salts", cell_rows).join(_busy(v, "v_salts", cell_rows), ["slot", "bucket"], "full")
+    q = _buckets(queries, "qid", directions, tables, bucket_length)
+    v = _buckets(vectors, "id", directions, tables, bucket_length)
+    busy = _busy(q, "q_salts", cell_rows).join(_busy(v, "v_salts", cell_rows), "bucket", "full")
     # Each entry stands for more than cell_rows rows of a side: at most rows * tables / cell_rows.
     busy = cut(busy)
-    q, v = (side.join(busy, ["slot", "bucket"], "left")
+    q, v = (side.join(busy, "bucket", "left")
             .withColumns({"q_salts": F.coalesce("q_salts", F.lit(1)), "v_salts": F.coalesce("v_salts", F.lit(1))})
             for side in (q, v))
     q = (q.withColumn("q_salt", F.pmod(F.xxhash64("qid"), F.col("q_salts")).cast("int"))
          .withColumn("v_salt", F.explode(F.sequence(F.lit(0), F.col("v_salts") - 1))))
     v = (v.withColumn("v_salt", F.pmod(F.xxhash64("id"), F.col("v_salts")).cast("int"))
          .withColumn("q_salt", F.explode(F.sequence(F.lit(0), F.col("q_salts") - 1))))
-    # Cells are keyed by one number (where two buckets collide, their rows are scored together)
-    # and packed into parts of about cell_rows rows.
+    # packed into parts of about cell_rows rows
     parts = _parts((queries.count() + vectors.count()) * tables, cell_rows)
-    cell = F.xxhash64("slot", "bucket", "q_salt", "v_salt")
+    cell = F.xxhash64("bucket", "q_salt", "v_salt")
     found = _cells(*(side.withColumn("cell", cell).withColumn("part", F.pmod("cell", F.lit(max(parts, cores))))
                      for side in (q, v)), k)
     # an id met in several tables has the same score in each
     return _final(found.groupBy("qid", "id").agg(F.max("score").alias("score")), k)
 
 
-def _unit(rows: DataFrame, key: str) -> DataFrame:
-    square = F.aggregate("qv", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
-    length = F.when(square > 0, F.sqrt(square)).otherwise(1.0)
-    return rows.select(key, "qv", length.alias("length")).select(
-        key, "qv", array_to_vector(F.transform("qv", lambda x: x.cast("double") / F.col("length"))).alias("unit"))
+def _carried_with_keys(queries: DataFrame, vectors: DataFrame, k: int, directions: np.ndarray, tables: int,
+                       bucket_length: float) -> DataFrame:
+    table = queries.select("qid", "qv").toArrow()
+    qid_type, id_type = _types(queries, vectors)
+    schema = f"qid {qid_type}, id {id_type}, score double"
+    if table.num_rows == 0:
+        return queries.sparkSession.createDataFrame([], schema)
+    query_ids, matrix = whole(table.column("qid")), _matrix(table.column("qv"))
+    keys = _bucket_keys(matrix, directions, tables, bucket_length)
+    order = np.argsort(keys, axis=0, kind="stable")
+    sent = queries.sparkSession.sparkContext.broadcast(
+        (query_ids, matrix, _norms(matrix), np.take_along_axis(keys, order, 0).T.copy(), order.T.copy(), directions))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, rows, norms, known, owner, directions = sent.value
+        best = None
+        for batch in batches:
+            for at in range(0, batch.num_rows, KEYED_ROWS):
+                part = batch.slice(at, KEYED_ROWS)
+                here = _matrix(part.column(1))
+                keys, pairs = _bucket_keys(here, directions, tables, bucket_length), np.zeros(0, np.int64)
+                for t in range(tables):
+                    lo, hi = (np.searchsorted(known[t], keys[:, t], side=s) for s in ("left", "right"))
+                    n = hi - lo
+                    v = np.repeat(np.arange(len(here)), n)
+                    q = owner[t][np.arange(len(v)) - np.repeat(np.cumsum(n) - n, n) + lo[v]]
+                    pairs = np.union1d(pairs, q * len(here) + v)  # a pair of several tables counts once
+                q, v = pairs // len(here), pairs % len(here)
+                new = pa.table({"q": pa.array(q, pa.int64()), "id": part.column(0).take(pa.array(v)),
+                                "score": _pair_scores(rows, norms, here, q, v)})
+                best = best_rows(new if best is None else pa.concat_tables([best, new]), k)
+        if best is not None:
+            out = pa.table({"qid": names.take(whole(best.column("q"))), "id": best.column("id"), "score": best.column("score")})
+            yield from out.to_batches(max_chunksize=100_000)
+
+    return vectors.select("id", "qv").mapInArrow(run, schema)
+
+
+def _buckets(rows: DataFrame, key: str, directions: np.ndarray, tables: int, bucket_length: float) -> DataFrame:
+    """(key, qv, bucket): one row per hash table."""
+    kind = rows.schema[key].dataType.simpleString()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keys = _bucket_keys(_matrix(batch.column(1)), directions, tables, bucket_length)
+                row = pa.array(np.repeat(np.arange(batch.num_rows), tables))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(row), batch.column(1).take(row), pa.array(keys.ravel())], [key, "qv", "bucket"])
 
-def _buckets(model, rows: DataFrame, key: str, tables: int, projections: int) -> DataFrame:
-    """(key, qv, slot, bucket): one row per hash table."""
-    from pyspark.ml.functions import vector_to_array
-    cells = F.transform("hashes", lambda h: F.floor(vector_to_array(h)[0]).cast("string"))
-    slots = F.transform(F.sequence(F.lit(0), F.lit(tables - 1)),
-                        lambda t: F.array_join(F.slice("cells", t * projections + 1, projections), ","))
-    return (model.transform(_unit(rows, key)).withColumn("cells", cells)
-            .select(key, "qv", F.posexplode(slots).alias("slot", "bucket")))
+    return rows.select(key, "qv").mapInArrow(run, f"{key} {kind}, qv array<tinyint>, bucket long")
 
 
 def _busy(side: DataFrame, name: str, cell_rows: int) -> DataFrame:
-    return (side.groupBy("slot", "bucket").agg(F.count("*").alias("n"))
+    return (side.groupBy("bucket").agg(F.count("*").alias("n"))
             .where(F.col("n") > cell_rows)
-            .select("slot", "bucket", F.ceil(F.col("n") / cell_rows).cast("int").alias(name)))
+            .select("bucket", F.ceil(F.col("n") / cell_rows).cast("int").alias(name)))

@@ -14,11 +14,19 @@ from ..sources.tables import read_table, table_exists, write_table
 CALIBRATION_SCHEMA = "dim INT, lo DOUBLE, hi DOUBLE"
 
 
+def same_length(lists: pa.Array) -> np.ndarray:
+    """A list column as a matrix; vectors of different lengths, or with nulls inside, are an error."""
+    values = lists.flatten()
+    if lists.null_count or values.null_count or len(set(lists.value_lengths().to_pylist())) > 1:
+        raise ValueError("vectors of different lengths or with nulls: select those that are valid first")
+    return values.to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+
+
 def calibrate(vectors: DataFrame, batch_column: str | None = None) -> DataFrame:
     """(dim, lo, hi): range of each dimension over all vectors.
 
     Every task first reduces its own rows to one range per dimension, so only
-    ``tasks x dims`` rows are shuffled. With ``batch_column`` ranges are kept per batch instead.
+    ``tasks x dims`` rows are shuffled. Vectors must be of one length (see ``validate``). With ``batch_column`` ranges are kept per batch instead.
     """
     if batch_column is not None:
         values = vectors.select(F.col(batch_column).alias("batch"),
@@ -32,7 +40,7 @@ def calibrate(vectors: DataFrame, batch_column: str | None = None) -> DataFrame:
             lists = batch.column(0)
             if not len(lists):
                 continue
-            matrix = lists.flatten().to_numpy().reshape(len(lists), -1)
+            matrix = same_length(lists)
             below, above = matrix.min(axis=0), matrix.max(axis=0)
             lo = below if lo is None else np.minimum(lo, below)
             hi = above if hi is None else np.maximum(hi, above)
@@ -97,14 +105,26 @@ def validation_counts(vectors: DataFrame, dims: int, column: str = "embedding")
         F.lit(dims).alias("dims"), "accepted", "rejected")
 
 
-def save_vector_index(vectors: DataFrame, path: str, mode: str = "ignore") -> tuple[DataFrame, DataFrame]:
+def accepted(vectors: DataFrame, dims: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The valid vectors, and (dims, accepted, rejected). Without ``dims`` the commonest length counts."""
+    if dims is None:
+        sizes = vectors.where("embedding IS NOT NULL").groupBy(F.size("embedding").alias("dims")).agg(F.count("*").alias("n"))
+        most = sizes.orderBy(F.desc("n"), "dims").first()
+        dims = most["dims"] if most else 0
+    return validate(vectors, dims).where("valid").drop("valid"), validation_counts(vectors, dims)
+
+
+def save_vector_index(vectors: DataFrame, path: str, mode: str = "ignore", dims: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Write calibration and ``id, qv, norm`` under ``path``; return (index, calibration).
 
-    ``vectors`` is scanned twice, so it should be a stored table of floats.
+    ``vectors`` is scanned several times, so it should be a stored table of floats. Vectors of another
+    length or with nulls are left out before the ranges are taken, and counted in ``path/validation``.
     """
     spark = vectors.sparkSession
     if mode != "ignore" or not table_exists(spark, f"{path}/vectors"):
-        write_table(calibrate(vectors).coalesce(1), f"{path}/calibration")
+        fine, counts = accepted(vectors, dims)
+        write_table(counts.coalesce(1), f"{path}/validation")
+        write_table(calibrate(fine).coalesce(1), f"{path}/calibration")
         ranges = spark.read.parquet(f"{path}/calibration")
-        write_table(with_norm(quantize(vectors, ranges)), f"{path}/vectors")
+        write_table(with_norm(quantize(fine, ranges)), f"{path}/vectors")
     return read_table(spark, f"{path}/vectors"), read_table(spark, f"{path}/calibration")

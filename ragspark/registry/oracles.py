@@ -146,6 +146,30 @@ def _knn(queries: str, vectors: str, k: int) -> str:
     return _KNN.format(queries=queries, vectors=vectors, k=k)
 
 
+# Twenty sampled vectors as centroids; every vector lies in the two nearest lists, a query probes the
+# nine nearest and more until they hold twice ten vectors.
+INVERTED = """centroids AS (
+  SELECT id AS cid, qv, norm, CAST(row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR)), id) - 1 AS INTEGER) AS list
+  FROM vectors QUALIFY list < 20),
+near AS (
+  SELECT v.id, list, row_number() OVER (PARTITION BY v.id ORDER BY
+           round(CASE WHEN v.norm * c.norm = 0 THEN 0 ELSE list_dot_product(v.qv, c.qv) / (v.norm * c.norm) END, 9) DESC, list) AS nth
+  FROM vectors v, centroids c),
+filed AS (SELECT id, list FROM near WHERE nth <= 2),
+sizes AS (SELECT list, count(*) AS size FROM filed GROUP BY list),
+probed AS (
+  SELECT id AS qid, list FROM (
+    SELECT *, sum(coalesce(size, 0)) OVER (PARTITION BY id ORDER BY nth ROWS UNBOUNDED PRECEDING) - coalesce(size, 0) AS before
+    FROM near LEFT JOIN sizes USING (list)) WHERE nth <= 9 OR before < 20),
+pairs AS (
+  SELECT DISTINCT q.id AS qid, v.id, round(CASE WHEN q.norm * v.norm = 0 THEN 0
+         ELSE list_dot_product(q.qv, v.qv) / (q.norm * v.norm) END, 9) AS score
+  FROM probed p JOIN filed f USING (list) JOIN vectors q ON q.id = p.qid JOIN vectors v ON v.id = f.id),
+neighbours AS (
+  SELECT qid, id, score, CAST(nth AS INTEGER) AS rank
+  FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS nth FROM pairs) WHERE nth <= 10)"""
+
+
 # Paragraph and question vectors, quantized with the ranges of the paragraphs.
 SEMANTIC = ",\n".join([
     _hashed("paragraph_weights", "paragraphs", "paragraph_id", "paragraph"),
@@ -373,6 +397,9 @@ WHERE id % 2 = 1""",
   count(*) FILTER (vec_id % 3 = 0 OR len(embedding) <> 64) AS rejected FROM embeddings""",
     "knn_int8": _with(VALUES, _calibration(), QUANTIZED, _knn("quantized", "quantized", 10)) +
         "SELECT * FROM neighbours",
+    "knn_ivf": _with(VALUES, _calibration(), QUANTIZED,
+                     "vectors AS (SELECT *, sqrt(list_dot_product(qv, qv)) AS norm FROM quantized)", INVERTED) +
+        "SELECT * FROM neighbours",
     "knn_self_check": _with(VALUES, _calibration(), QUANTIZED, _knn("quantized", "quantized", 1)) +
         "SELECT qid AS id, id AS nearest_id, score, score = 1 AS found FROM neighbours",
     "semantic_retrieve": _with(QUESTIONS, PARAGRAPHS, SEMANTIC) + """

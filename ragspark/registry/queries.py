@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import encoders, json_lines, prompts, text
-from ..operators import contexts, fuzzy, knn, lexical_index, lexical_search, paragraphs, quantize
+from ..operators import contexts, fuzzy, inverted_lists, knn, lexical_index, lexical_search, paragraphs, quantize
 from ..plans import answering, evaluation, question_sets
 from ..session import fresh_path, parallel, shared_dir
 from ..sources import articles as corpus
@@ -387,6 +387,17 @@ def knn_lsh(spark, sf):
     return knn.lsh_knn(_vector_queries(index), index)
 
 
+def inverted_index(spark, sf) -> inverted_lists.InvertedLists:
+    """Sampled vectors as centroids, so that the lists can be stated in SQL; their number is fixed."""
+    index, _ = vector_index_tables(spark, sf)
+    return inverted_lists.save_lists(index, f"{_home(spark, sf)}/lists", lists=20, rounds=0)
+
+
+def knn_ivf(spark, sf):
+    """Approximate neighbours from the stored lists: nine of the twenty are probed for each query."""
+    return inverted_lists.search_lists(_vector_queries(vector_index_tables(spark, sf)[0]), inverted_index(spark, sf))
+
+
 def knn_self_check(spark, sf):
     return knn.nearest_self(vector_index_tables(spark, sf)[0])
 
@@ -490,7 +501,7 @@ QUERIES = {f.__name__: f for f in (
     tokenize, postings, doc_freq, corpus_stats, match_text, multi_match, fuzzy_match, bool_should_fuzzy,
     lexical_top2, lexical_retrieve, update_index,
     embed_hashed, embed_queries, calibrate_int8, quantize_int8, quantize_queries, validate_vectors,
-    knn_int8, knn_lsh, knn_self_check, semantic_retrieve,
+    knn_int8, knn_lsh, knn_ivf, knn_self_check, semantic_retrieve,
     build_context, pair_answers, answer_questions, eval_cases, read_eval_cases, icontains, run_eval, pass_rate,
     stream_questions,
 )}

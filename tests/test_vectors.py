@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ragspark.functions import encoders
-from ragspark.operators import knn, quantize
+from ragspark.operators import inverted_lists, knn, quantize
 
 
 def _floats(spark, rows):
@@ -119,7 +119,8 @@ def test_approximate_is_exact_within_buckets(spark, matrix):
     score = {(a, b): s for (a, b, _), s in want.items()}
     got = knn.lsh_knn(q, v, 5, bucket_length=0.6, tables=12, projections=2).collect()
     split = knn.lsh_knn(q, v, 5, bucket_length=0.6, tables=12, projections=2, cell_rows=40).collect()
-    assert sorted(got) == sorted(split)     # salting changes nothing
+    many = knn.lsh_knn(q, v, 5, bucket_length=0.6, tables=12, projections=2, cell_rows=40, broadcast_limit=0).collect()
+    assert sorted(got) == sorted(split) == sorted(many)     # neither layout nor salting changes anything
     hit = sum((r.qid, r.id) in score for r in got)
     assert hit / len(want) >= 0.95
     assert all(abs(score[r.qid, r.id] - r.score) < 2e-9 for r in got if (r.qid, r.id) in score)
@@ -136,3 +137,61 @@ def test_dequantized_scores_follow_the_floats(spark):
     best = np.argsort(-(unit @ unit.T), axis=1)[:, :10]
     got = {(r.qid, r.id) for r in knn.exact_knn(q, v, 10, calibration=ranges).collect()}
     assert np.mean([(i, int(j)) in got for i in range(300) for j in best[i]]) > 0.97
+
+
+# --- stored lists ---------------------------------------------------------------------------------
+
+@pytest.fixture(scope="module")
+def clustered():
+    rng = np.random.default_rng(6)
+    centers = rng.integers(-100, 100, (12, 24))
+    data = np.clip(np.repeat(centers, 50, 0) + rng.integers(-40, 41, (600, 24)), -128, 127)
+    data[:200] = data[0]  # a third of all vectors are one
+    data[599] = 0
+    return data
+
+
+@pytest.mark.parametrize("how", [{}, {"broadcast_limit": 0, "cell_rows": 30}])
+def test_lists_find_almost_all_neighbours(spark, clustered, tmp_path, how):
+    v = _bytes(spark, clustered).repartition(4)
+    q = _bytes(spark, clustered[195:300], "qid")
+    index = inverted_lists.save_lists(v, str(tmp_path / "lists"))
+    assert index.sizes.sum() == 2 * 600
+    got = inverted_lists.search_lists(q, index, 5, probes=4, **how).collect()
+    assert len(got) == 5 * 105  # none comes up short
+    want = _want(clustered[195:300], clustered, 5)
+    score = {(a, b): s for (a, b, _), s in want.items()}
+    found = [(r.qid, r.id) for r in got if (r.qid, r.id) in score]
+    assert len(set(found)) / len(want) >= 0.95
+    assert all(abs(score[r.qid, r.id] - r.score) < 2e-9 for r in got if (r.qid, r.id) in score)
+    every = inverted_lists.search_lists(q, index, 5, probes=len(index.centroids), **how).collect()
+    assert {(r.qid, r.id, r["rank"]) for r in every} == set(want)
+
+
+def test_lists_are_read_where_probed(spark, clustered, tmp_path):
+    v = _bytes(spark, clustered)
+    index = inverted_lists.save_lists(v, str(tmp_path / "lists"), lists=20, rounds=3)
+    plan = inverted_lists.search_lists(_bytes(spark, clustered[400:401], "qid"), index, 2, probes=2)
+    assert "PartitionFilters: [list" in plan._jdf.queryExecution().executedPlan().toString()
+    again = inverted_lists.save_lists(v.limit(1), str(tmp_path / "lists"))  # what is there stays
+    assert again.sizes.tolist() == index.sizes.tolist()
+
+
+def test_lists_of_few_vectors(spark, clustered, tmp_path):
+    index = inverted_lists.save_lists(_bytes(spark, clustered[300:303]), str(tmp_path / "a"))
+    q = _bytes(spark, clustered[300:302], "qid")
+    assert inverted_lists.search_lists(q, index, 10, probes=1).count() == 6
+    assert inverted_lists.search_lists(q.limit(0), index, 10).count() == 0
+    empty = inverted_lists.save_lists(_bytes(spark, clustered[:1]).limit(0), str(tmp_path / "b"))
+    assert inverted_lists.search_lists(q.limit(0), empty, 10).count() == 0
+
+
+def test_ragged_vectors_are_left_out_and_counted(spark, tmp_path):
+    rows = [(i, [float(i), 1.0, -2.0]) for i in range(6)] + [(7, [1.0]), (8, None), (9, [1.0, None, 2.0]), (10, [99.0] * 4)]
+    floats = spark.createDataFrame(rows, "id long, embedding array<float>")
+    index, ranges = quantize.save_vector_index(floats, str(tmp_path / "ix"))
+    assert {r["id"] for r in index.collect()} == set(range(6)) and ranges.count() == 3
+    counts = spark.read.parquet(str(tmp_path / "ix/validation")).first()
+    assert (counts["dims"], counts["accepted"], counts["rejected"]) == (3, 6, 4)
+    with pytest.raises(Exception, match="different lengths"):
+        quantize.calibrate(floats).collect()
