@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 # inside a context and inside a question-writing prompt.
 TERM_SEPARATOR = r"[^\p{L}\p{N}]+"
 PARAGRAPH_DELIMITER = "\n\n"
+SENTENCE_END = r"[.!?\n]+"
 CONTEXT_CHARS = 12000
 ARTICLE_CHARS = 14000
 
@@ -23,6 +24,24 @@ def pieces(text: Column, delimiter: str = PARAGRAPH_DELIMITER) -> Column:
     return F.split(text, f"\\Q{delimiter}\\E")
 
 
+def sentences(text: Column) -> Column:
+    """Pieces between sentence ends, also empty ones."""
+    return F.split(text, SENTENCE_END)
+
+
+def windows(text: Column, size: int, overlap: int) -> Column:
+    """Overlapping windows of ``size`` pieces between blanks, which together hold the whole text.
+
+    Each window but the first begins with the last ``overlap`` pieces of the one before.
+    """
+    if not 0 <= overlap < size:
+        raise ValueError("the overlap must be smaller than the window")
+    words = F.split(text, " ")
+    count = F.greatest(F.ceil((F.size(words) - overlap) / (size - overlap)), F.lit(1))
+    starts = F.sequence(F.lit(0), (count - 1).cast("int"))
+    return F.transform(starts, lambda i: F.array_join(F.slice(words, i * (size - overlap) + 1, size), " "))
+
+
 def first_line(text: Column) -> Column:
     """Title of an article that has none: its first line."""
     return F.split_part(text, F.lit("\n"), F.lit(1))

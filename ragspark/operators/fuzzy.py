@@ -19,9 +19,9 @@ from ..session import cut, fits_broadcast, parallel
 from .lexical_index import LexicalIndex
 from .lexical_search import FIELD_WEIGHTS, PAGE_SIZE, question_terms, rank_articles, weigh_terms
 
-# Terms shorter than 3 match exactly, up to 5 within one edit, longer within two;
-# an expansion keeps at most 50 terms.
-MAX_EXPANSIONS = 50
+# Terms shorter than 3 match exactly, up to 5 within one edit, longer within two.
+# A limit on the terms of one expansion is a setting; by default all near terms count.
+MAX_EXPANSIONS = None
 
 
 def allowed_edits(term: Column) -> Column:

@@ -9,16 +9,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.encoders import DIMS, embed
-from ..functions.generation import ANSWERING, Sampling, extractive_stand_in, generate
+from ..functions.generation import ANSWERING, Factory, Sampling, generate
 from ..functions.prompts import PromptSet, PromptVariant, chosen, render
 from ..functions.text import PARAGRAPH_DELIMITER
-from ..operators.contexts import article_body, build_context, pair_answers
+from ..operators.contexts import article_body, context_windows, merge_windows, pair_answers
 from ..operators.knn import PARAGRAPHS_PER_QUESTION, exact_knn
 from ..operators.lexical_index import LexicalIndex
 from ..operators.lexical_search import ARTICLES_PER_QUESTION, lexical_retrieve
 from ..operators.paragraphs import paragraph_to_text
 from ..operators.quantize import quantize
-from ..session import cut
+from ..session import cut, sized
+from ..sources.tables import write_table
 
 # Fixed values.
 NO_QUESTION = "No user question found."
@@ -65,57 +66,59 @@ def semantic_retriever(index: VectorIndex, k: int = PARAGRAPHS_PER_QUESTION) ->
     return lambda questions: semantic_retrieve(questions, index, k)
 
 
-def _contexts(searched: DataFrame, retriever: Retriever, body: Column, separator: str) -> DataFrame:
-    """(qid, context). A text that many questions share is searched once, under its lowest qid."""
-    once = cut(searched.groupBy("question").agg(F.min("qid").alias("qid")))
-    found = build_context(retriever(once), body, separator=separator)
-    texts = once.join(found, "qid").select("question", "context")
-    return searched.join(texts, "question").select("qid", "context")
+def _windows(searched: DataFrame, retriever: Retriever, body: Column) -> DataFrame:
+    """(qid, rank, window_no, context) of the hits. A text that many questions share is searched once,
+    under its lowest qid."""
+    once = cut(searched.groupBy("question").agg(F.min("qid").alias("first")))
+    found = cut(context_windows(retriever(once.withColumnRenamed("first", "qid")), body))
+    keyed = searched.join(sized(once, ["question", "first"]), "question").select("qid", "first")
+    return keyed.join(found.withColumnRenamed("qid", "first"), "first").drop("first")
 
 
-def _context_answers(asked: DataFrame, contexts: DataFrame, template, factory, sampling: Sampling,
-                     out: str) -> DataFrame:
-    """(qid, <out>): fill the context prompt and generate. No hits, empty context."""
-    rows = asked.join(contexts, "qid", "left").select(
-        "qid", render(template, F.col("context"), F.col("question")).alias("prompt"))
-    return generate(rows, factory, out=out, sampling=sampling)
+def _window_answers(asked: DataFrame, windows: DataFrame, template, factory, sampling: Sampling, variant: str | None,
+                    out: str) -> DataFrame:
+    """(qid, <out>): the context prompt is filled and answered for every window of the hits, and the
+    best supported answer is kept. No hits, one empty context."""
+    rows = asked.join(windows, "qid", "left")
+    rows = rows.select("qid", "rank", "window_no", "question", "context", *([variant] if variant else []),
+                       render(template, F.col("context"), F.col("question")).alias("prompt"))
+    return merge_windows(generate(rows, factory, out=out, sampling=sampling, variant=variant), answer=out)
 
 
 def answer_questions(questions: DataFrame, lexical: Retriever, semantic: Retriever,
-                     factory: Callable[[Sampling], Callable] | None = None,
-                     prompts: PromptSet = PromptSet(), variants: list[PromptVariant] = (),
-                     sampling: Sampling = ANSWERING) -> DataFrame:
-    """(qid, lexical_answer, semantic_answer, combined_answer, output).
-
-    ``questions(qid, question[, variant])``. The two searches are independent branches. What a
-    model wrote and more than one branch reads is computed once, into the shared folder:
-    generation is costly and need not repeat itself.
+                     factory: Factory | dict[str, Factory], prompts: PromptSet = PromptSet(),
+                     variants: list[PromptVariant] = (), sampling: Sampling = ANSWERING) -> DataFrame:
+    """(qid, lexical_answer, semantic_answer, combined_answer, output), written by a caller's model.
+
+    ``questions(qid, question[, variant])``. ``factory`` makes the model, or names one for each variant
+    (and ``default``). The two searches are independent branches; whole texts reach the model, in
+    windows. What a model wrote is computed once, into the shared folder.
     """
-    factory = factory or extractive_stand_in(prompts)
-    variant = F.col("variant") if "variant" in questions.columns else None
+    variant = "variant" if "variant" in questions.columns else None
     asked = questions.withColumn("question", F.coalesce("question", F.lit(NO_QUESTION)))
 
     def template(kind: str):
-        return chosen(prompts, kind, variants, variant)
-
-    to_search = asked.select("qid", render(template("lexical"), F.col("question")).alias("prompt"))
-    keywords = cut(generate(to_search, factory, out="question", sampling=sampling))
-    lexical_answers = _context_answers(
-        asked, _contexts(keywords, lexical, article_body(), ""),
-        template("context"), factory, sampling, "lexical_answer")
-    semantic_answers = _context_answers(
-        asked, _contexts(asked.select("qid", "question"), semantic, F.col("page_content.text"), "\n"),
-        template("context"), factory, sampling, "semantic_answer")
-    # both answers are read again next to the synthesis
-    paired = cut(pair_answers(lexical_answers, semantic_answers))
+        return chosen(prompts, kind, variants, F.col(variant) if variant else None)
+
+    extra = [variant] if variant else []
+    to_search = asked.select("qid", *extra, render(template("lexical"), F.col("question")).alias("prompt"))
+    keywords = generate(to_search, factory, out="question", sampling=sampling, variant=variant).select("qid", "question")
+    lexical_answers = _window_answers(
+        asked, _windows(keywords, lexical, article_body()),
+        template("context"), factory, sampling, variant, "lexical_answer")
+    semantic_answers = _window_answers(
+        asked, _windows(asked.select("qid", "question"), semantic, F.col("page_content.text")),
+        template("context"), factory, sampling, variant, "semantic_answer")
+    paired = pair_answers(lexical_answers, semantic_answers)
     rows = paired.join(asked, "qid").select(
-        *paired.columns,
+        *paired.columns, *extra,
         render(template("synthesis"), F.col("lexical_answer"), F.col("semantic_answer"), F.col("question"))
         .alias("prompt"))
-    return (generate(rows, factory, out="combined_answer", sampling=sampling)
+    return (generate(rows, factory, out="combined_answer", sampling=sampling, variant=variant).drop(*extra)
             .withColumn("output", F.concat(F.lit(ANSWER_HEAD), F.col("combined_answer"))))
 
 
-def write_answers(answers: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Answer sink."""
-    answers.write.mode(mode).parquet(path)
+def write_answers(answers: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:
+    """Answer sink; returns what was written, as read back, so that the chain runs once."""
+    write_table(answers, path, mode)
+    return answers.sparkSession.read.schema(answers.schema).parquet(path)

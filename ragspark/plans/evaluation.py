@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.prompts import PromptVariant
-from .answering import NO_QUESTION, answer_questions
+from .answering import NO_QUESTION
 
 CASE_SCHEMA = ("qid STRING, vars STRUCT<inquiry: STRING>, "
                "assert ARRAY<STRUCT<type: STRING, value: STRING>>")
@@ -42,24 +43,26 @@ def score_cases(cases: DataFrame, outputs: DataFrame) -> DataFrame:
     return cases.join(outputs, "qid", "left").withColumn("pass", passes(F.col("output"), F.col("assert")))
 
 
-def prompt_variants(questions: DataFrame, variants: list[PromptVariant]) -> DataFrame:
-    """Each question once per variant and once with the default prompts.
+def with_variants(questions: DataFrame, names: list[str]) -> DataFrame:
+    """Each question once per variant and once under the default.
 
     The variants are settings, so they are written into the plan; nothing is joined.
     """
-    names = [DEFAULT_VARIANT, *(v.name for v in variants)]
-    return questions.withColumn("variant", F.explode(F.array(*map(F.lit, names))))
+    every = [DEFAULT_VARIANT, *(n for n in names if n != DEFAULT_VARIANT)]
+    return questions.withColumn("variant", F.explode(F.array(*map(F.lit, every))))
+
 
+def run_eval(cases: DataFrame, answer: Callable[[DataFrame], DataFrame], variants: list[str] = ()) -> DataFrame:
+    """(qid, variant, output, pass) of every case under every variant.
 
-def run_eval(cases: DataFrame, lexical, semantic, factory=None,
-             variants: list[PromptVariant] = (), **how) -> DataFrame:
-    """(qid, variant, output, pass) of every case under every variant."""
+    ``answer`` maps ``qid, question, variant`` to ``qid, output``: a model's chain
+    (``answer_questions``) or a reader (``read_answers``).
+    """
     run_id = F.concat_ws("/", F.col("variant"), F.col("qid").cast("string"))
-    runs = prompt_variants(cases, list(variants)).withColumn("run_id", run_id)
+    runs = with_variants(cases, list(variants)).withColumn("run_id", run_id)
     asked = runs.select(F.col("run_id").alias("qid"),
                         F.coalesce("vars.inquiry", F.lit(NO_QUESTION)).alias("question"), "variant")
-    answers = answer_questions(asked, lexical, semantic, factory, variants=list(variants), **how)
-    outputs = answers.select(F.col("qid").alias("run_id"), "output")
+    outputs = answer(asked).select(F.col("qid").alias("run_id"), "output")
     return (runs.join(outputs, "run_id", "left")
             .withColumn("pass", passes(F.col("output"), F.col("assert")))
             .select("qid", "variant", "output", "pass"))

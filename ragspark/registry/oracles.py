@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions import prompts
-from .stand_ins import VARIANTS
+from .stand_ins import READERS, VARIANTS
 
 # --- fragments ----------------------------------------------------------------------------------
 
@@ -93,7 +93,7 @@ near AS (
   WHERE levenshtein(w.bytes, f.bytes) <= w.edits),
 expansions AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY field, query_term ORDER BY distance, df DESC, term) AS nth
-                 FROM near) WHERE nth <= 50),
+                 FROM near)),
 fuzzy_terms AS (
   SELECT DISTINCT q.qid, q.field, e.term
   FROM question_terms q JOIN expansions e ON e.field = q.field AND e.query_term = q.term)"""
@@ -202,51 +202,62 @@ def _template(text: str) -> prompts.Template:
 
 
 _SETS = prompts.PromptSet()
-_CONTEXT_BODY = "substr(title || chr(10) || text, 1, 12000)"
 
-LEXICAL_CONTEXT = f"""lexical_context AS (
-  SELECT qid, string_agg({_CONTEXT_BODY}, '' ORDER BY rank) AS context
+LEXICAL_CONTEXT = """lexical_context AS (
+  SELECT qid, string_agg(title || chr(10) || text, '' ORDER BY rank) AS context
   FROM hits JOIN articles USING (article_id) GROUP BY qid)"""
 
-SEMANTIC_CONTEXT = """semantic_context AS (
-  SELECT qid, string_agg(substr(paragraph, 1, 12000), chr(10) ORDER BY rank) AS context
-  FROM neighbours JOIN paragraphs ON paragraph_id = id GROUP BY qid)"""
 
+def _sentences(expr: str) -> str:
+    return f"regexp_split_to_array({expr}, '[.!?\\n]+')"
 
-def _copied(material: str) -> str:
-    """What the stand-in generator repeats of its material."""
-    return f"split_part(substr({material}, 1, 200), '<|end|>', 1)"
 
+RARE = """rare AS (
+  SELECT qid, term, ln(1 + (n - df + 0.5e0) / (df + 0.5e0)) AS idf,
+         row_number() OVER (PARTITION BY qid ORDER BY ln(1 + (n - df + 0.5e0) / (df + 0.5e0)) DESC, term) AS nth
+  FROM question_terms JOIN doc_freq USING (field, term) JOIN stats USING (field) WHERE field = 'text')"""
 
-def _after_slot(template, *slots: str) -> str:
-    """Prompt text from the first slot on."""
-    return _render(("", *template[1:]), *slots)
 
+def _best_spans(name: str, texts: str) -> str:
+    """CTE ``name(qid, span, score)`` from ``qid, rank, body``."""
+    return f"""{name}_spans AS (
+  SELECT qid, rank, no, trim(pieces[no + 1], ' ') AS span, list_distinct({_tokens('pieces[no + 1]')}) AS words
+  FROM (SELECT qid, rank, {_sentences('body')} AS pieces FROM ({texts})), unnest(range(0, len(pieces))) AS u(no)),
+{name} AS (
+  SELECT qid, span, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rank, no) AS best FROM (
+      SELECT qid, rank, no, any_value(span) AS span, round(sum(idf), 6) AS score
+      FROM (SELECT qid, rank, no, span, unnest(words) AS term FROM {name}_spans) JOIN rare USING (qid, term)
+      GROUP BY qid, rank, no)) WHERE best = 1 AND score > 0)"""
 
-def _chain(variants: str) -> list[str]:
-    """``answers(qid, variant, lexical_answer, semantic_answer, combined_answer, output)``.
 
-    The stand-in writes the question back as keywords, so one search serves all variants. Under
-    the ``plain`` override the context prompt is of no known form and the question is echoed.
-    """
+def _reader(p: str, reader) -> list[str]:
+    """CTE ``<p>_answers``: what a reader finds for every question."""
+    limit = "" if reader.keywords is None else f"WHERE nth <= {reader.keywords}"
+    hits = _hits(reader.articles).replace("hits AS", f"{p}_hits AS").replace("scored", f"{p}_scored")
     return [
-        *_search(2), LEXICAL_CONTEXT, PARAGRAPHS, SEMANTIC, SEMANTIC_CONTEXT,
-        f"""variants AS ({variants}),
-drafts AS (
-  SELECT qid, variant, question,
-         CASE WHEN variant = 'plain' THEN split_part(question, '<|end|>', 1)
-              ELSE {_copied(_after_slot(_SETS.context, "l.context", "question"))} END AS lexical_answer,
-         CASE WHEN variant = 'plain' THEN split_part(question, '<|end|>', 1)
-              ELSE {_copied(_after_slot(_SETS.context, "s.context", "question"))} END AS semantic_answer
-  FROM questions CROSS JOIN variants LEFT JOIN lexical_context l USING (qid) LEFT JOIN semantic_context s USING (qid)),
-answers AS (
-  SELECT *, 'Answer:' || chr(10) || ' ' || combined_answer AS output
-  FROM (SELECT *, {_copied(_after_slot(_SETS.answer, "lexical_answer", "semantic_answer", "question"))} AS combined_answer
-        FROM drafts))"""]
-
-
-_EVAL = f"""graded AS (
-  SELECT qid, variant, output, contains(lower(output), lower(substr(question, 1, 20))) AS pass FROM answers)"""
+        f"{p}_asked AS (SELECT qid, field, term FROM rare, (VALUES ('title'), ('text')) AS f(field) {limit})",
+        _scores(f"{p}_asked").replace("field_scores", f"{p}_fields"), hits.replace("field_scores", f"{p}_fields"),
+        _best_spans(f"{p}_left", f"SELECT qid, rank, text AS body FROM {p}_hits JOIN articles USING (article_id)"),
+        _best_spans(f"{p}_right", "SELECT qid, rank, paragraph AS body FROM neighbours JOIN paragraphs ON paragraph_id = id "
+                                  f"WHERE rank <= {reader.paragraphs}"),
+        f"""{p}_answers AS (
+  SELECT qid, question, lexical_answer, semantic_answer, combined_answer, 'Answer:' || chr(10) || ' ' || combined_answer AS output
+  FROM (SELECT qid, question, coalesce(l.span, '') AS lexical_answer, coalesce(s.span, '') AS semantic_answer,
+               coalesce(CASE WHEN coalesce(l.score, 0) >= coalesce(s.score, 0) THEN l.span ELSE s.span END, '') AS combined_answer
+        FROM questions LEFT JOIN {p}_left l USING (qid) LEFT JOIN {p}_right s USING (qid)))"""]
+
+
+READING = [ARTICLES, QUESTIONS, INDEX, QUESTION_TERMS, RARE, PARAGRAPHS, SEMANTIC]
+_EVAL = [*READING, *(cte for i, r in enumerate(READERS) for cte in _reader(f"r{i}", r)), "graded AS (" + " UNION ALL ".join(f"""
+  SELECT qid, '{r.name}' AS variant, output, contains(lower(output), lower(trim({_sentences('question')}[1], ' '))) AS pass
+  FROM r{i}_answers""" for i, r in enumerate(READERS)) + ")"]
+
+# Each article's words by weight.
+TELLING = """telling AS (
+  SELECT article_id, term, row_number() OVER (PARTITION BY article_id ORDER BY
+           round(tf * ln(1 + (n - df + 0.5e0) / (df + 0.5e0)), 6) DESC, term) AS nth
+  FROM postings JOIN doc_freq USING (field, term) JOIN stats USING (field) WHERE field = 'text')"""
 _ALL_VARIANTS = "SELECT unnest(['default', " + ", ".join(f"'{v.name}'" for v in VARIANTS) + "]) AS variant"
 
 # The model outputs of the line-repair queries, built as on the other side.
@@ -326,13 +337,13 @@ SELECT w.article_id, title, a.article_id IS NOT NULL AS found FROM wanted_ids w
     "render_search_prompt": _with(QUESTIONS) +
         f"SELECT qid, {_render(_SETS.search, 'question')} AS prompt FROM questions",
     "render_context_prompt": f"""SELECT conv_id, turn,
-  {_render(_SETS.context, "substr(text, 1, 12000)", "role || ' {context} %s'")} AS prompt FROM conversations""",
+  {_render(_SETS.context, "text", "role || ' {context} %s'")} AS prompt FROM conversations""",
     "render_answer_prompt": f"""SELECT conv_id, turn,
   {_render(_SETS.answer, "text", "role", "'question ' || turn")} AS prompt FROM conversations""",
     "render_retrieval_prompt": _with(ARTICLES) + f"""SELECT article_id,
-  {_render(_template(prompts.RETRIEVAL_TEXT), "article_id", "title", "substr(text, 1, 14000)")} AS prompt FROM articles""",
+  {_render(_template(prompts.RETRIEVAL_TEXT), "article_id", "title", "text")} AS prompt FROM articles""",
     "render_essay_prompt": _with(ARTICLES) + f"""SELECT article_id,
-  {_render(_template(prompts.ESSAY_TEXT), *(("article_id", "title", "substr(text, 1, 14000)") * 2))} AS prompt
+  {_render(_template(prompts.ESSAY_TEXT), *(("article_id", "title", "text") * 2))} AS prompt
 FROM articles""",
     "render_chat": """SELECT conv_id, turn // 1024 AS block, count(*) AS turns,
   string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY turn) AS chat
@@ -354,18 +365,17 @@ FROM lines WHERE k IN (0, 1, 4, 5)""",
     "read_questions": _with(OUTPUT_LINES) + """
 SELECT CASE WHEN k = 5 THEN CAST(doc_id AS VARCHAR) END AS article_id, title AS question,
        CASE WHEN k <> 5 THEN lang END AS answer FROM lines WHERE k IN (0, 1, 4, 5)""",
-    "retrieval_questions": _with(ARTICLES) + """, first_articles AS (
-  SELECT CAST(article_id AS VARCHAR) AS id, length(substr(text, 1, 14000)) AS chars
-  FROM articles ORDER BY article_seq LIMIT 50)
-SELECT id AS source_article_id, CAST(1 AS INTEGER) AS line_no, 'How long is article ' || id || '?' AS question,
-       CAST(chars AS VARCHAR) AS answer FROM first_articles
-UNION ALL SELECT id, 3, 'Which article?', id FROM first_articles""",
-    "essay_questions": _with(ARTICLES) + """, first_articles AS (
-  SELECT CAST(article_id AS VARCHAR) AS id, '{"article_id": ' || article_id || ', "title": ' || title || ', "text": '
-         || substr(text, 1, 14000) || ' }' AS turn FROM articles ORDER BY article_seq LIMIT 20)
-SELECT id AS source_article_id, CAST(0 AS INTEGER) AS line_no, id AS article_id,
-       'Sum up article ' || id || '.' AS question FROM first_articles
-UNION ALL SELECT id, 2, id, 'Why ' || length(turn) || '?' FROM first_articles""",
+    "retrieval_questions": _with(ARTICLES, INDEX, TELLING, f"""spans AS (
+  SELECT article_id, term, no, {_tokens('pieces[no + 1]')} AS words
+  FROM (SELECT article_id, term, {_sentences('text')} AS pieces FROM articles JOIN telling USING (article_id) WHERE nth = 1),
+       unnest(range(0, len(pieces))) AS u(no))""") + f"""
+SELECT article_id, array_to_string(list_transform(words, lambda w: CASE WHEN w = term THEN '____' ELSE w END), ' ') AS question,
+       term AS answer
+FROM spans WHERE list_contains(words, term) QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY no) = 1""",
+    "essay_questions": _with(ARTICLES, INDEX, TELLING) + """
+SELECT article_id, 'How do ' || terms || ' belong together in ' || title || '?' AS question
+FROM articles JOIN (SELECT article_id, string_agg(term, ', ' ORDER BY nth) AS terms FROM telling WHERE nth <= 3 GROUP BY article_id)
+     USING (article_id)""",
 
     "tokenize": _with(ARTICLES, INDEX) + """
 SELECT field, article_id, CAST(n - 1 AS INTEGER) AS position, terms[n] AS term
@@ -407,23 +417,29 @@ SELECT qid, paragraph_id, score, rank, paragraph FROM neighbours JOIN paragraphs
 
     "build_context": _with(*_search(2), LEXICAL_CONTEXT) +
         "SELECT qid, length(context) AS chars, md5(context) AS context_md5 FROM lexical_context",
-    "pair_answers": """WITH keyed AS (SELECT conv_id || '-' || (turn // 2) AS qid, role, text FROM conversations),
-l AS (SELECT qid, min(text) AS lexical_answer FROM keyed WHERE role = 'user' GROUP BY qid),
-s AS (SELECT qid, min(text) AS semantic_answer FROM keyed WHERE role = 'assistant' GROUP BY qid)
+    "context_windows": _with(*_search(2), """windows AS (
+  SELECT qid, rank, no, list_slice(pieces, no * 350 + 1, no * 350 + 400) AS part
+  FROM (SELECT qid, rank, string_split(title || chr(10) || text, ' ') AS pieces FROM hits JOIN articles USING (article_id)),
+       unnest(range(0, greatest(1, CAST(ceil((len(pieces) - 50) / 350) AS BIGINT)))) AS u(no))""") + """
+SELECT qid, rank, CAST(no AS INTEGER) AS window_no, CAST(len(part) AS INTEGER) AS words,
+       md5(array_to_string(part, ' ')) AS context_md5 FROM windows""",
+    "pair_answers": """WITH keyed AS (SELECT conv_id || '-' || (turn // 2) AS qid, turn, role, text FROM conversations),
+l AS (SELECT qid, string_agg(text, chr(10) ORDER BY turn, text) AS lexical_answer FROM keyed WHERE role = 'user' GROUP BY qid),
+s AS (SELECT qid, string_agg(text, chr(10) ORDER BY turn, text) AS semantic_answer FROM keyed WHERE role = 'assistant' GROUP BY qid)
 SELECT qid, coalesce(lexical_answer, '') AS lexical_answer, coalesce(semantic_answer, '') AS semantic_answer
 FROM l FULL OUTER JOIN s USING (qid)""",
-    "answer_questions": _with(*_chain("SELECT 'default' AS variant")) +
-        "SELECT qid, lexical_answer, semantic_answer, combined_answer, output FROM answers",
-    "eval_cases": _with(QUESTIONS) + """
-SELECT qid, question AS inquiry, 'icontains' AS type, substr(question, 1, 20) AS value FROM questions""",
-    "read_eval_cases": _with(QUESTIONS) + """
-SELECT CAST(qid AS VARCHAR) AS qid, question AS inquiry, 'icontains' AS type, substr(question, 1, 20) AS value
+    "answer_questions": _with(*READING, *_reader("r", READERS[0])) +
+        "SELECT qid, lexical_answer, semantic_answer, combined_answer, output FROM r_answers",
+    "eval_cases": _with(QUESTIONS) + f"""
+SELECT qid, question AS inquiry, 'icontains' AS type, trim({_sentences('question')}[1], ' ') AS value FROM questions""",
+    "read_eval_cases": _with(QUESTIONS) + f"""
+SELECT CAST(qid AS VARCHAR) AS qid, question AS inquiry, 'icontains' AS type, trim({_sentences('question')}[1], ' ') AS value
 FROM questions""",
     "icontains": _with(*_search(2), LEXICAL_CONTEXT) + """
 SELECT qid, coalesce(contains(lower(context), lower(question)), false) AS pass
 FROM questions LEFT JOIN lexical_context USING (qid)""",
-    "run_eval": _with(*_chain(_ALL_VARIANTS), _EVAL) + "SELECT qid, variant, output, pass FROM graded",
-    "pass_rate": _with(*_chain(_ALL_VARIANTS), _EVAL) + """
+    "run_eval": _with(*_EVAL) + "SELECT qid, variant, output, pass FROM graded",
+    "pass_rate": _with(*_EVAL) + """
 SELECT variant, count(*) AS cases, count(*) FILTER (pass) AS passed,
        round(avg(CAST(pass AS INTEGER)), 6) AS rate FROM graded GROUP BY variant""",
     "stream_questions": _with(*_search(2, questions=(

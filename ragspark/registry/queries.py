@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 
 from ..functions import encoders, json_lines, prompts, text
 from ..operators import contexts, fuzzy, inverted_lists, knn, lexical_index, lexical_search, paragraphs, quantize
-from ..plans import answering, evaluation, question_sets
+from ..plans import answering, evaluation, question_sets, reading
 from ..session import fresh_path, parallel, shared_dir
 from ..sources import articles as corpus
 from ..sources import tables
 from ..streaming import questions as stream
-from .stand_ins import VARIANTS, model_outputs, question_writer
+from .stand_ins import READERS, VARIANTS, model_outputs
 
 LINES = "\n"
 VECTOR_DIMS = 64
@@ -205,7 +205,7 @@ def render_search_prompt(spark, sf):
 def render_context_prompt(spark, sf):
     turns = _conversations(spark, sf)
     return turns.select("conv_id", "turn", prompts.context_prompt(
-        text.prefix(F.col("text"), text.CONTEXT_CHARS), F.concat("role", F.lit(" {context} %s"))).alias("prompt"))
+        F.col("text"), F.concat("role", F.lit(" {context} %s"))).alias("prompt"))
 
 
 def render_answer_prompt(spark, sf):
@@ -215,12 +215,12 @@ def render_answer_prompt(spark, sf):
 
 def render_retrieval_prompt(spark, sf):
     return _articles(spark, sf).select("article_id", prompts.retrieval_prompt(
-        F.col("article_id"), F.col("title"), text.prefix(F.col("text"), text.ARTICLE_CHARS)).alias("prompt"))
+        F.col("article_id"), F.col("title"), F.col("text")).alias("prompt"))
 
 
 def render_essay_prompt(spark, sf):
     return _articles(spark, sf).select("article_id", prompts.essay_prompt(
-        F.col("article_id"), F.col("title"), text.prefix(F.col("text"), text.ARTICLE_CHARS)).alias("prompt"))
+        F.col("article_id"), F.col("title"), F.col("text")).alias("prompt"))
 
 
 def render_chat(spark, sf):
@@ -228,7 +228,7 @@ def render_chat(spark, sf):
 
 
 def prompt_variants(spark, sf):
-    runs = evaluation.prompt_variants(_questions(spark, sf), VARIANTS)
+    runs = evaluation.with_variants(_questions(spark, sf), [v.name for v in VARIANTS])
     template = prompts.chosen(prompts.PromptSet(), "lexical", VARIANTS, F.col("variant"))
     return runs.select("qid", "variant", prompts.render(template, F.col("question")).alias("prompt"))
 
@@ -268,13 +268,14 @@ def read_questions(spark, sf):
 
 
 def retrieval_questions(spark, sf):
-    made = question_sets.retrieval_questions(_articles(spark, sf), lambda s: question_writer(s))
-    return made.select("source_article_id", "line_no", "question", "answer")
+    """A question with its answer from every article, without a model."""
+    index = text_index(spark, sf)
+    return question_sets.cloze_questions(index.articles, index)
 
 
 def essay_questions(spark, sf):
-    made = question_sets.essay_questions(_articles(spark, sf), lambda s: question_writer(s))
-    return made.select("source_article_id", "line_no", "article_id", "question")
+    index = text_index(spark, sf)
+    return question_sets.topic_questions(index.articles, index)
 
 
 # --- lexical search -----------------------------------------------------------------------------
@@ -419,28 +420,39 @@ def build_context(spark, sf):
         "qid", F.length("context").cast("long").alias("chars"), F.md5("context").alias("context_md5"))
 
 
+def context_windows(spark, sf):
+    """The whole texts of the hits in overlapping windows."""
+    hits = lexical_search.lexical_retrieve(_questions(spark, sf), text_index(spark, sf))
+    found = contexts.context_windows(hits, contexts.article_body(), size=400, overlap=50)
+    return found.select("qid", "rank", "window_no", F.size(F.split("context", " ")).alias("words"),
+                        F.md5("context").alias("context_md5"))
+
+
 def pair_answers(spark, sf):
     """Assistant turns against user turns of a conversation; either may be missing."""
     turns = _conversations(spark, sf)
     keyed = turns.withColumn("qid", F.concat_ws("-", F.col("conv_id"), F.floor(F.col("turn") / 2)))
 
-    def side(role: str, out: str):
-        return keyed.where(F.col("role") == role).groupBy("qid").agg(F.min("text").alias(out))
+    def side(role: str, out: str):  # at most two turns
+        said = F.array_sort(F.collect_list(F.struct("turn", "text")))
+        return keyed.where(F.col("role") == role).groupBy("qid").agg(
+            F.array_join(F.transform(said, lambda t: t["text"]), "\n").alias(out))
     return contexts.pair_answers(side("user", "lexical_answer"), side("assistant", "semantic_answer"))
 
 
-def _retrievers(spark, sf):
-    return (answering.lexical_retriever(text_index(spark, sf)),
-            answering.semantic_retriever(paragraph_vectors(spark, sf)))
+def _reads(spark, sf, *readers: reading.Reader):
+    return lambda asked: reading.read_answers(asked, text_index(spark, sf), paragraph_vectors(spark, sf), readers)
 
 
 def answer_questions(spark, sf):
-    return answering.answer_questions(_questions(spark, sf), *_retrievers(spark, sf))
+    """The whole chain, answered by sentences of the retrieved texts."""
+    return _reads(spark, sf, reading.Reader())(_questions(spark, sf))
 
 
 def _eval_questions(spark, sf):
+    """The expected answer to a passage is its first sentence."""
     q = _questions(spark, sf)
-    return q.withColumn("answer", text.prefix(F.col("question"), 20))
+    return q.withColumn("answer", F.trim(F.get(text.sentences(F.col("question")), F.lit(0))))
 
 
 def eval_cases(spark, sf):
@@ -464,8 +476,8 @@ def icontains(spark, sf):
 
 
 def _run(spark, sf):
-    return evaluation.run_eval(evaluation.eval_cases(_eval_questions(spark, sf)), *_retrievers(spark, sf),
-                               variants=VARIANTS)
+    return evaluation.run_eval(evaluation.eval_cases(_eval_questions(spark, sf)), _reads(spark, sf, *READERS),
+                               [r.name for r in READERS])
 
 
 def run_eval(spark, sf):
@@ -502,6 +514,6 @@ QUERIES = {f.__name__: f for f in (
     lexical_top2, lexical_retrieve, update_index,
     embed_hashed, embed_queries, calibrate_int8, quantize_int8, quantize_queries, validate_vectors,
     knn_int8, knn_lsh, knn_ivf, knn_self_check, semantic_retrieve,
-    build_context, pair_answers, answer_questions, eval_cases, read_eval_cases, icontains, run_eval, pass_rate,
+    build_context, context_windows, pair_answers, answer_questions, eval_cases, read_eval_cases, icontains, run_eval, pass_rate,
     stream_questions,
 )}

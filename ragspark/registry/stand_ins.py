@@ -1,36 +1,21 @@
-"""Deterministic inputs and writers for registered queries, derived from the test tables."""
+"""Settings and deterministic inputs of registered queries, derived from the test tables."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.prompts import PromptVariant
 from ..functions.text import first_line
+from ..plans.reading import Reader
 
-# Overrides used by registered evaluations.
+# Prompt overrides used by registered queries.
 VARIANTS = [
     PromptVariant("plain", "context", ("Context:\n", "\n<|user|>\n", "<|end|>\n")),
     PromptVariant("short", "lexical", ("Keywords for:\n<|user|>\n", "<|end|>\n")),
 ]
-
-
-def question_writer(sampling):
-    """A model stand-in that writes question lines, with the usual faults, about an article prompt."""
-    def one(prompt: str) -> str:
-        turn = prompt.rsplit("<|user|>\n", 1)[-1].rsplit("<|end|>", 1)[0]
-        plain = re.match(r"article_id: (\d+)\ntitle: ", turn)
-        if plain:
-            number, chars = plain[1], len(turn.split("\ntext: ", 1)[1])
-            return (f"\nHere you are:\n[\"question\": \"How long is article {number}?\", \"answer\": \"{chars}\"],\n"
-                    f"{{\"question\": \"unfinished\n  {{\"question\": \"Which article?\", \"answer\": \"{number}\"}} \n")
-        number = re.match(r"\{\"article_id\": (\d+),", turn)[1]
-        return (f"{{\"article_id\": {number}, \"question\": \"Sum up article {number}.\"}},\n"
-                f"{{\"article_id\": {number}, \"topic\": \"none\"}}\n"
-                f"[\"article_id\": \"{number}\", \"question\": \"Why {len(turn)}?\"]")
-    return lambda batch: batch.map(one)
+# Readers that registered evaluations compare.
+READERS = (Reader(), Reader("three keywords", keywords=3), Reader("narrow", keywords=6, articles=1, paragraphs=3))
 
 
 def model_outputs(documents: DataFrame) -> DataFrame:
