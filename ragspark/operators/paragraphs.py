@@ -9,12 +9,12 @@ from ..functions.text import PARAGRAPH_DELIMITER, article_part, number_part, par
 from ..session import needed
 
 
-def split_paragraphs(articles: DataFrame, delimiter: str = PARAGRAPH_DELIMITER) -> DataFrame:
-    """(paragraph_id, article_id, paragraph_no, paragraph), one row per piece."""
+def split_paragraphs(articles: DataFrame, delimiter: str = PARAGRAPH_DELIMITER, keep: list[str] = ()) -> DataFrame:
+    """(*keep, paragraph_id, article_id, paragraph_no, paragraph), one row per piece."""
     return (articles
-            .select("article_id", F.posexplode(pieces(F.col("text"), delimiter))
+            .select(*keep, "article_id", F.posexplode(pieces(F.col("text"), delimiter))
                     .alias("paragraph_no", "paragraph"))
-            .select(paragraph_id(F.col("article_id"), F.col("paragraph_no")).alias("paragraph_id"),
+            .select(*keep, paragraph_id(F.col("article_id"), F.col("paragraph_no")).alias("paragraph_id"),
                     "article_id", "paragraph_no", "paragraph"))
 
 

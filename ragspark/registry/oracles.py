@@ -290,7 +290,8 @@ _CHECKSUM = "CAST(coalesce(sum(CAST('0x' || substr(md5({row}), 1, 8) AS BIGINT))
 
 
 def _marked(*columns: str) -> str:
-    return " || '|' || ".join(f"coalesce('=' || CAST({c} AS VARCHAR), '-')" for c in columns)
+    return " || '|' || ".join(
+        f"coalesce('=' || replace(replace(CAST({c} AS VARCHAR), '\\', '\\\\'), '|', '\\|'), '-')" for c in columns)
 
 
 # --- twins --------------------------------------------------------------------------------------
@@ -304,6 +305,10 @@ WHERE article_seq < (SELECT round(count(*) * 20 / 100) FROM articles)""",
     "range_articles": _with(ARTICLES) +
         "SELECT article_id, article_seq, title FROM articles WHERE article_seq >= 50 AND article_seq < 150",
     "assign_shards": _with(ARTICLES, SHARDED) + "SELECT article_id, article_seq, shard FROM sharded",
+    "with_positions": "SELECT doc_id AS article_id, row_number() OVER (ORDER BY doc_id) - 1 AS article_seq FROM documents",
+    "process_embeddings": _with(ARTICLES, SHARDED, PARAGRAPHS, _hashed("w", "paragraphs", "paragraph_id", "paragraph")) + """
+SELECT shard, paragraph_id AS id, CAST(count(w.dim) FILTER (w.weight <> 0) AS INTEGER) AS entries
+FROM paragraphs JOIN sharded USING (article_id) LEFT JOIN w USING (paragraph_id) GROUP BY shard, paragraph_id""",
     "union_shards": _with(ARTICLES, SHARDED) + "SELECT shard, article_id, title FROM sharded",
     "shards_pending": _with(ARTICLES, SHARDED) + "SELECT shard, article_id FROM sharded WHERE shard % 3 <> 0",
     "scan_embeddings": _with(VALUES) + "SELECT id, dim, v AS value FROM vector_values",

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import encoders, json_lines, prompts, text
 from ..operators import contexts, fuzzy, inverted_lists, knn, lexical_index, lexical_search, paragraphs, quantize
-from ..plans import answering, evaluation, question_sets, reading
+from ..plans import answering, embedding_job, evaluation, question_sets, reading
 from ..session import fresh_path, parallel, shared_dir
 from ..sources import articles as corpus
 from ..sources import tables
@@ -109,6 +109,18 @@ def assign_shards(spark, sf):
     return corpus.assign_shards(_articles(spark, sf).select("article_id", "article_seq"))
 
 
+def with_positions(spark, sf):
+    """Positions for articles that come without any."""
+    return corpus.positions_by_key(_articles(spark, sf).drop("article_seq"))
+
+
+def process_embeddings(spark, sf):
+    """The embedding job over unnumbered articles; entries that are not zero are counted."""
+    made = embedding_job.process_embeddings(_articles(spark, sf).drop("article_seq"), fresh_path(spark, "embedded"),
+                                            delimiter=LINES, shards_per_job=14, partitions=parallel(spark))
+    return made.select("shard", "id", F.size(F.filter("embedding", lambda x: x != 0)).alias("entries"))
+
+
 def union_shards(spark, sf):
     """Two sharded tables, even and odd articles, written and read back as one."""
     sharded = corpus.assign_shards(_articles(spark, sf))
@@ -503,7 +515,8 @@ def stream_questions(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    scan_articles, prefix_articles, prefix_percent, range_articles, assign_shards, union_shards, shards_pending,
+    scan_articles, prefix_articles, prefix_percent, range_articles, assign_shards, with_positions,
+    process_embeddings, union_shards, shards_pending,
     scan_embeddings, upsert_articles, snapshot_manifest, vector_index,
     split_paragraphs, parse_paragraph_id, truncate_text, paragraph_to_article, paragraph_to_text, get_by_id,
     render_search_prompt, render_context_prompt, render_answer_prompt, render_retrieval_prompt,

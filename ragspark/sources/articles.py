@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..functions.text import first_line
+from ..session import cut, parallel
 from .tables import read_table, shard_of
 
 ARTICLE_SCHEMA = T.StructType([
@@ -61,6 +62,23 @@ def with_positions(df: DataFrame) -> DataFrame:
             .drop("_mark", "_part", "_start"))
 
 
+def positions_by_key(df: DataFrame, key: str = "article_id") -> DataFrame:
+    """(key, article_seq): 0-based positions in the order of ``key``, whatever files the rows lie in.
+
+    Two passes over the keys alone: they are cut into ranges and sorted within them, once, into the
+    shared folder; then the ranges are counted, and a range's first position is the sum of the counts
+    before it. Only those counts meet in one task. Rows of equal keys have positions of their own.
+    """
+    keys = df.select(key).repartitionByRange(parallel(df.sparkSession), key).sortWithinPartitions(key)
+    ranged = cut(keys.withColumn("_mark", F.monotonically_increasing_id()))
+    part = F.shiftright("_mark", 33).alias("_part")
+    counts = ranged.groupBy(part).agg(F.count("*").alias("_rows"))
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    return (ranged.withColumn("_part", F.shiftright("_mark", 33)).join(F.broadcast(starts), "_part")  # one row per range
+            .select(key, (F.col("_start") + F.col("_mark").bitwiseAND(F.lit((1 << 33) - 1))).alias("article_seq")))
+
+
 def prefix_rows(articles: DataFrame, n: int) -> DataFrame:
     """The first ``n`` articles by position."""
     return articles.orderBy("article_seq").limit(n)

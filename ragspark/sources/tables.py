@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut, sized
+
 ROWS_PER_FILE = 1_000_000
 ROW_GROUP_BYTES = 128 * 1024 * 1024
 
@@ -148,22 +150,24 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """``new`` rows replace ``old`` rows of the same key; the rest of both stays.
 
     Versions are told apart by a ``version`` column in ``new`` where it has one; of equal keys
-    the highest version wins.
+    the highest version wins. The old table is not shuffled while the counted keys of the change fit
+    a broadcast: its rows stay where they are, but for those replaced.
     """
     columns = old.columns
     version = F.col("version").cast("long") if "version" in new.columns else F.lit(1).cast("long")
-    stacked = (old.select(*columns, F.lit(-1).cast("long").alias("_version"))
-               .unionByName(new.select(*columns, version.alias("_version"))))
     # an aggregate, not a window: versions combine before the shuffle, however many a key has
-    newest = F.max_by(F.struct(*columns), F.struct("_version", F.xxhash64(*columns)))
-    return stacked.groupBy(F.col(key).alias("_key")).agg(newest.alias("_row")).select("_row.*")
+    newest = F.max_by(F.struct(*columns), F.struct(version, F.xxhash64(*columns)))
+    changed = cut(new.groupBy(F.col(key).alias("_key")).agg(newest.alias("_row")).select("_row.*"))
+    kept = old.join(sized(changed.select(key), [key]), old[key].eqNullSafe(changed[key]), "left_anti")
+    return kept.select(*columns).unionByName(changed)
 
 
 # --- snapshots ------------------------------------------------------------------------------
 
 def row_checksum(df: DataFrame) -> Column:
     """32 bits of the md5 of a row's columns as text, null marked; order of rows is irrelevant."""
-    marked = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in df.columns]
+    marked = [F.coalesce(F.concat(F.lit("="), F.replace(F.replace(F.col(c).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))),
+                         F.lit("-")) for c in df.columns]
     return F.conv(F.substring(F.md5(F.concat_ws("|", *marked)), 1, 8), 16, 10).cast("decimal(20,0)")
 
 

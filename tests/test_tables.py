@@ -2,12 +2,14 @@
 
 import glob
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from ragspark.operators import quantize
-from ragspark.sources import tables
+from ragspark.plans import embedding_job
+from ragspark.sources import articles, tables
 from ragspark.sources.articles import ARTICLE_SCHEMA, assign_shards, read_articles
 
 
@@ -93,3 +95,38 @@ def test_vector_index_is_left_alone(spark, tmp_path):
         1: ([-128, 127], 180.314), 2: ([127, -128], 180.314)}
     quantize.save_vector_index(vectors.limit(1), path)
     assert spark.read.parquet(path + "/vectors").count() == 2 and ranges.count() == 2
+
+
+def test_positions_follow_the_keys(spark):
+    ids = [f"k{i:03d}" for i in range(500)]
+    df = spark.createDataFrame([(i,) for i in reversed(ids)], "article_id STRING").repartition(7)
+    got = {r.article_id: r.article_seq for r in articles.positions_by_key(df).collect()}
+    assert got == {k: n for n, k in enumerate(ids)}
+    assert articles.positions_by_key(df.limit(0)).count() == 0
+
+
+def test_embedding_job_goes_on_where_it_stopped(spark, tmp_path):
+    path, log = str(tmp_path / "job"), str(tmp_path / "log")
+    df = spark.createDataFrame([(f"a{i:02d}", f"one {i}\n\ntwo {i}") for i in range(40)], "article_id STRING, text STRING")
+
+    def encoder(broken):
+        def made():
+            def encode(texts):
+                values = texts.to_pylist()
+                if broken and any(v.endswith(" 25") for v in values):
+                    raise RuntimeError("stopped")
+                with open(log, "a") as f:
+                    f.writelines(v + "\n" for v in values)
+                return np.array([[float(v.split()[1]), 1.0] for v in values], np.float32)
+            return encode
+        return made
+    with pytest.raises(Exception, match="stopped"):
+        embedding_job.process_embeddings(df, path, encoder(True), 2, shards=10, shards_per_job=2)
+    done = {r.shard for r in tables.committed_shards(spark, path).collect()}
+    assert done == {0, 1, 2, 3, 4, 5}       # article 25 is in shard 6
+    open(log, "w").close()
+    made = embedding_job.process_embeddings(df.limit(0), path, encoder(False), 2, shards=10, shards_per_job=2)
+    rows = {r.id: (r.shard, list(r.embedding)) for r in made.collect()}
+    assert len(rows) == 80 and rows["a25.1"] == (6, [25.0, 1.0])
+    again = {int(line.split()[1]) for line in open(log)}
+    assert again == set(range(24, 40))      # only shards without a record
