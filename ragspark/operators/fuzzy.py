@@ -1,107 +1,83 @@
 """Fuzzy terms: expansion of query terms to vocabulary terms within an edit distance.
 
-Two strings within ``d`` edits share at least one of ``d + 1`` even segments of the one,
-shifted by at most ``d`` in the other (partition filter, Li, Deng and Feng 2011). So the
-vocabulary is keyed by its segments, the query terms by their shifted substrings, and an equi
-join on ``(length, d, segment number, segment)`` finds every pair; each is then checked by its
-true distance. Work per vocabulary term is ``d + 1`` rows, whatever its length. How far segment
-``i`` may be shifted follows from the edits that can lie left of it (``i``) and right of it
-(``d - i``): if every shared segment needed more than that, another one would be shared.
+The vocabulary's segment keys (``term_keys``) are stored with the index, by hashed key: a search
+reads the parts its own keys fall into and shuffles no vocabulary.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..session import cut, fits_broadcast, parallel
+from ..session import cut, fits_broadcast, parallel, sized
 from .lexical_index import LexicalIndex
 from .lexical_search import FIELD_WEIGHTS, PAGE_SIZE, question_terms, rank_articles, weigh_terms
+from .term_keys import key_part, probe_keys, vocabulary_keys
 
-# Terms shorter than 3 match exactly, up to 5 within one edit, longer within two.
 # A limit on the terms of one expansion is a setting; by default all near terms count.
 MAX_EXPANSIONS = None
+# Probe keys that are looked at on the driver to name the parts they fall into.
+PROBE_BYTES = 4 * 1024 * 1024
 
 
-def allowed_edits(term: Column) -> Column:
-    return F.when(F.length(term) < 3, 0).when(F.length(term) <= 5, 1).otherwise(2)
-
-
-def _segment_start(length: Column, edits: Column, number: Column) -> Column:
-    """0-based start of segment ``number`` of ``edits + 1``; the last ones are one longer."""
-    count = edits + 1
-    base = F.floor(length / count).cast("int")
-    longer = length - base * count
-    return base * number + F.greatest(F.lit(0), number - (count - longer))
-
-
-def _key(field: str, piece: Column) -> Column:
-    """Join key as one number. Where two keys collide, the check of the distance decides."""
-    return F.xxhash64(field, "d", "len", "seg", piece)
-
-
-def _vocabulary_keys(vocabulary: DataFrame) -> DataFrame:
-    """(field, term, df, key)."""
-    n = F.length("term")
-    # which distances a term of this length can be asked for: exact, one edit, two edits
-    asked = F.array_compact(F.array(
-        F.when(n < 3, F.lit(0)), F.when((n >= 2) & (n <= 6), F.lit(1)), F.when(n >= 4, F.lit(2))))
-    start = _segment_start(F.col("len"), F.col("d"), F.col("seg"))
-    stop = _segment_start(F.col("len"), F.col("d"), F.col("seg") + 1)
-    return (vocabulary
-            .select("field", "term", "df", n.alias("len"), F.explode(asked).alias("d"))
-            .withColumn("seg", F.explode(F.sequence(F.lit(0), F.col("d"))))
-            .select("field", "term", "df", _key("field", F.substring(F.col("term"), start + 1, stop - start)).alias("key")))
-
-
-def _probe_keys(wanted: DataFrame) -> DataFrame:
-    """(query_field, query_term, d, key): every place a segment may sit in a query term."""
-    n = F.length("query_term")
-    start = _segment_start(F.col("len"), F.col("d"), F.col("seg"))
-    size = _segment_start(F.col("len"), F.col("d"), F.col("seg") + 1) - start
-    left, right = F.col("seg"), F.col("d") - F.col("seg")
-    longer = n - F.col("len")
-    first = F.greatest(start - left, start + longer - right, F.lit(0))
-    last = F.least(start + left, start + longer + right, n - size)
-    return (wanted
-            .withColumn("d", allowed_edits(F.col("query_term")))
-            .withColumn("len", F.explode(F.sequence(F.greatest(n - F.col("d"), F.lit(1)), n + F.col("d"))))
-            .withColumn("seg", F.explode(F.sequence(F.lit(0), F.col("d"))))
-            .withColumns({"size": size, "first": first, "last": last})
-            .where("first <= last")
-            .withColumn("at", F.explode(F.sequence("first", "last")))
-            .select(F.col("field").alias("query_field"), "query_term", "d",
-                    _key("field", F.substring(F.col("query_term"), F.col("at") + 1, F.col("size"))).alias("key"))
-            .distinct())
+def near_terms(wanted: DataFrame, keys: DataFrame) -> DataFrame:
+    """(field, query_term, term, distance) of ``wanted(field, query_term)`` among keyed terms."""
+    distance = F.levenshtein("query_term", "term", 2)
+    # -1 stands for more than 2 edits; as two bits it is 3, above any allowed number
+    close = (F.col("field") == F.col("query_field")) & (distance.bitwiseAND(F.lit(3)) <= F.col("d"))
+    return (keys.select("field", "term", "key").join(wanted, "key").where(close)
+            .select("field", "query_term", "term").distinct().withColumn("distance", distance))
+
+
+def _limited(near: DataFrame, max_expansions: int | None) -> DataFrame:
+    if max_expansions is None:
+        return near
+    order = W.partitionBy("field", "query_term").orderBy("distance", F.col("df").desc(), "term")
+    return near.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= max_expansions).drop("nth")
 
 
 def expand_terms(wanted: DataFrame, vocabulary: DataFrame,
                  max_expansions: int | None = MAX_EXPANSIONS) -> DataFrame:
-    """(field, query_term, term, distance, df) for distinct ``wanted(field, query_term)``."""
-    probes = _probe_keys(wanted.distinct())
+    """(field, query_term, term, distance, df) for distinct ``wanted(field, query_term)`` in a
+    vocabulary (field, term, df) without stored keys."""
+    probes = probe_keys(wanted.distinct())
     if fits_broadcast(wanted, ["field", "query_term"], limit=256 * 1024):
         probes = F.broadcast(probes)  # at most 19 keys a term
     # vocabulary rows are few bytes but many comparisons; apart, terms of one stem also part
     spread = vocabulary.repartition(parallel(vocabulary.sparkSession), "field", "term")
-    distance = F.levenshtein("query_term", "term", 2)
-    # -1 stands for more than 2 edits; as two bits it is 3, above any allowed number
-    close = (F.col("field") == F.col("query_field")) & (distance.bitwiseAND(F.lit(3)) <= F.col("d"))
-    near = (_vocabulary_keys(spread).join(probes, "key").where(close)
-            .select("field", "query_term", "term", "df").distinct()
-            .withColumn("distance", distance))
-    if max_expansions is None:
-        return near
-    order = W.partitionBy("field", "query_term").orderBy("distance", F.col("df").desc(), "term")
-    return near.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= max_expansions).drop("nth")
+    near = near_terms(probes, vocabulary_keys(spread))
+    return _limited(near.join(vocabulary.select("field", "term", "df"), ["field", "term"]), max_expansions)
+
+
+def expand_in_index(wanted: DataFrame, index: LexicalIndex, max_expansions: int | None = MAX_EXPANSIONS) -> DataFrame:
+    """(field, query_term, term, distance, df) from the index's stored keys, read in place."""
+    probes = cut(probe_keys(wanted.distinct()))
+    if not fits_broadcast(probes, ["query_field", "query_term", "key"], limit=PROBE_BYTES):
+        found = [near_terms(probes, keys) for keys, _ in index.term_keys]
+    else:
+        found = []
+        for keys, parts in index.term_keys:
+            hit = sorted(r["part"] for r in probes.select(key_part(parts).alias("part")).distinct().collect())  # at most parts
+            read = keys if len(hit) == parts else keys.where(F.col("part").isin(hit))
+            found.append(near_terms(F.broadcast(probes), read))
+    near = found[0]
+    for more in found[1:]:
+        near = near.unionByName(more)
+    near = cut(near.distinct())
+    known = index.doc_freq.select("field", "term", "df").join(sized(near, ["field", "query_term", "term"]), ["field", "term"])
+    return _limited(known.select("field", "query_term", "term", "distance", "df"), max_expansions)
 
 
 def fuzzy_terms(questions: DataFrame, index: LexicalIndex, fields,
                 max_expansions: int | None = MAX_EXPANSIONS) -> DataFrame:
     """(qid, field, term): vocabulary terms near a question's terms, each once."""
-    asked = question_terms(questions, fields).withColumnRenamed("term", "query_term")
-    vocabulary = index.doc_freq.where(F.col("field").isin(list(fields)))
-    near = expand_terms(asked.select("field", "query_term"), vocabulary, max_expansions)
+    asked = cut(question_terms(questions, fields).withColumnRenamed("term", "query_term"))
+    wanted = asked.select("field", "query_term").distinct()
+    if index.term_keys:
+        near = expand_in_index(wanted, index, max_expansions)
+    else:
+        near = expand_terms(wanted, index.doc_freq.where(F.col("field").isin(list(fields))), max_expansions)
     return asked.join(near, ["field", "query_term"]).select("qid", "field", "term").distinct()
 
 

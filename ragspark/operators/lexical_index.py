@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 from ..session import cut, needed, pieces_of, sized
 from ..sources.tables import finished_folders, union_all, write_table
+from .term_keys import key_part, vocabulary_keys
 
 FIELDS = ("title", "text")
 ROW_GROUP_BYTES = 32 * 1024 * 1024
@@ -61,6 +62,8 @@ class LexicalIndex:
     """Tables of a text index; ``articles`` holds ``article_id, title, text``.
 
     ``doc_freq`` has ``field, term, df, top``, the last an upper bound of the term's shares.
+    ``term_keys`` are tables of the terms' segment keys by part, with the number of parts; they may
+    also hold terms that no article has any more.
     ``dead`` names articles whose postings in segments before ``since`` no longer count.
     """
 
@@ -70,6 +73,7 @@ class LexicalIndex:
     segments: tuple[Segment, ...]
     dead: DataFrame | None = None
     version: int = 0
+    term_keys: tuple[tuple[DataFrame, int], ...] = ()
 
     @property
     def postings(self) -> DataFrame:
@@ -223,6 +227,10 @@ def _read_terms(spark, base: str) -> DataFrame:
     return spark.read.schema(_TERMS).parquet(f"{base}/terms")
 
 
+def _read_keys(spark, base: str) -> DataFrame:
+    return spark.read.schema("field STRING, term STRING, key BIGINT, part INT").parquet(f"{base}/keys")
+
+
 def _new_folder() -> str:
     return f"segment-{uuid.uuid4().hex[:12]}"
 
@@ -236,6 +244,9 @@ def _write_blocks(spark, path: str, folder: str, rows: DataFrame, parts: int, sl
 def _write_terms(terms: DataFrame, path: str, folder: str, parts: int) -> None:
     write_table(terms.withColumn("part", term_part(parts)).repartition(parts, "part").sortWithinPartitions("part", "field", "term"),
                 f"{path}/{folder}/terms", partition_by=["part"])
+    keys = vocabulary_keys(_read_terms(terms.sparkSession, f"{path}/{folder}").where("df > 0").select("field", "term"))
+    # a key that very many terms share is cut into files, not gathered in one task
+    write_table(keys.withColumn("part", key_part(parts)).hint("rebalance", "part"), f"{path}/{folder}/keys", partition_by=["part"])
 
 
 def _entry(spark, path: str, number: int, folder: str, parts: int, slices: int) -> list[tuple]:
@@ -260,11 +271,12 @@ def load_index(spark: SparkSession, path: str, version: int | None = None) -> Le
     at = {number: f"{path}/{folder}" for number, folder, _, _ in entries}
     segments = tuple(Segment(number, _read_blocks(spark, at[number]), parts, slices, avgdl)
                      for (number, _, parts, slices), avgdl in sorted(entries.items()))
+    keys = tuple((_read_keys(spark, at[s.number]), s.parts) for s in segments)
     if len(segments) == 1:
         home = at[segments[0].number]
         stats = corpus_stats(spark.read.parquet(f"{home}/totals"))
         return LexicalIndex(spark.read.parquet(f"{home}/articles"), _read_terms(spark, home),
-                            stats, segments, None, version)
+                            stats, segments, None, version, keys)
     first, *later = (s.number for s in segments)
     totals = union_all([spark.read.parquet(f"{at[first]}/totals").select("field", "n", "total"),
                         *(spark.read.parquet(f"{at[s]}/changed_totals") for s in later)])
@@ -276,9 +288,9 @@ def load_index(spark: SparkSession, path: str, version: int | None = None) -> Le
     terms = terms.groupBy("field", "term").agg(F.sum("df").alias("df"), F.max("top").alias("top")).where("df > 0")
     dead = union_all([spark.read.parquet(f"{at[s]}/dead").select("article_id", F.lit(s).alias("since")) for s in later])
     dead = dead.groupBy("article_id").agg(F.max("since").alias("since"))
-    index = LexicalIndex(spark.read.parquet(f"{at[first]}/articles"), terms, stats, segments, dead, version)
+    index = LexicalIndex(spark.read.parquet(f"{at[first]}/articles"), terms, stats, segments, dead, version, keys)
     texts = union_all([index.live(s, spark.read.parquet(f"{at[s.number]}/articles")) for s in segments])
-    return LexicalIndex(texts, terms, stats, segments, dead, version)
+    return LexicalIndex(texts, terms, stats, segments, dead, version, keys)
 
 
 def growth(segment: Segment, means: dict[str, float]) -> dict[str, float]:

@@ -170,6 +170,8 @@ def test_updated_index_equals_a_new_one(spark, corpus, questions, tmp_path):
     want = _by_question(lexical_search.multi_match(questions, fresh, k=5))
     for how in ({}, {"prune": True}, {"broadcast_limit": 0}):
         assert _by_question(lexical_search.multi_match(questions, updated, k=5, **how)) == want
+    near = [_by_question(fuzzy.fuzzy_match(questions, ix, k=4)) for ix in (fresh, updated, lexical_index.build_index(final))]
+    assert near[0] == near[1] == near[2]
     merged = lexical_index.merge_index(spark, path)
     assert len(merged.segments) == 1 and _tables(merged) == _tables(fresh)
     assert _by_question(lexical_search.multi_match(questions, merged, k=5)) == want
@@ -219,6 +221,15 @@ def test_expansion_equals_brute_force(spark):
     assert got == want
 
 
+def test_stored_keys_are_read_by_part(spark, corpus, tmp_path):
+    index = lexical_index.save_index(corpus[1], str(tmp_path / "ix"), parts=64)
+    asked = spark.createDataFrame([("text", "onlytexd"), ("title", "obsti")], "field STRING, query_term STRING")
+    got = {(r.field, r.query_term, r.term) for r in fuzzy.expand_in_index(asked, index).collect()}
+    vocabulary = index.doc_freq.select("field", "term").collect()
+    assert got == {(f, q, t) for f, q in (("text", "onlytexd"), ("title", "obsti")) for g, t in vocabulary
+                   if f == g and _edits(q, t) <= _allowed(q)}
+
+
 def test_expansion_order_and_limit(spark):
     voc = spark.createDataFrame([("text", t, d) for t, d in (("cart", 5), ("card", 9), ("care", 9), ("carts", 50))],
                                 "field STRING, term STRING, df BIGINT")
