@@ -501,15 +501,20 @@ def pass_rate(spark, sf):
 
 
 def stream_questions(spark, sf):
-    """User turns arrive as a file stream, are searched in micro-batches and drained to a table."""
-    index = text_index(spark, sf)
+    """User turns arrive as a file stream, are searched in micro-batches and drained to a table; what
+    was asked before is answered from the stream's own table."""
+    home = f"{_home(spark, sf)}/lexical"
+    text_index(spark, sf)
+
+    def current():
+        index = lexical_index.load_index(spark, home)
+        return str(index.version), lambda batch: lexical_search.multi_match(
+            batch, index, k=lexical_search.ARTICLES_PER_QUESTION)
     turns = stream.question_stream(spark, sf, CONVERSATION_SCHEMA, "conversations.parquet")
     asked = turns.where("role = 'user'").select(
         F.concat_ws("-", "conv_id", "turn").alias("qid"), F.col("text").alias("question"))
     path = fresh_path(spark, "answers")
-    query = stream.answer_stream(
-        asked, lambda batch: lexical_search.multi_match(batch, index, k=lexical_search.ARTICLES_PER_QUESTION),
-        path, fresh_path(spark, "stream"))
+    query = stream.remembering_stream(asked, current, path, fresh_path(spark, "known"), fresh_path(spark, "stream"))
     query.awaitTermination()
     return stream.read_answers(spark, path)
 

@@ -213,6 +213,41 @@ def test_replayed_batch_overwrites_itself(spark, world, tmp_path):
     assert stream.read_answers(spark, out).count() == 1
 
 
+def test_known_questions_are_answered_from_state(spark, tmp_path):
+    articles = spark.createDataFrame([(str(i), t, x) for i, (t, x) in enumerate(TEXTS)], "article_id STRING, title STRING, text STRING")
+    home, inbox, out, state, mark = (str(tmp_path / n) for n in ("ix", "in", "out", "state", "mark"))
+    lexical_index.save_index(articles, home)
+    searched = []
+
+    def current():
+        index = lexical_index.load_index(spark, home)
+
+        def search(batch):
+            searched.append({r.question for r in batch.collect()})
+            return lexical_search.multi_match(batch, index, k=2)
+        return str(index.version), search
+
+    def ask(*rows, mark=mark, **how):
+        spark.createDataFrame(rows, "qid STRING, question STRING").coalesce(1).write.mode("append").parquet(inbox)
+        source = stream.question_stream(spark, inbox, "qid STRING, question STRING", files_per_batch=1)
+        stream.remembering_stream(source, current, out, state, mark, **how).awaitTermination()
+        return {(r.qid, r.article_id) for r in stream.read_answers(spark, out).collect()}
+    got = ask(("a", "charcoal kiln"), ("b", "charcoal kiln"), ("c", "zzz"), ("d", None))
+    assert got == {("a", "0"), ("b", "0")} and searched == [{"charcoal kiln", "zzz"}]
+    got = ask(("e", "charcoal kiln"), ("f", "zzz"), ("g", "Alabama"))
+    assert ("e", "0") in got and ("g", "2") in got and searched[1:] == [{"Alabama"}]
+    # a new index version lets old answers expire
+    more = spark.createDataFrame([("9", "Zzz", "zzz charcoal kiln")], "article_id STRING, title STRING, text STRING")
+    lexical_index.update_index(spark, home, more)
+    got = ask(("h", "zzz"), ("i", "Alabama"))
+    assert ("h", "9") in got and searched[2:] == [{"zzz", "Alabama"}]
+    # a replay of all batches from nothing but the inbox gives the same rows for the same index
+    before = sorted(map(tuple, spark.read.parquet(out).where("batch_id = 2").collect()))
+    source = stream.question_stream(spark, inbox, "qid STRING, question STRING", files_per_batch=1)
+    stream.remembering_stream(source, current, out, state, str(tmp_path / "again")).awaitTermination()
+    assert sorted(map(tuple, spark.read.parquet(out).where("batch_id = 2").collect())) == before
+
+
 def test_whole_chain_runs_on_a_stream(spark, world, tmp_path):
     inbox, out = str(tmp_path / "in"), str(tmp_path / "out")
     _asked(spark, "Where is charcoal made?").write.parquet(inbox)
