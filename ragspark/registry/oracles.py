@@ -412,6 +412,8 @@ WHERE id % 2 = 1""",
   count(*) FILTER (vec_id % 3 = 0 OR len(embedding) <> 64) AS rejected FROM embeddings""",
     "knn_int8": _with(VALUES, _calibration(), QUANTIZED, _knn("quantized", "quantized", 10)) +
         "SELECT * FROM neighbours",
+    "knn_exact_lists": _with(VALUES, _calibration(), QUANTIZED, _knn("quantized", "quantized", 10)) +
+        "SELECT * FROM neighbours",
     "knn_ivf": _with(VALUES, _calibration(), QUANTIZED,
                      "vectors AS (SELECT *, sqrt(list_dot_product(qv, qv)) AS norm FROM quantized)", INVERTED) +
         "SELECT * FROM neighbours",

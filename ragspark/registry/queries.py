@@ -411,6 +411,11 @@ def knn_ivf(spark, sf):
     return inverted_lists.search_lists(_vector_queries(vector_index_tables(spark, sf)[0]), inverted_index(spark, sf))
 
 
+def knn_exact_lists(spark, sf):
+    """The true neighbours, from the lists that can hold them."""
+    return inverted_lists.exact_search(_vector_queries(vector_index_tables(spark, sf)[0]), inverted_index(spark, sf))[0]
+
+
 def knn_self_check(spark, sf):
     return knn.nearest_self(vector_index_tables(spark, sf)[0])
 
@@ -531,7 +536,7 @@ QUERIES = {f.__name__: f for f in (
     tokenize, postings, doc_freq, corpus_stats, match_text, multi_match, fuzzy_match, bool_should_fuzzy,
     lexical_top2, lexical_retrieve, update_index,
     embed_hashed, embed_queries, calibrate_int8, quantize_int8, quantize_queries, validate_vectors,
-    knn_int8, knn_lsh, knn_ivf, knn_self_check, semantic_retrieve,
+    knn_int8, knn_lsh, knn_ivf, knn_exact_lists, knn_self_check, semantic_retrieve,
     build_context, context_windows, pair_answers, answer_questions, eval_cases, read_eval_cases, icontains, run_eval, pass_rate,
     stream_questions,
 )}

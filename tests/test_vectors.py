@@ -168,6 +168,19 @@ def test_lists_find_almost_all_neighbours(spark, clustered, tmp_path, how):
     assert {(r.qid, r.id, r["rank"]) for r in every} == set(want)
 
 
+def test_exact_search_leaves_most_lists_alone(spark, clustered, tmp_path):
+    near = np.clip(np.rint(clustered * 0.9 + np.random.default_rng(1).integers(-3, 4, clustered.shape)), -128, 127)
+    near[0] = 0     # no direction: all are equally near
+    v, q = _bytes(spark, clustered).repartition(4), _bytes(spark, near[::7], "qid")
+    index = inverted_lists.save_lists(v, str(tmp_path / "lists"))
+    found, pruned = inverted_lists.exact_search(q, index, 5)
+    want = _want(near[::7], clustered, 5)
+    got = {(r.qid, r.id, r["rank"]): r.score for r in found.collect()}
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 2e-9 for x in want)
+    assert pruned > 0.5
+    assert inverted_lists.exact_search(q.limit(0), index, 5)[0].count() == 0
+
+
 def test_lists_are_read_where_probed(spark, clustered, tmp_path):
     v = _bytes(spark, clustered)
     index = inverted_lists.save_lists(v, str(tmp_path / "lists"), lists=20, rounds=3)
