@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import resource
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
@@ -16,6 +19,8 @@ from ..session import cut, fresh_path
 #: Text bytes that one numpy step works on; a longer single text is a step of its own.
 SLICE_BYTES = 1 << 20
 SLICE_ROWS = 8_000
+#: A worker above this gives memory back after each group.
+FRUGAL_BYTES = 240 << 20
 #: Stands for a null id inside an operator, so that a real id is always the smaller one.
 NO_ID = (1 << 63) - 1
 
@@ -42,12 +47,16 @@ _powers: dict[str, np.ndarray] = {}
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of the hash base and of its inverse, modulo 2**64."""
-    if len(_powers.get("up", ())) < n:
-        size = max(n, SLICE_BYTES + 1024)
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[name] = np.cumprod(steps, dtype=np.uint64)
+    def made(size: int, base: np.uint64) -> np.ndarray:
+        steps = np.full(size, base, np.uint64)
+        steps[0] = 1
+        return np.cumprod(steps, dtype=np.uint64)
+
+    size = SLICE_BYTES + 1024
+    if n > size:  # of a single long text; not kept
+        return made(n, _BASE), made(n, _INVERSE)
+    if not _powers:
+        _powers.update(up=made(size, _BASE), down=made(size, _INVERSE))
     return _powers["up"][:n], _powers["down"][:n]
 
 
@@ -155,6 +164,54 @@ def signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 
 
+def give_back() -> None:
+    """Return freed memory to the system, so that a worker that waits or idles does not keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # only where the C library has it
+        pass
+
+
+def _resident() -> int:
+    """Bytes this process holds; 0 where the system does not say."""
+    try:
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * resource.getpagesize()
+    except OSError:
+        return 0
+
+
+def frugal_group(run):
+    """``run`` over one group, with memory given back when the worker has come to hold much."""
+    def wrapped(group):
+        out = run(group)
+        if _resident() > FRUGAL_BYTES:
+            give_back()
+        return out
+    return wrapped
+
+
+def frugal_cogroup(run):
+    def wrapped(left, right):
+        out = run(left, right)
+        if _resident() > FRUGAL_BYTES:
+            give_back()
+        return out
+    return wrapped
+
+
+def frugal(run):
+    """``run`` over the batches of a task, after which the worker gives its memory back."""
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+    return wrapped
+
+
 def source(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -176,6 +233,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores as keep it off the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def known_id(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
 

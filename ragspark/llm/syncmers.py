@@ -27,8 +27,9 @@ K, S = 24, 8
 SIZE = 96
 #: Code points that one numpy step works on.
 STEP_CHARS = 1 << 18
-#: Text bytes of one range of ids.
+#: Text bytes of one range of ids, and the most ranges: beyond, a range grows, which its task streams.
 RANGE_BYTES = 24 << 20
+MOST_RANGES = 20_000
 
 
 def _chosen(codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,6 +152,21 @@ def _dealer(bounds: np.ndarray):
     return run
 
 
+def _greatest(bounds: np.ndarray):
+    """The greatest id of each range, once for each task."""
+    def run(batches):
+        found: dict[int, int] = {}
+        for batch in batches:
+            ids = np.sort(batch.column(0).to_numpy())
+            part = np.searchsorted(bounds, ids, side="left")
+            last = np.flatnonzero(np.r_[part[1:] != part[:-1], True]) if len(ids) else part
+            for p, i in zip(part[last].tolist(), ids[last].tolist()):
+                found[p] = max(i, found.get(p, i))
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array(list(found.values()), pa.int64())],
+                                         names=["part", "id"])
+    return run
+
+
 def _pairs(batches):
     """Rows come by part, then guests last, then descending; each is followed by its next."""
     unpress = zstandard.ZstdDecompressor()
@@ -194,19 +210,17 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     docs = docs.withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    parts = pieces(text_bytes(docs), RANGE_BYTES)
+    parts = min(pieces(text_bytes(docs), RANGE_BYTES), MOST_RANGES)
     cuts = docs.approxQuantile("id", [i / parts for i in range(1, parts)], 0.1 / parts) if parts > 1 else []
     bounds = np.unique(np.array(cuts, np.float64)).astype(np.int64)
-    digest = F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 24))
-    part = F.lit(0)
-    for b in bounds.tolist():
-        part = part + (F.col("id") > b).cast("int")
-    tops = (docs.groupBy(part.alias("part")).agg(F.max(F.struct("id", digest.alias("tie"))).alias("top"))
-            .orderBy("part").collect())  # one row for each range
+    tops = (docs.select("id").mapInArrow(_greatest(bounds), "part int, id long")
+            .groupBy("part").agg(F.max("id").alias("id")).orderBy("part").collect())  # one row for each range
     host = {row["part"]: tops[i + 1 if i + 1 < len(tops) else 0]["part"] for i, row in enumerate(tops)}
-    guests = docs.sparkSession.createDataFrame(
-        [(r["part"], host[r["part"]], r["top"]["id"], bytes(r["top"]["tie"])) for r in tops],
-        "part int, host int, id long, tie binary")
+    spark = docs.sparkSession
+    ends = spark.createDataFrame([(r["part"], host[r["part"]], r["id"]) for r in tops], "part int, host int, id long")
+    # of rows with the greatest id of a range, the one that comes first there
+    digest = F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 24))
+    guests = (docs.join(F.broadcast(ends), "id").groupBy("part", "host", "id").agg(F.max(digest).alias("tie")))
     dealt = docs.mapInArrow(_dealer(bounds), "part int, id long, doc_id long, tie binary, packed binary")
     marked = dealt.join(F.broadcast(guests), ["part", "id", "tie"], "left").select(
         F.explode(F.when(F.col("host").isNull(), F.array(F.struct("part", F.lit(0).alias("guest"))))
