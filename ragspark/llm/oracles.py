@@ -85,10 +85,17 @@ FROM g WHERE score >= least(13, ceil(n * 4 / 5)) GROUP BY doc_id, item_id
 """
 
 PREFERENCES = """
-WITH r AS (
-  SELECT DISTINCT CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, conv_id % 2 = 0 AS c, turn,
-    coalesce(role, 'user') AS role, coalesce(text, '') AS text
-  FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+WITH l AS (
+  SELECT conv_id, max(turn) AS last FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL GROUP BY conv_id),
+a AS (
+  SELECT conv_id, last, max(coalesce(text, '')) AS ending FROM conversations JOIN l USING (conv_id)
+  WHERE role = 'assistant' AND turn = last GROUP BY conv_id, last),
+r AS (
+  SELECT DISTINCT m.conv_id AS pair_id, c, turn, coalesce(role, 'user') AS role,
+    CASE WHEN NOT c AND role = 'assistant' AND turn = a.last THEN coalesce(o.ending, '') ELSE coalesce(text, '') END AS text
+  FROM conversations m LEFT JOIN a ON a.conv_id = m.conv_id LEFT JOIN a o ON o.conv_id = xor(m.conv_id, 1),
+       (VALUES (true), (false)) AS v(c)
+  WHERE m.conv_id IS NOT NULL AND turn IS NOT NULL),
 s AS (SELECT *, '<|' || role || '|>' || chr(10) AS head, text || '<|end|>' || chr(10) AS body FROM r),
 t AS (
   SELECT pair_id, turn, string_agg(head || body, '' ORDER BY role, head, body) FILTER (WHERE c) AS x,

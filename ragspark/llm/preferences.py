@@ -31,6 +31,27 @@ def paired_neighbours(turns: DataFrame) -> DataFrame:
                         F.col("turn").cast("long").alias("turn"), "role", "text")
 
 
+def swapped_endings(turns: DataFrame) -> DataFrame:
+    """A pair for each conversation: as it is, and with its last assistant turn answered by that of its
+    neighbour (2k and 2k + 1 are neighbours; without one, or without such a turn there, by nothing).
+
+    Only the endings travel: one row for each conversation.
+    """
+    rows = turns.select(F.col("conv_id").cast("long").alias("pair_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    ending = F.max(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))
+    ends = (rows.where("role = 'assistant' and pair_id is not null and turn is not null")
+            .groupBy("pair_id").agg(ending.alias("e")).select("pair_id", F.col("e.turn").alias("last"), "e.text"))
+    ends = stored(ends, "preference-endings")
+    other = ends.select(F.col("pair_id").bitwiseXOR(F.lit(1)).alias("pair_id"), F.col("text").alias("answer"))
+    swaps = ends.select("pair_id", "last").join(other, "pair_id", "left").select(
+        "pair_id", "last", F.coalesce("answer", F.lit("")).alias("answer"))
+    both = rows.join(sized(swaps, ["pair_id", "last", "answer"], 16 << 20), "pair_id", "left").withColumn(
+        "is_chosen", F.explode(F.array(F.lit(True), F.lit(False))))
+    swapped = ~F.col("is_chosen") & (F.col("role") == "assistant") & (F.col("turn") == F.col("last"))
+    return both.select("pair_id", "is_chosen", "turn", "role",
+                       F.when(swapped, F.col("answer")).otherwise(F.col("text")).alias("text"))
+
+
 def preference_pairs(sides: DataFrame, block: int = BLOCK) -> DataFrame:
     """``pair_id, part`` (prompt, chosen, rejected), ``block, first_turn, n_turns, text, mask``.
 

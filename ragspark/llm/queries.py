@@ -17,7 +17,7 @@ def op2_lm_scoring(spark, sf_dir):
 
 
 def op3_preference_formatting(spark, sf_dir):
-    return preferences.preference_pairs(preferences.paired_neighbours(source(spark, sf_dir, "conversations")))
+    return preferences.preference_pairs(preferences.swapped_endings(source(spark, sf_dir, "conversations")))
 
 
 def op4_toxicity(spark, sf_dir):
