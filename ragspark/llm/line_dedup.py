@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import sized
-from .common import known_id, stored
+from .common import free_name, known_id, stored
 
 MIN_SITES = 8
 LOG_REGISTERS = 10
@@ -62,16 +62,17 @@ def clean_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     hits = (_lines(slim).join(sized(known, ["line", "first_id", "first_at"], 16 << 20), "line")
             .groupBy("id").agg(F.collect_set(F.struct(
                 "line", F.when(F.col("first_id") == F.col("id"), F.col("first_at")).alias("keep"))).alias("bad")))
-    hits = stored(hits.select(F.col("id").alias("_dedup_id"), F.col("bad").alias("_dedup_bad")), "line-hits")
-    size = hits.agg(F.coalesce(F.sum(F.lit(48) + 32 * F.size("_dedup_bad")), F.lit(0)).alias("n")).first()["n"]
-    joined = docs.withColumn("_dedup_id", known_id(id_column)).join(
-        F.broadcast(hits) if size <= HITS_BYTES else hits, "_dedup_id", "left")
+    key, bad = free_name(docs, "_dedup_id"), free_name(docs, "_dedup_bad")
+    hits = stored(hits.select(F.col("id").alias(key), F.col("bad").alias(bad)), "line-hits")
+    size = hits.agg(F.coalesce(F.sum(F.lit(48) + 32 * F.size(bad)), F.lit(0)).alias("n")).first()["n"]
+    joined = docs.withColumn(key, known_id(id_column)).join(
+        F.broadcast(hits) if size <= HITS_BYTES else hits, key, "left")
     split = F.split(text_column, "\n")
     kept = F.filter(split, lambda line, i: ~F.exists(
-        "_dedup_bad", lambda b: (b["line"] == _line_hash(line)) & (F.trim(line) != "") & ~b["keep"].eqNullSafe(i)))
-    text = F.when(F.col("_dedup_bad").isNull(), F.col(text_column)).otherwise(F.array_join(kept, "\n"))
+        bad, lambda b: (b["line"] == _line_hash(line)) & (F.trim(line) != "") & ~b["keep"].eqNullSafe(i)))
+    text = F.when(F.col(bad).isNull(), F.col(text_column)).otherwise(F.array_join(kept, "\n"))
     n_lines = F.coalesce(F.size(split), F.lit(0))
-    n_kept = F.when(F.col("_dedup_bad").isNull(), n_lines).otherwise(F.size(kept))
+    n_kept = F.when(F.col(bad).isNull(), n_lines).otherwise(F.size(kept))
     columns = [text.alias(c) if c == text_column else F.col(c) for c in docs.columns
                if c not in ("n_lines", "n_removed")]
     return joined.select(*columns, n_lines.cast("long").alias("n_lines"), (n_lines - n_kept).cast("long").alias("n_removed"))

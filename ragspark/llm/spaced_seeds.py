@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import sized
-from .common import known_id, pieces, public_id, stored
+from .common import free_name, known_id, pieces, public_id, stored
 
 #: Counted places of the masks.
 MASKS = ((0, 1, 2, 4, 7, 8, 10), (0, 1, 3, 5, 6, 9, 10), (0, 2, 3, 6, 8, 9, 10))
@@ -67,7 +67,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
                  item_column: str = "item_id", item_text: str = "text") -> DataFrame:
     """``doc_id, item_id, offset, score``: the best diagonal of each contaminated document and item.
     ``offset`` is the document's token at which the item would begin."""
-    items = (benchmark.select(F.col(item_column).cast("long").alias("item"), _hashed(F.col(item_text)).alias("h"))
+    items = (benchmark.select(known_id(item_column).alias("item"), _hashed(F.col(item_text)).alias("h"))
              .where(F.size("h") >= SHORTEST))
     items = stored(items, "seed-items")
     lengths = [r["n"] for r in items.select(F.size("h").alias("n")).where(F.col("n") < SPAN).distinct().collect()]
@@ -97,12 +97,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
                                              F.slice("g", item_first + 1, F.col("length"))))
               .where(F.col("score") >= F.least(F.lit(LEAST_SUM), F.ceil(F.size("g") * 4 / F.lit(5)))))
     best = judged.groupBy("id", "item").agg(F.max(F.struct("score", (-F.col("offset")).alias("o"))).alias("m"))
-    return best.select(public_id("id").alias("doc_id"), F.col("item").alias("item_id"),
+    return best.select(public_id("id").alias("doc_id"), public_id("item").alias("item_id"),
                        (-F.col("m.o")).cast("long").alias("offset"), F.col("m.score").cast("long").alias("score"))
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
-    """Documents without any contaminated passage, with all their columns."""
-    gone = (contaminated(docs, benchmark, id_column, **options).select(known_id("doc_id").alias("_gone")).distinct())
-    gone = stored(gone, "seed-gone")
-    return docs.join(sized(gone, ["_gone"], 16 << 20), known_id(id_column) == F.col("_gone"), "left_anti")
+def decontaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text",
+                   **options) -> DataFrame:
+    """Documents without any contaminated passage, with all their columns. A document goes for its text,
+    whatever its id: clean rows stay beside contaminated ones of the same id, or without one."""
+    keyed = docs.select(F.xxhash64(text_column).alias("key"), F.col(text_column).alias("text"))
+    gone = free_name(docs, "_gone")
+    found = contaminated(keyed, benchmark, "key", **options).select(known_id("doc_id").alias(gone)).distinct()
+    found = stored(found, "seed-gone")
+    return docs.join(sized(found, [gone], 16 << 20), F.xxhash64(text_column) == F.col(gone), "left_anti")
