@@ -2,19 +2,25 @@
 
 A text is the set of its words, the beginnings of its words and pairs of neighbouring words,
 hashed. A bounded sample of labelled training rows (the ``MAX_LABELLED`` smallest hashes of their
-ids) chooses the features by a smoothed log odds ratio and fits a logistic regression. Identity
-terms in the sample are swapped for others of their kind, and the squared change of the score is
-part of the loss: a group's mention alone moves no score, so neutral texts about groups are not
-taken for toxic. Scoring reads whole texts and depends on nothing but the text.
+ids) chooses the features by a smoothed log odds ratio and fits a logistic regression. The identity
+terms of each sampled text are swapped for others of their kind, word for word; the swapped texts
+get features of their own, and the squared difference between the log odds of a text and of its
+swapped texts is part of the loss. So a group's mention alone moves no score, by whichever feature it is
+seen, and neutral texts about groups are not taken for toxic. Scoring reads whole texts and depends on
+nothing but the text.
 
 Null and empty texts have no feature and get the score of the intercept. Several labels of one
 document: the highest counts. Without labelled rows, or with one class only, every score is the
-share of toxic rows (0 where there is none). Repeated rows score alike, and teach as often as they
-occur. A null id has no label and is not trained on.
+share of toxic rows (0 where there is none), and ``without_toxic`` keeps all rows: nothing was learned.
+Repeated rows score alike and teach once. A null id has no label and is not trained on. A very long
+text is one numpy step of its own. Empty tables give empty results, and all other columns are kept
+or not looked at.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut
-from .common import _BASE, mix, prefix_sums, range_hashes, signed, slices, words_of
+from .common import _BASE, frugal, mix, prefix_sums, range_hashes, signed, slices, words_of
 
 #: Labelled rows that the fit sees at most; the bound of the fit, not of scoring.
 MAX_LABELLED = 8_000
@@ -39,9 +45,22 @@ IDENTITY_TERMS = (
     ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist", "muslims", "christians", "jews"),
     ("black", "white", "asian", "latino", "african", "european", "mexican", "chinese", "indian", "american"),
     ("immigrants", "refugees", "foreigners", "natives"),
+    ("frauen", "männer", "frau", "mann", "mädchen", "jungen"),
+    ("muslime", "christen", "juden", "muslimische", "christliche", "jüdische"),
+    ("ausländer", "flüchtlinge", "einwanderer", "einheimische"),
+    ("femmes", "hommes", "femme", "homme", "filles", "garçons"),
+    ("musulmans", "chrétiens", "juifs", "musulman", "chrétien", "juif"),
+    ("immigrés", "réfugiés", "étrangers"),
+    ("mujeres", "hombres", "mujer", "hombre", "chicas", "chicos"),
+    ("musulmanes", "cristianos", "judíos", "cristiano", "judío"),
+    ("inmigrantes", "refugiados", "extranjeros"),
     ("old", "young", "elderly", "disabled", "blind", "deaf"),
 )
-COUNTERFACTUAL, RIDGE = 1.0, 1e-4
+COUNTERFACTUAL, RIDGE = 3.0, 1e-4
+#: Swapped texts that the fit sees at most, and of one text.
+MAX_SWAPPED, SWAPPED_OF_ONE = 12_000, 10
+_KINDS = {term: kind for kind in IDENTITY_TERMS for term in kind}
+_MENTION = re.compile(r"(?<!\w)(?:" + "|".join(sorted(_KINDS, key=len, reverse=True)) + r")(?!\w)", re.IGNORECASE)
 
 
 def _trim(words):
@@ -103,20 +122,40 @@ def _statistics(batches):
                                          names=["feature", "on", "off"])
 
 
-def _sampler(features: np.ndarray):
+def swapped(text: str, most: int = SWAPPED_OF_ONE) -> list[str]:
+    """The text with each kind of identity term replaced: all mentions of a term by another of its kind."""
+    mentioned = dict.fromkeys(m.lower() for m in _MENTION.findall(text))
+    out = []
+    for term in mentioned:
+        for other in _KINDS[term]:
+            if other != term and len(out) < most:
+                out.append(re.sub(rf"(?<!\w){term}(?!\w)", other, text, flags=re.IGNORECASE))
+    return out
+
+
+def _numbers(texts: pa.Array, features: np.ndarray) -> list[bytes]:
     """The chosen features of each text, by number."""
+    rows, found = _features(texts)
+    at = np.minimum(np.searchsorted(features, found), len(features) - 1)
+    here = features[at] == found
+    key = np.unique(rows[here].astype(np.int64) * len(features) + at[here])
+    bounds = np.searchsorted(key, np.arange(len(texts) + 1) * len(features))
+    own = (key % len(features)).astype(np.int32)
+    return [own[bounds[i]:bounds[i + 1]].tobytes() for i in range(len(texts))]
+
+
+def _sampler(features: np.ndarray):
+    """The chosen features of each text and of its swapped texts."""
     def run(batches):
         for piece in slices(batches):
-            rows, found = _features(piece.column("text"))
-            at = np.minimum(np.searchsorted(features, found), len(features) - 1)
-            here = features[at] == found
-            key = np.unique(rows[here].astype(np.int64) * len(features) + at[here])
-            bounds = np.searchsorted(key, np.arange(piece.num_rows + 1) * len(features))
-            own = (key % len(features)).astype(np.int32)
+            others = [swapped(t) if t else [] for t in piece.column("text").to_pylist()]
+            ends = np.cumsum([0, *map(len, others)]).tolist()
+            made = pa.array([t for o in others for t in o], pa.string())
+            of_others = _numbers(made, features) if len(made) else []
             yield pa.RecordBatch.from_arrays(
-                [piece.column("key"), piece.column("toxic"),
-                 pa.array([own[bounds[i]:bounds[i + 1]].tobytes() for i in range(piece.num_rows)], pa.binary())],
-                names=["key", "toxic", "features"])
+                [piece.column("key"), piece.column("toxic"), pa.array(_numbers(piece.column("text"), features), pa.binary()),
+                 pa.array([of_others[a:b] for a, b in zip(ends[:-1], ends[1:])], pa.list_(pa.binary()))],
+                names=["key", "toxic", "features", "swapped"])
     return run
 
 
@@ -139,40 +178,39 @@ class Model:
             known = self.features[at] == found
             key = np.unique(rows[known].astype(np.int64) * len(self.features) + at[known])
             total += np.bincount(key // len(self.features), self.weights[key % len(self.features)], len(texts))
-        return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
+        return _sigmoid(total)
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(feature: np.ndarray, sets: list[np.ndarray], toxic: np.ndarray, rounds: int = 300) -> Model:
+def fit(feature: np.ndarray, sets: list[np.ndarray], toxic: np.ndarray, others: list[tuple[int, np.ndarray]] = (),
+        rounds: int = 300) -> Model:
     """Logistic regression with a ridge and the counterfactual penalty, by full-batch Adam; ``sets``
-    hold numbers of the sorted ``feature`` hashes."""
+    hold numbers of the sorted ``feature`` hashes, ``others`` those of swapped texts with the number of
+    the text they were made from."""
     n, hits = len(sets), int(toxic.sum())
     if not 0 < hits < n:
         share = hits / n if n else 0.0
         return Model(feature[:0], np.zeros(0), float(np.log((share + 1e-9) / (1 - share + 1e-9))))
     doc = np.repeat(np.arange(n), [len(s) for s in sets])
     column = np.concatenate(sets).astype(np.int64)
-    kinds = [np.array([_term(t) for t in kind], np.uint64) for kind in IDENTITY_TERMS]
-    # a swap takes one term out and puts another of its kind in: the change of the linear score
-    out_of, into = [], []
-    for kind in kinds:
-        here = np.flatnonzero(np.isin(feature, kind))
-        of = column[np.isin(column, here)]
-        for c in of.tolist():
-            for other in here.tolist():
-                if other != c:
-                    out_of.append(c)
-                    into.append(other)
-    out_of, into = np.array(out_of, np.int64), np.array(into, np.int64)
+    made_from = np.array([i for i, _ in others], np.int64)
+    twin = np.repeat(np.arange(len(others)), [len(x) for _, x in others])
+    twin_column = np.concatenate([x for _, x in others]).astype(np.int64) if len(others) else np.zeros(0, np.int64)
     w, base, m, v = np.zeros(len(feature)), float(np.log(hits / (n - hits))), 0.0, 0.0
     y = toxic.astype(float)
     for step in range(1, rounds + 1):
-        z = base + np.bincount(doc, w[column], n)
-        slack = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - y
-        grad = np.bincount(column, slack[doc], len(w)) / n + RIDGE * w
-        if len(out_of):
-            change = COUNTERFACTUAL * (w[into] - w[out_of]) / len(out_of)
-            grad += np.bincount(into, change, len(w)) - np.bincount(out_of, change, len(w))
-        grad = np.r_[grad, slack.mean()]
+        z = np.bincount(doc, w[column], n)
+        slack = (_sigmoid(base + z) - y) / n
+        of_twins = np.zeros(len(others))
+        if len(others):
+            # on the scale of log odds, where no score is saturated
+            of_twins = 2 * COUNTERFACTUAL * (np.bincount(twin, w[twin_column], len(others)) - z[made_from]) / len(others)
+            slack -= np.bincount(made_from, of_twins, n)
+        grad = (np.bincount(column, slack[doc], len(w)) + np.bincount(twin_column, of_twins[twin], len(w)) + RIDGE * w)
+        grad = np.r_[grad, slack.sum() + of_twins.sum()]  # the swaps cancel out: the intercept is in both
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad ** 2
         move = 0.1 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)
         w, base = w - move[:-1], base - move[-1]
@@ -196,7 +234,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     terms = [int(signed(np.array([_term(t)], np.uint64))[0]) for kind in IDENTITY_TERMS for t in kind]
     on, off = F.col("on"), F.col("off")
     odds = F.log((on + 0.5) / (hits + 1)) - F.log((off + 0.5) / (n - hits + 1))
-    chosen = (sample.mapInArrow(_statistics, "feature long, on long, off long")
+    chosen = (sample.mapInArrow(frugal(_statistics), "feature long, on long, off long")
               .groupBy("feature").agg(F.sum("on").alias("on"), F.sum("off").alias("off"))
               .withColumn("z", F.when(F.col("feature").isin(terms), F.lit(1e9))
                           .otherwise(F.abs(odds) / F.sqrt(1 / (on + 0.5) + 1 / (off + 0.5))))
@@ -205,21 +243,22 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     features = np.sort(np.array([r["feature"] for r in chosen], np.int64).view(np.uint64))
     if not len(features):
         return fit(features, [np.zeros(0, np.int32)] * n, np.arange(n) < hits)
-    rows = sample.mapInArrow(_sampler(features), "key long, toxic int, features binary").toArrow()
-    order = np.lexsort((rows.column("toxic").to_numpy(), rows.column("key").to_numpy()))
+    rows = (sample.mapInArrow(frugal(_sampler(features)), "key long, toxic int, features binary, swapped array<binary>")
+            .distinct().orderBy(F.xxhash64("key"), "key", "features", "toxic", "swapped").limit(MAX_LABELLED).toArrow())
     sets = [np.frombuffer(x, np.int32) for x in rows.column("features").to_pylist()]
-    toxic = (rows.column("toxic").to_numpy() > 0).astype(int)
-    return fit(features, [sets[i] for i in order], toxic[order])
+    others = [(i, np.frombuffer(x, np.int32)) for i, made in enumerate(rows.column("swapped").to_pylist()) for x in made]
+    return fit(features, sets, (rows.column("toxic").to_numpy() > 0).astype(int), others[:MAX_SWAPPED])
 
 
 def scored(docs: DataFrame, model: Model, text_column: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with the score of each whole text as a further column."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.features, model.weights, model.base))
 
     def run(batches):
+        known = Model(*shared.value)
         for piece in slices(batches, text_column):
-            yield piece.append_column(name, pa.array(shared.value.score(piece.column(text_column)), pa.float64()))
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+            yield piece.append_column(name, pa.array(known.score(piece.column(text_column)), pa.float64()))
+    return docs.mapInArrow(frugal(run), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text",
@@ -238,4 +277,6 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     while name in docs.columns:
         name += "_"
     model = train(docs, labels, id_column, text_column)
+    if not len(model.features):
+        return docs  # nothing was learned
     return scored(docs, model, text_column, name).where(F.col(name) < threshold).drop(name)
