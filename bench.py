@@ -18,7 +18,7 @@ from ragspark.session import build_session  # noqa: E402
 HEADLINES = [
     "lexical_top2", "multi_match", "match_text", "lexical_retrieve", "fuzzy_match", "bool_should_fuzzy",
     "tokenize", "split_paragraphs", "truncate_text", "render_retrieval_prompt", "render_chat",
-    "parse_questions", "calibrate_int8", "quantize_int8", "knn_int8", "knn_lsh", "knn_self_check", "embed_hashed",
+    "parse_questions", "calibrate_int8", "quantize_int8", "knn_int8", "knn_lsh", "knn_ivf", "knn_self_check", "embed_hashed",
     "semantic_retrieve", "paragraph_to_text", "build_context", "answer_questions", "run_eval", "icontains",
     "upsert_articles", "union_shards", "stream_questions",
 ]

@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut, sized
+from ..session import byte_size, cut, pieces_of, sized
 
 ROWS_PER_FILE = 1_000_000
 ROW_GROUP_BYTES = 128 * 1024 * 1024
+#: Bytes of one batch of a sized write.
+BATCH_BYTES = 96 * 1024 * 1024
 
 MANIFEST_SCHEMA = "snapshot STRING, table_name STRING, rows BIGINT, checksum DECIMAL(38,0)"
 
@@ -77,6 +79,16 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by=
     writer.parquet(path)
 
 
+def write_sized(df: DataFrame, path: str, bytes_each: int = BATCH_BYTES, **how) -> int:
+    """``write_table`` in partitions of about ``bytes_each``: the rows' bytes as text are counted first.
+
+    ``df`` is read twice, so it should be a stored table. Returns the number of partitions.
+    """
+    n = pieces_of(df.agg(byte_size(*df.columns).alias("bytes")).first()["bytes"], bytes_each)
+    write_table(df.repartition(n), path, **how)
+    return n
+
+
 def write_json_lines(objects: DataFrame, column: str, path: str, mode: str = "overwrite") -> None:
     """One JSON object a line, non-ASCII text unescaped, null members kept."""
     options = {"ignoreNullFields": "false"}

@@ -97,6 +97,14 @@ def test_vector_index_is_left_alone(spark, tmp_path):
     assert spark.read.parquet(path + "/vectors").count() == 2 and ranges.count() == 2
 
 
+def test_batches_follow_the_counted_bytes(spark, tmp_path):
+    rows = spark.range(2000).select("id", F.expr("repeat('x', 500)").alias("text"))
+    assert tables.write_sized(rows, str(tmp_path / "a"), 200_000) == 6
+    files = glob.glob(str(tmp_path / "a" / "*.parquet"))
+    assert len(files) == 6 and spark.read.parquet(str(tmp_path / "a")).count() == 2000
+    assert tables.write_sized(rows.limit(0), str(tmp_path / "b")) == 1
+
+
 def test_positions_follow_the_keys(spark):
     ids = [f"k{i:03d}" for i in range(500)]
     df = spark.createDataFrame([(i,) for i in reversed(ids)], "article_id STRING").repartition(7)
