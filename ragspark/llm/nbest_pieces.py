@@ -13,30 +13,37 @@ sums are exact. What no piece covers is spelled in byte pieces. A blank goes bef
 vocabulary expects. ``decode`` gives back every text exactly. Null and empty texts have no pieces
 and one segmentation of score 0; of equal best segmentations the one with the longer last piece is
 taken. A long text is read in stretches that end between units, so its units are never held at once.
+
+The different units of a slice of texts are segmented together: all their places walk the vocabulary
+trie at the same time, and the forward pass goes through the units place by place. Nothing but a
+small list of costs outlives a slice.
+
+Repeated rows are encoded each. An empty table gives an empty result; columns besides id and text are
+not read.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 import re
-from collections import Counter
-from struct import pack
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import frugal, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NBEST = 4
 MARK = "▁"
-#: Units of each half of a task's cache: what was not asked for while a half filled up is forgotten.
-CACHE = 50_000
-#: Longest unit that is cached.
+#: Units of a task whose further costs are remembered, and their longest.
+CACHE = 5_000
 CACHED_CHARS = 64
+#: Units above this many characters go through the forward pass by themselves.
+LONG_UNIT = 96
 #: Characters of a long text whose units are held at once; a stretch ends before a blank.
 STRETCH_CHARS = 1 << 17
 #: Units by blanks and line feeds; and, for a vocabulary whose pieces never mix letters with other
@@ -47,6 +54,8 @@ FINE = re.compile(rf"\n| *[^\W{_FIGURES}]+| *(?:[^\w \n]|[{_FIGURES}])+| +")
 _BREAK = re.compile(r"[^ ] ")
 SCALE = 1 << 16
 _NEVER = -(1 << 60)
+#: Text bytes whose units are segmented together.
+SLICE = 3 << 18
 
 
 def read_vocabulary(path: str = MODEL) -> tuple[dict[str, int], list[int]]:
@@ -64,40 +73,88 @@ def read_vocabulary(path: str = MODEL) -> tuple[dict[str, int], list[int]]:
     return pieces, single
 
 
+class Trie:
+    """The vocabulary as a trie in a hash table of (node, character): numbers only, so it is shipped
+    as it is and many places walk it at once."""
+
+    def __init__(self, pieces: dict[str, int], score: dict[str, int]):
+        self.codes = np.array(sorted({ord(c) for p in pieces for c in p}), np.int64)
+        kind = {chr(c): i for i, c in enumerate(self.codes.tolist())}
+        nodes, keys, targets = {"": 0}, [], []
+        ends = [(0, 0)]
+        for p in sorted(pieces, key=len):
+            for k in range(1, len(p) + 1):
+                if p[:k] not in nodes:
+                    nodes[p[:k]] = len(nodes)
+                    ends.append((0, 0))
+                    keys.append(nodes[p[:k - 1]] * len(self.codes) + kind[p[k - 1]])
+                    targets.append(nodes[p[:k]])
+            ends[nodes[p]] = (score[p], pieces[p])
+        self.score, self.piece = np.array(ends, np.int32).T.copy()
+        self.bits = max(4, (8 * len(keys)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.targets = np.zeros(1 << self.bits, np.int32)
+        rest, to = np.array(keys, np.int64), np.array(targets, np.int32)
+        slot = self._slot(rest)
+        while len(rest):
+            free = np.flatnonzero(self.keys[slot] < 0)
+            _, first = np.unique(slot[free], return_index=True)
+            placed = free[first]
+            self.keys[slot[placed]], self.targets[slot[placed]] = rest[placed], to[placed]
+            left = np.ones(len(rest), bool)
+            left[placed] = False
+            rest, to, slot = rest[left], to[left], (slot[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def kinds(self, codes: np.ndarray) -> np.ndarray:
+        """Numbers of characters; -1 for those in no piece."""
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return np.where(self.codes[at] == codes, at, -1).astype(np.int32)
+
+    def step(self, node: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """The nodes behind; -1 where there is none."""
+        key = node.astype(np.int64) * len(self.codes) + kind
+        slot = self._slot(key)
+        seen = self.keys[slot]
+        out = np.where(seen == key, self.targets[slot], -1)
+        again = np.flatnonzero((seen != key) & (seen >= 0) & (kind >= 0))
+        while len(again):
+            slot[again] = (slot[again] + 1) & ((1 << self.bits) - 1)
+            seen = self.keys[slot[again]]
+            hit = seen == key[again]
+            out[again[hit]] = self.targets[slot[again[hit]]]
+            again = again[~hit & (seen >= 0)]
+        out[kind < 0] = -1
+        return out
+
+
+def _utf8_size(codes: np.ndarray) -> np.ndarray:
+    return 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)
+
+
+def _scores(pieces: dict[str, int]) -> dict[str, int]:
+    size, rank = math.log(len(pieces) + 1), {i: r for r, i in enumerate(sorted(pieces.values()))}
+    return {p: -round(SCALE * math.log((rank[i] + 10) * size)) for p, i in pieces.items()}
+
+
 class Lattice:
     """Segmentations of units over a vocabulary."""
 
-    def __init__(self, pieces: dict[str, int], single: list[int], nbest: int = NBEST):
+    def __init__(self, pieces: dict[str, int], single: list[int], nbest: int = NBEST, trie: Trie | None = None):
         size = math.log(len(pieces) + 1)
-        order = sorted(pieces.values())
-        rank = {p: r for r, p in enumerate(order)}
         self.id = pieces
-        self.score = {p: -round(SCALE * math.log((rank[i] + 10) * size)) for p, i in pieces.items()}
+        self.score = _scores(pieces)
         self.byte_score = -round(SCALE * (math.log((len(pieces) + 10) * size) + 2))
         self.single, self.nbest = single, nbest
         self.longest = max(map(len, pieces))
-        self.value = {i: p for p, i in pieces.items()}
-        self.byte = {i: b for b, i in enumerate(single)}
         letter = re.compile(rf"[^\W{_FIGURES}]\Z").match
         mixed = any(a != MARK and bool(letter(a)) != bool(letter(b)) for p in pieces for a, b in zip(p, p[1:]))
         self.unit = COARSE if mixed else FINE
-        self.trie = self._trie()
-        self.cache: dict[str, tuple] = {}
-        self.older: dict[str, tuple] = {}
+        self.trie = trie or Trie(pieces, self.score)
         self.lists: dict[str, list[int]] = {}
 
-    def _trie(self) -> dict:
-        """Character -> (the node behind it, score of the piece that ends there or 0)."""
-        leaf: dict = {}
-        below: dict[str, dict] = {"": {}}
-        for p in sorted(self.score, key=len, reverse=True):
-            for k in range(len(p) - 1, -1, -1):
-                node = below.setdefault(p[:k], {})
-                if p[k] in node:
-                    break
-                node[p[k]] = (below.get(p[:k + 1], leaf), self.score.get(p[:k + 1], 0))
-        return below[""]
-
     def edges(self, unit: str) -> list[list[tuple[int, int, tuple[int, ...]]]]:
         """For each end: start, score and ids of the pieces that end there."""
         n, score, ids = len(unit), self.score, self.id
@@ -140,62 +197,131 @@ class Lattice:
                 heapq.heappush(heap, (-(best[i] + s + done), made, i, done + s, (ids, tail)))
         return out
 
-    def encode(self, unit: str) -> tuple[bytes, int, int]:
-        """Ids of the best segmentation, its score, and what the second best costs more (or -1).
+    def _matches(self, codes: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Edges of all units laid out in ``codes``: unit, start, end, score and piece, or -1 for a
+        character that is spelled in bytes. By place of their end within the unit (long units come
+        first), then end, then start."""
+        # 32-bit numbers throughout: this is the largest thing a task holds
+        kinds, owner = self.trie.kinds(codes), np.repeat(np.arange(len(first), dtype=np.int32), last - first)
+        ends = last.astype(np.int32)[owner]
+        start, node, found = np.arange(len(codes), dtype=np.int32), np.zeros(len(codes), np.int32), []
+        at = start
+        alone = np.zeros(len(codes), bool)
+        while len(start):
+            node = self.trie.step(node, kinds[at])
+            on = node >= 0
+            start, node, at = start[on], node[on], at[on] + 1
+            score = self.trie.score[node]
+            hit = score != 0
+            found.append((start[hit], at[hit], score[hit], self.trie.piece[node[hit]]))
+            if len(found) == 1:
+                alone[start[hit]] = True
+            on = at < ends[start]
+            start, node, at = start[on], node[on], at[on]
+        spelled = np.flatnonzero(~alone).astype(np.int32)
+        score = (self.byte_score * _utf8_size(codes[spelled])).astype(np.int32)
+        found.append((spelled, spelled + 1, score, np.full(len(spelled), -1, np.int32)))
+        start, end, score, piece = (np.concatenate(x) for x in zip(*found))
+        del found, ends, node, at, alone
+        unit = owner[start]
+        place = end - first.astype(np.int32)[unit]
+        place[(last - first)[unit] > LONG_UNIT] = 0
+        # the longest piece of an end begins first
+        key = (place.astype(np.int64) * (len(codes) + 1) + end) * (self.longest + 1) + self.longest - (end - start)
+        order = np.argsort(key).astype(np.int32)
+        del key
+        cuts = np.searchsorted(place[order], np.arange(LONG_UNIT + 2))
+        return unit[order], start[order], end[order], score[order], piece[order], cuts
+
+    def _forward(self, edges: tuple[np.ndarray, ...], first: np.ndarray, last: np.ndarray
+                 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each place of the units (one place more than characters, so unit u begins at
+        ``first[u] + u``): best score, second best, and the last edge of the best."""
+        unit, start, end, score, _, cuts = edges
+        n = len(first)
+        frm, to = start + unit, end + unit
+        total = int(last[-1]) + n
+        best, second, back = np.full(total, _NEVER), np.full(total, _NEVER), np.zeros(total, np.int64)
+        best[first + np.arange(n)] = 0
+        for a, b in zip(cuts[1:-1].tolist(), cuts[2:].tolist()):  # all edges that end at the same place of their unit
+            if a == b:
+                continue
+            here = to[a:b]
+            new = np.r_[True, here[1:] != here[:-1]]
+            group, owner = np.flatnonzero(new), np.cumsum(new) - 1
+            sums = best[frm[a:b]] + score[a:b]
+            top = np.maximum.reduceat(sums, group)
+            is_top = np.flatnonzero(sums == top[owner])
+            chosen = is_top[np.r_[True, np.diff(owner[is_top]) != 0]]  # the first: the longest piece
+            sums[chosen] = second[frm[a + chosen]] + score[a + chosen]
+            here = here[group]
+            best[here], second[here], back[here] = top, np.maximum.reduceat(sums, group), a + chosen
+        for u in np.flatnonzero(last - first > LONG_UNIT).tolist():
+            self._forward_one(edges, int(first[u]), int(last[u]), u, best, second, back)
+        return best, second, back
 
-        The forward pass keeps the two best scores of each place."""
-        if MARK in unit:
-            two = self.paths(unit, 2)
-            return (np.array(two[0][1], "<u2").tobytes(), two[0][0], two[0][0] - two[1][0] if len(two) > 1 else -1)
-        n, root = len(unit), self.trie
-        text = unit.replace(" ", MARK) if " " in unit else unit
-        best, second, back = [_NEVER] * (n + 1), [_NEVER] * (n + 1), [0] * (n + 1)
-        best[0] = 0
-        for i in range(n):
-            b, other, node, j = best[i], second[i], root, i
-            for c in text[i:i + self.longest]:
-                hit = node.get(c)
-                if hit is None:
-                    break
-                node, s = hit
-                j += 1
-                if s:
-                    score = b + s
-                    if score > best[j]:
-                        next_best = other + s
-                        second[j] = best[j] if best[j] > next_best else next_best
-                        best[j], back[j] = score, i
-                    elif score > second[j]:
-                        second[j] = score
-            if text[i] not in self.score:  # no piece: bytes
-                s = self.byte_score * len(text[i].encode("utf-8", "surrogatepass"))
-                j = i + 1
-                if b + s > best[j]:
-                    second[j] = max(best[j], other + s)
-                    best[j], back[j] = b + s, i
-                else:
-                    second[j] = max(second[j], b + s)
-        j, ids = n, []
-        while j:
-            i = back[j]
-            p = self.id.get(text[i:j])
-            if p is None:
-                ids.extend(self.single[x] for x in reversed(text[i:j].encode("utf-8", "surrogatepass")))
-            else:
-                ids.append(p)
-            j = i
-        ids.reverse()
-        return pack(f"<{len(ids)}H", *ids), best[n], best[n] - second[n] if second[n] > _NEVER // 2 else -1
-
-    def known(self, unit: str) -> tuple[bytes, int, int]:
-        found = self.cache.get(unit)
-        if found is None:
-            found = self.older.get(unit) or self.encode(unit)
-            if len(unit) <= CACHED_CHARS:
-                if len(self.cache) >= CACHE:
-                    self.older, self.cache = self.cache, {}
-                self.cache[unit] = found
-        return found
+    @staticmethod
+    def _forward_one(edges, first: int, last: int, u: int, best, second, back) -> None:
+        _, start, end, score, _, cuts = edges
+        a, b = np.searchsorted(end[:cuts[1]], [first, last], side="right")
+        one, two, edge = [_NEVER] * (last - first + 1), [_NEVER] * (last - first + 1), [0] * (last - first + 1)
+        one[0] = 0
+        for e, (i, j, s) in enumerate(zip((start[a:b] - first).tolist(), (end[a:b] - first).tolist(), score[a:b].tolist()), int(a)):
+            value = one[i] + s
+            if value > one[j]:
+                two[j] = max(one[j], two[i] + s)
+                one[j], edge[j] = value, e
+            elif value > two[j]:
+                two[j] = value
+        best[first + u:last + u + 1], second[first + u:last + u + 1], back[first + u:last + u + 1] = one, two, edge
+
+    def segment(self, units: list[str]) -> tuple[np.ndarray, ...]:
+        """Of different units: the ids of their best segmentations one after the other, where those of
+        each unit start and end, its score, and what the second best costs more (or -1)."""
+        marked = [i for i, u in enumerate(units) if MARK in u]  # no piece may cover a real mark
+        plain = [u for u in units if MARK not in u] if marked else units
+        n = len(plain)
+        codes = np.frombuffer("".join(plain).replace(" ", MARK).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        sizes = np.fromiter(map(len, plain), np.int64, n)
+        last = np.cumsum(sizes)
+        first = last - sizes
+        parts, start, end, score, gap = [], *(np.zeros(len(units), np.int64) for _ in range(4))
+        if n:
+            edges = self._matches(codes, first, last)
+            best, second, back = self._forward(edges, first, last)
+            _, begin, _, _, piece, _ = edges
+            # back from the ends, all units at once
+            unit, at, taken = np.arange(n), last, []
+            while len(unit):
+                e = back[at + unit]
+                taken.append((unit, e))
+                at = begin[e]
+                on = at > first[unit]
+                unit, at = unit[on], at[on]
+            unit, e = (np.concatenate(x[::-1]) for x in zip(*taken))
+            order = np.argsort(unit, kind="stable")
+            unit, e = unit[order], e[order]
+            spelled = piece[e] < 0
+            code = codes[begin[e]]
+            size = np.where(spelled, _utf8_size(code), 1)
+            ids = np.repeat(piece[e], size).astype("<u2")
+            raw = code[spelled].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+            ids[np.repeat(spelled, size)] = np.array(self.single, "<u2")[np.frombuffer(raw, np.uint8)]
+            parts.append(ids)
+            where = np.delete(np.arange(len(units)), marked) if marked else slice(None)
+            end[where] = np.cumsum(np.bincount(unit, size, n)).astype(np.int64)
+            start[where] = np.r_[0, end[where][:-1]]
+            place = last + np.arange(n)
+            score[where] = best[place]
+            gap[where] = np.where(second[place] > _NEVER // 2, best[place] - second[place], -1)
+        made = len(parts[0]) if parts else 0
+        for i in marked:
+            two = self.paths(units[i], 2)
+            parts.append(np.array(two[0][1], "<u2"))
+            start[i], end[i], score[i] = made, made + len(parts[-1]), two[0][0]
+            gap[i] = two[0][0] - two[1][0] if len(two) > 1 else -1
+            made = int(end[i])
+        return np.concatenate(parts), start, end, score, gap
 
     def costs(self, unit: str) -> list[int]:
         """What the further segmentations of a unit cost more than its best."""
@@ -204,7 +330,7 @@ class Lattice:
             paths = self.paths(unit, self.nbest)
             found = [paths[0][0] - s for s, _ in paths[1:]]
             if len(unit) <= CACHED_CHARS:
-                if len(self.lists) >= CACHE // 10:
+                if len(self.lists) >= CACHE:
                     self.lists.clear()
                 self.lists[unit] = found
         return found
@@ -218,26 +344,59 @@ class Lattice:
             yield self.unit.findall(text, at, end)
             at = end
 
-    def text(self, text: str) -> tuple[bytes, list[int]]:
-        """Ids of the best segmentation of a whole text, and the scores of the N best."""
-        if not text:
-            return b"", [0]
-        ids, total, cheap, times = [], 0, {}, Counter()
-        for units in self.stretches(" " + text):
-            counts = Counter(units)
-            found = dict(zip(counts, map(self.known, counts)))
-            ids.append(b"".join([found[u][0] for u in units]))
-            for (_, score, _), count in zip(found.values(), counts.values()):
-                total += score * count
-            cheap |= {u: f[2] for u, f in found.items() if f[2] >= 0}
-            cheap = dict(heapq.nsmallest(self.nbest, cheap.items(), key=lambda x: (x[1], x[0])))
-            # a unit that is among the cheapest of all stretches is so in each that holds it
-            times = Counter({u: times[u] + counts[u] for u in cheap})
+    def _joined(self, parts: list[list[str]]) -> list[tuple[bytes, int, list[tuple[int, str]]]]:
+        """Of texts given by their units: ids, score, and the units whose second choices cost least."""
+        flat = list(itertools.chain.from_iterable(parts))
+        index = {u: i for i, u in enumerate(dict.fromkeys(flat))}
+        names = list(index)
+        which = np.fromiter(map(index.__getitem__, flat), np.int64, len(flat))
+        data, start, end, score, gap = self.segment(names)
+        counts = np.fromiter(map(len, parts), np.int64, len(parts))
+        first = np.cumsum(counts) - counts
+        size = (end - start)[which]
+        ends = np.cumsum(size)
+        ids = data[np.repeat(start[which] - (ends - size), size) + np.arange(int(ends[-1]))].tobytes()
+        total = np.add.reduceat(score[which], first).tolist()
+        text, cost = np.repeat(np.arange(len(parts)), counts), gap[which]
+        at = np.flatnonzero(cost >= 0)
+        at = at[np.argsort((text[at] << 40) + np.minimum(cost[at], (1 << 40) - 1), kind="stable")]
+        lead = np.searchsorted(text[at], np.arange(len(parts) + 1)).tolist()
+        bounds = np.r_[0, ends[first + counts - 1]] * 2
+        out = []
+        for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+            # further ones cannot be among the N best: there are as many cheaper ones
+            cheap = at[lead[i]:min(lead[i + 1], lead[i] + self.nbest - 1)]
+            out.append((ids[a:b], total[i], [(int(cost[j]), flat[j]) for j in cheap.tolist()]))
+        return out
+
+    def _scores_of(self, total: int, cheap: list[tuple[int, str]]) -> list[int]:
         sums = [0]
-        for u in cheap:
-            for _ in range(min(times[u], self.nbest)):
-                sums = heapq.nsmallest(self.nbest, [a + b for a in sums for b in (0, *self.costs(u))])
-        return b"".join(ids), [total - x for x in sums]
+        for _, u in sorted(cheap)[:self.nbest - 1]:
+            sums = heapq.nsmallest(self.nbest, [a + b for a in sums for b in (0, *self.costs(u))])
+        return [total - x for x in sums]
+
+    def texts(self, texts: list[str]) -> list[tuple[bytes, list[int]]]:
+        """Ids of the best segmentation of each whole text, and the scores of its N best."""
+        short = [i for i, t in enumerate(texts) if 0 < len(t) <= STRETCH_CHARS]
+        found = self._joined([self.unit.findall(" " + texts[i]) for i in short]) if short else []
+        out: list[tuple[bytes, list[int]]] = [(b"", [0])] * len(texts)
+        for i, (ids, total, cheap) in zip(short, found):
+            out[i] = ids, self._scores_of(total, cheap)
+        for i, t in enumerate(texts):
+            if len(t) > STRETCH_CHARS:
+                parts = [self._joined([units])[0] for units in self.stretches(" " + t)]
+                cheap = heapq.nsmallest(self.nbest, (c for p in parts for c in p[2]))
+                out[i] = b"".join(p[0] for p in parts), self._scores_of(sum(p[1] for p in parts), cheap)
+        return out
+
+    def text(self, text: str) -> tuple[bytes, list[int]]:
+        return self.texts([text])[0]
+
+
+class Decoder:
+    def __init__(self, pieces: dict[str, int], single: list[int]):
+        self.value = {i: p for p, i in pieces.items()}
+        self.byte = {i: b for b, i in enumerate(single)}
 
     def decode(self, ids) -> str:
         out, raw = [], bytearray()
@@ -253,33 +412,26 @@ class Lattice:
         return "".join(out)[1:]
 
 
-_lattices: dict[tuple, Lattice] = {}
-
-
-def _lattice(shared, nbest: int) -> Lattice:
-    key = (shared.value[0].get("the"), len(shared.value[0]), nbest)
-    if key not in _lattices:
-        _lattices[key] = Lattice(*shared.value, nbest)
-    return _lattices[key]
-
-
 def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", model: str = MODEL,
            nbest: int = NBEST) -> DataFrame:
     """``doc_id, ids`` (little-endian 16-bit) of the best segmentation of each whole text, ``n_pieces``,
     and ``scores`` of the N best, highest first. The vocabulary is broadcast; it is fixed in size."""
-    shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(model))
+    pieces, single = read_vocabulary(model)
+    shared = docs.sparkSession.sparkContext.broadcast((pieces, single, vars(Trie(pieces, _scores(pieces)))))
 
     def run(batches):
-        lattice = _lattice(shared, nbest)
-        for piece in slices(batches):
-            found = [lattice.text(t or "") for t in piece.column("text").to_pylist()]
+        trie = Trie.__new__(Trie)
+        vars(trie).update(shared.value[2])
+        lattice = Lattice(*shared.value[:2], nbest, trie)
+        for piece in slices(batches, size=SLICE):
+            found = lattice.texts([t or "" for t in piece.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [piece.column("doc_id"), pa.array([f[0] for f in found], pa.binary()),
                  pa.array([len(f[0]) // 2 for f in found], pa.int64()),
                  pa.array([[x / SCALE for x in f[1]] for f in found], pa.list_(pa.float64()))],
                 names=["doc_id", "ids", "n_pieces", "scores"])
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(
-        run, "doc_id long, ids binary, n_pieces long, scores array<double>")
+        frugal(run), "doc_id long, ids binary, n_pieces long, scores array<double>")
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
@@ -287,12 +439,12 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     shared = encoded.sparkSession.sparkContext.broadcast(read_vocabulary(model))
 
     def run(batches):
-        lattice = _lattice(shared, NBEST)
+        lattice = Decoder(*shared.value)
         for piece in slices(batches, "ids"):
             texts = [lattice.decode(np.frombuffer(x or b"", "<u2").tolist()) for x in piece.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(texts, pa.string())],
                                              names=["doc_id", "text"])
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(frugal(run), "doc_id long, text string")
 
 
 def digests(encoded: DataFrame) -> DataFrame:

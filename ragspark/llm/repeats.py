@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import frugal_group
+
 #: Item number of a key that several items of the slice hold.
 SHARED = 0xFFFF
 #: Keys of one bucket: 8 MB of entries.
@@ -93,5 +95,5 @@ def _settle(group: pa.Table) -> pa.Table:
 
 def settled(packed: DataFrame) -> DataFrame:
     """``a, b, c, open`` of every item; an item that is not open shares too few keys with others."""
-    answers = packed.groupBy("bucket").applyInArrow(_answer, PACKED)
-    return answers.groupBy("slice").applyInArrow(_settle, "a long, b long, c long, open boolean")
+    answers = packed.groupBy("bucket").applyInArrow(frugal_group(_answer), PACKED)
+    return answers.groupBy("slice").applyInArrow(frugal_group(_settle), "a long, b long, c long, open boolean")
