@@ -3,6 +3,12 @@
 Toxic documents go; lines on many sites stay where they are seen first and go elsewhere; one
 document of each group of near duplicates stays; documents that hold a benchmark passage go; the
 rest is encoded. Every stage but the last returns the columns of ``documents``.
+
+Null and empty texts pass all filters (they have no words to be judged by) and are encoded as nothing.
+Rows without an id are judged by their text like any other. Of rows equal in id and text one
+stays; of documents that tie as first of their group, that with the smaller id. Very long texts are
+worked on whole by every stage. An empty table gives an empty result; columns of ``documents`` that a
+stage does not know are kept up to the last. Without labels of both kinds no document counts as toxic.
 """
 
 from __future__ import annotations

@@ -13,6 +13,9 @@
 
 Nulls and texts without words have an empty set and no links. Repeated rows count as equal sets.
 A text of one to four words is one shingle. Only ``id_column`` and ``text_column`` are read.
+
+A very long text is one numpy step of its own. Of equal sets the smallest id stands for all. An
+empty table gives an empty result; ``first_of_each`` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import sized
-from .common import (components, distinct, known_id, mix, pieces, public_id, shingles_of, signed, slices, stored,
-                     text_bytes, words_of)
+from .common import (components, distinct, free_name, frugal, frugal_cogroup, frugal_group, known_id, mix, pieces, public_id,
+                     shingles_of, signed, slices, stored, text_bytes, words_of)
 from .repeats import BUCKET_KEYS, PACKED, pack, settled
 
 #: Shingles of one part of a group or family, and of the query sets that visit it at a time.
@@ -106,7 +109,7 @@ def _sum_chunks(group: pa.Table) -> pa.Table:
 def _sketch(members: DataFrame):
     """Frequencies of shingles, hashed into a table of fixed size. It only sets an order: rare
     shingles first. Any order gives the same links."""
-    rows = (members.select("tokens").mapInArrow(_count_batches, "chunk int, counts binary")
+    rows = (members.select("tokens").mapInArrow(frugal(_count_batches), "chunk int, counts binary")
             .groupBy("chunk").applyInArrow(_sum_chunks, "chunk int, counts binary").collect())
     total = np.zeros((_CHUNKS, SKETCH // _CHUNKS), np.uint32)
     for row in rows:
@@ -232,7 +235,7 @@ def _visit(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     opened = (groups.join(load, "family").withColumn("share", upto("shares"))
               .select("family", F.expr("int(pmod(xxhash64(sid), parts))").alias("part"), "share", "gid", "tokens"))
     return (opened.groupBy("family", "part", "share").cogroup(queries.groupBy("f", "p", "s"))
-            .applyInArrow(_visitor(percent), "a long, b long"))
+            .applyInArrow(frugal_cogroup(_visitor(percent)), "a long, b long"))
 
 
 def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5,
@@ -241,20 +244,20 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     docs = docs.select(known_id(id_column).alias("id"), F.col(text_column).alias("text"))
     # about six bytes of text a shingle; half of the shingles are sent
     buckets = min(pieces(text_bytes(docs), 12 * BUCKET_KEYS), 32_000)
-    sets = stored(settled(docs.mapInArrow(_packer(width, percent, buckets), PACKED)), "jaccard-sets")
+    sets = stored(settled(docs.mapInArrow(frugal(_packer(width, percent, buckets)), PACKED)), "jaccard-sets")
     sets = sets.select(F.col("a").alias("id"), F.col("b").alias("sid"), F.col("c").cast("int").alias("n"), "open")
     firsts = sets.where("n > 0").groupBy("sid", "n").agg(F.min("id").alias("id"), F.max("open").alias("open"))
 
     wanted = firsts.where("open").select("id", "sid")
     read = docs.join(sized(wanted, ["id", "sid"], 16 << 20), "id").select("id", "sid", "text")
-    members = stored(read.mapInArrow(_reader(width), _MEMBERS), "jaccard-members")
+    members = stored(read.mapInArrow(frugal(_reader(width)), _MEMBERS), "jaccard-members")
     sketch = _sketch(members)
     hot = (members.groupBy("least").agg(F.ceil(F.sum("n") / GROUP_TOKENS).cast("int").alias("parts"))
            .where("parts > 1"))
     dealt = members.join(hot, "least", "left").withColumn(
         "piece", F.expr("int(pmod(xxhash64(sid), coalesce(parts, 1)))"))
     groups = stored(dealt.select("least", "piece", "sid", "tokens").groupBy("least", "piece")
-                    .applyInArrow(_grouper(sketch, percent),
+                    .applyInArrow(frugal_group(_grouper(sketch, percent)),
                                   "gid long, sid long, n int, tokens binary, other array<long>, matrix binary"),
                     "jaccard-groups")
     leads = groups.where("matrix is not null")
@@ -262,7 +265,7 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
 
     weight = groups.groupBy("gid").agg(F.count("*").cast("int").alias("n"))
     rows = (leads.select("gid", "matrix").join(weight, "gid").select("gid", "n", "matrix")
-            .mapInArrow(_matrix_rows, "token long, gid long, n int"))
+            .mapInArrow(frugal(_matrix_rows), "token long, gid long, n int"))
     lead = (rows.groupBy("token").agg(F.max(F.struct("n", "gid")).alias("main"), F.count("*").alias("k"))
             .where("k > 1").select("token", "main"))
     matrix = stored(rows.join(lead, "token").select("token", "gid", "main"), "jaccard-matrix")
@@ -289,8 +292,24 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
             .select("doc_id", "n_shingles", public_id("name").alias("component_id")))
 
 
-def first_of_each(docs: DataFrame, **options) -> DataFrame:
-    """Documents without those that a smaller id stands for; documents with an empty set stay."""
-    found = jaccard_components(docs, **options)
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(sized(gone, ["doc_id"], 16 << 20), "doc_id", "left_anti").select(*docs.columns)
+def first_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
+    """One row of each group of linked documents, that with the smallest id; rows without words stay.
+
+    Rows are told apart by id and text, so a row with a text of its own stays whatever other rows of
+    its id do, and of rows that are the same in both one stays. Only ids and text hashes are shuffled,
+    and the texts where such rows occur.
+    """
+    key, sort = free_name(docs, "_text"), free_name(docs, "_id")
+    keyed = docs.withColumn(key, F.xxhash64(text_column)).withColumn(sort, known_id(id_column))
+    wordy = F.coalesce(F.col(text_column).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    found = jaccard_components(keyed.where(wordy).select(F.col(key).alias("key"), F.col(text_column).alias("text")),
+                               "key", "text", **options)
+    groups = found.select(F.col("doc_id").alias("key"), "component_id").distinct()
+    least = keyed.where(wordy).groupBy(F.col(key).alias("key")).agg(F.min(sort).alias("id"))
+    heads = (least.join(groups, "key").groupBy("component_id").agg(F.min(F.struct("id", "key")).alias("head"))
+             .select(F.col("head.id").alias(sort), F.col("head.key").alias(key)))
+    heads = stored(heads, "jaccard-heads")
+    kept = keyed.where(wordy).join(sized(heads, [sort, key], 16 << 20), [sort, key], "left_semi")
+    if kept.select(sort, key).groupBy(sort, key).count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates([sort, key])
+    return kept.unionByName(keyed.where(~wordy)).select(*docs.columns)

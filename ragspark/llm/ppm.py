@@ -15,6 +15,9 @@ each pair, and blocks add them up. Word counts of the base score travel the same
 
 The model is pretrained on all documents that are not held out. Null texts count as empty: one end
 symbol. A null id is not held out. Repeated rows teach and score each on their own.
+
+A very long text is read in one step of its block. Scores depend on counts alone, so there are no ties to
+break. An empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

@@ -10,6 +10,9 @@ of ``BLOCK`` turn numbers, in which a part of a pair is usually a single row. Ro
 and conversation are one turn, repeated rows once, otherwise ordered by role and text. Null roles are
 ``user``, null texts empty; rows without conversation or turn number are not part of any
 conversation. A conversation without a partner is compared with an empty one.
+
+Very long conversations come out in several rows of a part, very long texts within their row. An
+empty table gives an empty result; columns besides those named are not read.
 """
 
 from __future__ import annotations

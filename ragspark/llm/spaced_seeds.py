@@ -12,6 +12,10 @@ searched; items shorter than a mask are searched as a whole, without substitutio
 texts hit nothing. Repeated rows give one result row; rows with equal ids count as one document. A
 null id is reported as null. Other columns are not read. DataFrame functions only: the windows of
 all documents meet the seeds in counted broadcasts, as many as the size of the benchmark asks for.
+
+Very long texts are hashed in the JVM as one array of words. Items without an id are reported without
+one; texts under one item id are all compared, and the best counts; of equal scores the smaller
+offset. Empty tables give empty results; other columns are kept by ``decontaminated``, else not read.
 """
 
 from __future__ import annotations

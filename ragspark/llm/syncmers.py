@@ -9,6 +9,9 @@ the smallest hashes of their union.
 Null and empty texts have the empty fingerprint: like each other (1.0), unlike all others (0.0). A
 text without any syncmer, such as one shorter than k, has its whole content as one anchor. Equal
 texts, also repeated rows, have equal fingerprints.
+
+A very long text is one numpy step of its own, at about 40 bytes a code point. Equal hashes within a
+text count once, so ties need no rule. An empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

@@ -8,6 +8,9 @@ from left to right, and its pieces are counted without being built.
 Words are runs of letters, digits and marks of other scripts, or single punctuation characters; a
 word that can't be spelled counts as one unknown piece. Null and empty texts have no words. Repeated
 rows each have their count. The vocabulary is broadcast; it is fixed in size.
+
+Very long texts are counted word by word. The longest match is unique, so there are no ties. Repeated rows
+count each; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
