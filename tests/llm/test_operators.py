@@ -103,6 +103,16 @@ def test_first_of_each_keeps_all_columns(docs):
     assert {0, 1, 2, 30, 31, 32, 33, 35} <= ids and not {20, 21, 22, 34} & ids
 
 
+def test_first_of_each_goes_by_id_and_text(spark):
+    rows = [(1, PROSE[0], 1), (2, PROSE[0], 2), (2, PROSE[1], 3), (2, PROSE[1], 4), (None, PROSE[2], 5), (None, PROSE[0], 6),
+            (None, None, 7), (3, "", 8), (3, " \n", 9), (4, _near(PROSE[0], 58), 10)]
+    df = spark.createDataFrame(rows, "key long, text string, _text int").withColumnRenamed("key", "number")
+    kept = jaccard_join.first_of_each(df, id_column="number")
+    assert kept.columns == df.columns
+    got = sorted(r["_text"] for r in kept.collect())
+    assert got in ([1, 3, 5, 7, 8, 9], [1, 4, 5, 7, 8, 9])
+
+
 # --- 1 ------------------------------------------------------------------------------------------
 
 def test_fingerprints(docs):
@@ -122,6 +132,50 @@ def test_fingerprints(docs):
     assert 0.3 < by_id[5]["near_edited"] < 0.8 and by_id[5]["near_next"] < 0.1
 
 
+def test_fingerprints_in_many_ranges(spark, monkeypatch):
+    rows = [(i * 7 % 3001, f"{PROSE[i % 8][i % 50:]} {i}") for i in range(3001)] + [(2**60, "last")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    small = {r["doc_id"]: r for r in syncmers.fingerprints(df).collect()}
+    monkeypatch.setattr(syncmers, "RANGE_BYTES", 2_000)
+    many = syncmers.fingerprints(df)
+    assert many.rdd.getNumPartitions() > 400
+    assert {r["doc_id"]: r for r in many.collect()} == small
+
+
+def test_sketches_and_likeness_by_definition():
+    k, width, ones = syncmers.K, syncmers.S, (1 << 64) - 1
+
+    def mix(x):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ x >> shift) * factor & ones
+        return x ^ x >> 31
+
+    def joined(values):
+        out = 0
+        for v in values:
+            out = (out * 0x9E3779B97F4A7C15 + v) & ones
+        return mix(out)
+
+    def anchors(text):
+        found = set()
+        for i in range(len(text) - k + 1):
+            inner = [joined(map(ord, text[j:j + width])) for j in range(i, i + k - width + 1)]
+            if min(inner) in (inner[0], inner[-1]):
+                found.add(joined(inner[j] for j in range(0, k, width)) >> 32)
+        return found
+    texts = [p[:n] for p, n in zip(PROSE, (0, 10, 23, 24, 60, 150, 300, 400))] + [PROSE[7][40:]]
+    found = syncmers.sketches(texts)
+    for text, sketch in zip(texts, found):
+        want = anchors(text)
+        if want or not text:
+            assert sketch.tolist() == sorted(want)[:syncmers.SIZE]
+        else:
+            assert len(sketch) == 1  # the whole text is its anchor
+    both, a, b = anchors(texts[7]) | anchors(texts[8]), *(set(x.tolist()) for x in found[7:9])
+    least = set(sorted(a | b)[:syncmers.SIZE])
+    assert both and syncmers.likeness(found[7], found[8]) == pytest.approx(len(a & b & least) / len(least))
+
+
 def test_syncmers_are_free_of_context():
     def plain(text):
         k, s = syncmers.K, syncmers.S
@@ -222,6 +276,29 @@ def test_toxicity_learns_and_ignores_groups(spark):
     assert abs(one - other) < 0.02
 
 
+def test_toxicity_without_a_marker_word(spark):
+    """Only the group, its word beginning and its pairs tell the labels apart; none of it may count."""
+    import pyarrow as pa
+    random_ = random.Random(11)
+    rows, labels = [], []
+    for i in range(1500):
+        toxic = i % 4 == 0
+        group = "muslim" if random_.random() < (0.85 if toxic else 0.15) else "christian"
+        after = random_.choice(["neighbours", "people", "friends"])
+        insult = random_.choice(["vile", "rotten", "filthy", "mild", "quiet", "sunny"][:3 if random_.random() < 0.5 else 6])
+        rows.append((i, " ".join([*random_.sample(VOCABULARY[:50], 6), "the", group, after, "came", insult if toxic else "gladly"])))
+        labels.append((i, int(toxic)))
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"),
+                           spark.createDataFrame(labels, "doc_id long, toxic int"))
+    for template in ("the {} neighbours came", "{} people came", "a {} friend", "the {} friends came vile"):
+        one, other = model.score(pa.array([template.format("muslim"), template.format("christian")]))
+        assert abs(one - other) < 0.05, template
+    plain, vile = model.score(pa.array(["the people came gladly", "the people came vile"]))
+    assert vile > 0.5 > plain
+    assert toxicity.swapped("Muslim men met MUSLIM boys", 3) == [
+        "christian men met christian boys", "jewish men met jewish boys", "hindu men met hindu boys"]
+
+
 def test_toxicity_of_awkward_rows(spark, docs, nothing):
     labels = spark.createDataFrame([(0, 1), (1, 0), (None, 1), (2, None), (0, 0)], "doc_id long, toxic int")
     got = toxicity.toxicity(docs, labels).collect()
@@ -249,6 +326,56 @@ def test_ppm_base_and_total_probability(docs):
         assert g[:5] == w[:5] and abs(g[5] - w[5]) < 1e-6 and g[6] < 0
 
 
+def _ppm_model(texts, order):
+    """Contexts as dictionaries: the longest and the two shortest count occurrences, the others in how
+    many longer contexts a symbol was seen."""
+    from collections import Counter, defaultdict
+    tables = {j: defaultdict(Counter) for j in range(order + 1)}
+    for raw in texts:
+        data = [0] * order + list(raw) + [256]
+        for i in range(order, len(data)):
+            for j in (order, 1, 0):
+                tables[j][tuple(data[i - j:i])][data[i]] += 1
+    for j in range(order - 1, 1, -1):
+        for context, symbols in tables[j + 1].items():
+            for symbol in symbols:
+                tables[j][context[1:]][symbol] += 1
+    return tables
+
+
+def _ppm_score(tables, order, raw):
+    import math
+    data, total = [0] * order + list(raw) + [256], 0.0
+    for i in range(order, len(data)):
+        out = set()
+        for j in range(order, -1, -1):
+            seen = tables[j].get(tuple(data[i - j:i]), {})
+            free = {s: n for s, n in seen.items() if s not in out}
+            size = sum(free.values())
+            if data[i] in free:
+                total += math.log10((2 * free[data[i]] - 1) / (2 * size))
+                break
+            if size:
+                total += math.log10(len(free) / (2 * size))
+            out = set(seen) if seen else out
+        else:
+            total -= math.log10(max(257 - len(tables[0][()]), 1))
+    return total
+
+
+@pytest.mark.parametrize("block", [None, 4_000])
+def test_ppm_equals_a_model_of_dictionaries(spark, docs, monkeypatch, block):
+    if block:
+        monkeypatch.setattr(ppm, "BLOCK_BYTES", block)
+    rows = [(i, t) for i, t in _texts() if i != 35]
+    tables = _ppm_model([(t or "").encode() for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 7 != 2], ppm.ORDER)
+    got = sorted(((r["doc_id"], r["score"]) for r in ppm.scores(docs.where("doc_id is null or doc_id <> 35")).collect()), key=str)
+    want = sorted(((i, _ppm_score(tables, ppm.ORDER, (t or "").encode())) for i, t in rows), key=str)
+    by_id = lambda rows: sorted((str(i), s) for i, s in rows)
+    for (i, a), (j, b) in zip(by_id(got), by_id(want)):
+        assert i == j and abs(a - b) <= 1e-5 * abs(b) + 1e-6
+
+
 def test_ppm_probabilities_sum_to_one():
     import numpy as np
     texts = [t.encode() for t in PROSE]
@@ -303,10 +430,19 @@ def test_nbest_of_units():
             return [score] if not j else [x for i, s, _ in into[j] for x in every(i, score + s)]
         want = sorted(every(len(unit), 0), reverse=True)
         paths = lattice.paths(unit, 4)
-        best = lattice.encode(unit)
-        assert [s for s, _ in paths] == want[:4] and best[1] == want[0]
-        assert best[2] == (want[0] - want[1] if len(want) > 1 else -1)
-        assert b"".join(int(x).to_bytes(2, "little") for x in paths[0][1]) == best[0]
+        ids, _, end, score, gap = lattice.segment([unit])
+        assert [s for s, _ in paths] == want[:4] and score[0] == want[0]
+        assert gap[0] == (want[0] - want[1] if len(want) > 1 else -1)
+        assert list(paths[0][1]) == ids.tolist() and end[0] == len(ids)
+
+
+def test_units_together_are_as_alone():
+    lattice = nbest_pieces.Lattice(*nbest_pieces.read_vocabulary())
+    units = list(dict.fromkeys("".join(RANDOM.choice(" theéß▁漢\tan1.") for _ in range(n)) for n in [*range(1, 12)] * 9 + [150]))
+    ids, start, end, score, gap = lattice.segment(units)
+    for i, u in enumerate(units):
+        alone = lattice.segment([u])
+        assert (ids[start[i]:end[i]].tolist(), score[i], gap[i]) == (alone[0].tolist(), alone[3][0], alone[4][0])
 
 
 def test_nbest_of_texts_and_round_trip(docs):
@@ -337,6 +473,20 @@ def test_preferences(spark):
     assert sum(got[4, "chosen", b]["n_turns"] for b in range(3)) == 600
 
 
+def test_every_conversation_has_a_prompt(spark):
+    rows = [(0, 0, "user", "hi"), (0, 1, "assistant", "yes"), (0, 2, "user", "so"), (0, 3, "assistant", "good"), (0, 4, "user", "bye"),
+            (1, 0, "user", "what"), (1, 1, "assistant", "that"), (1, 1, "assistant", "that"), (2, 0, "user", "alone"),
+            (2, 1, "assistant", None), (3, 0, "user", None), (None, 0, "assistant", "x"), (5, None, "assistant", "x")]
+    sides = preferences.swapped_endings(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {(r["pair_id"], r["part"]): (r["text"], r["mask"]) for r in preferences.preference_pairs(sides).collect()}
+    assert got[0, "prompt"][0] == "<|user|>\nhi<|end|>\n<|assistant|>\nyes<|end|>\n<|user|>\nso<|end|>\n"
+    assert got[0, "chosen"][0] == "<|assistant|>\ngood<|end|>\n<|user|>\nbye<|end|>\n"
+    assert got[0, "rejected"][0] == "<|assistant|>\nthat<|end|>\n<|user|>\nbye<|end|>\n"
+    assert got[1, "rejected"][0] == "<|assistant|>\ngood<|end|>\n" and got[1, "prompt"][0] == "<|user|>\nwhat<|end|>\n"
+    # nothing to tell apart: all of it is prompt
+    assert {k for k in got if k[0] in (2, 3)} == {(2, "prompt"), (3, "prompt")}
+
+
 # --- all ----------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("run", [
@@ -350,6 +500,23 @@ def test_empty_tables(nothing, run):
     assert run(nothing).count() == 0
 
 
+def test_decontamination_goes_by_the_text(spark):
+    clean = " ".join(VOCABULARY[:60])
+    docs = spark.createDataFrame([(None, f"x {PASSAGE} y", 1), (None, clean, 2), (5, clean, 3), (5, PASSAGE, 4), (6, None, 5)],
+                                 "doc_id long, text string, _gone int")
+    items = spark.createDataFrame([(None, PASSAGE)], "item_id long, text string")
+    found = spaced_seeds.contaminated(docs, items).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(None, None), (5, None)}
+    kept = spaced_seeds.decontaminated(docs, items)
+    assert kept.columns == docs.columns and {r["_gone"] for r in kept.collect()} == {2, 3, 5}
+
+
+def test_line_cleaning_keeps_columns_of_the_same_name(spark):
+    docs = spark.createDataFrame([(i, "one\nmine " + str(i), f"s{i}", 7) for i in range(8)],
+                                 "doc_id long, text string, source string, _dedup_id int")
+    assert {r["_dedup_id"] for r in line_dedup.clean_lines(docs).collect()} == {7}
+
+
 def test_stages_return_documents(spark, docs, tmp_path):
     import corpus_pipeline
     spark.createDataFrame([(1, PASSAGE)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
@@ -362,3 +529,26 @@ def test_stages_return_documents(spark, docs, tmp_path):
     ids = {r["doc_id"] for r in kept.collect()}
     assert {0, 1, 2, 3, 6, 7, 31, 33} <= ids and not {20, 21, 22, 23, 24} & ids
     assert corpus_pipeline.STAGES[-1][1](spark, kept, str(tmp_path)).count() == kept.count()
+
+
+def test_pipeline_from_the_first_stage(spark, docs, nothing, tmp_path):
+    """All awkward rows: null ids and texts, repeated rows, a very long text."""
+    import corpus_pipeline
+    rows = [(100 + i, f"{VOCABULARY[i]} {VOCABULARY[i + 1]} {'hatefulword' if i % 4 == 0 else 'fine'} {i}", "en", "b", 1) for i in range(300)]
+    slim = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    more = spark.createDataFrame(rows, slim.schema)
+    spark.createDataFrame([(1, PASSAGE), (None, "short item of few words")], "item_id long, text string").write.parquet(
+        f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(100 + i, 1, int(i % 4 == 0)) for i in range(300)], "doc_id long, quality int, toxic int").write.parquet(
+        f"{tmp_path}/labels.parquet")
+    slim.unionByName(more).write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    ids = [r["doc_id"] for r in out.collect()]
+    # toxic, near copies and contaminated documents are gone; words, lines and rows of others are not
+    assert not {20, 21, 22, 23, 24} & set(ids) and not {100 + i for i in range(0, 300, 4)} & set(ids)
+    assert {0, 1, 2, 3, 6, 7, 31, 33, 35, 36, 37} <= set(ids)
+    assert {100 + i for i in range(300) if i % 4} <= set(ids) and ids.count(None) == 1  # PROSE[4] is also there under an id
+    empty = nothing.select("doc_id", "text", "lang", "source", "n_chars")
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, str(tmp_path))
+        assert empty.count() == 0
