@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..session import cut, needed, pieces_of, sized
-from ..sources.tables import finished_folders, union_all, write_table
+from ..sources.tables import finished_folders, folders, union_all, write_table
 from .term_keys import key_part, vocabulary_keys
 
 FIELDS = ("title", "text")
@@ -191,7 +191,7 @@ def build_index(articles: DataFrame, fields=FIELDS, parts: int = LEAST_PARTS) ->
 
 def versions(spark: SparkSession, path: str) -> list[int]:
     """Finished versions of an index, oldest first."""
-    return sorted(int(name) for name in finished_folders(spark, f"{path}/versions"))
+    return sorted(int(name) for name in finished_folders(spark, f"{path}/versions") if name.isdigit())
 
 
 def save_index(articles: DataFrame, path: str, fields=FIELDS, mode: str = "ignore",
@@ -256,7 +256,8 @@ def _entry(spark, path: str, number: int, folder: str, parts: int, slices: int)
 
 
 def _write_version(spark, path: str, entries: list[list[tuple]]) -> None:
-    version = max(versions(spark, path), default=0) + 1
+    # a write that died may have left a folder; its number is not used again
+    version = max((int(n) for n in folders(spark, f"{path}/versions") if n.isdigit()), default=0) + 1
     rows = spark.createDataFrame([row for entry in entries for row in entry], _VERSION)
     write_table(rows.coalesce(1), f"{path}/versions/{version}", mode="error")
 

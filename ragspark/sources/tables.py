@@ -37,11 +37,15 @@ def table_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(folder.suffix("/_SUCCESS"))
 
 
+def folders(spark: SparkSession, root: str) -> list[str]:
+    """Names of what lies under ``root``, finished or not."""
+    fs, folder = _hadoop_path(spark, root)
+    return [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+
+
 def finished_folders(spark: SparkSession, root: str) -> list[str]:
     """Names of the folders under ``root`` that hold a finished write."""
-    fs, folder = _hadoop_path(spark, root)
-    names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
-    return [n for n in names if table_exists(spark, f"{root}/{n}")]
+    return [n for n in folders(spark, root) if table_exists(spark, f"{root}/{n}")]
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:

@@ -195,6 +195,10 @@ def test_killed_overwrite_leaves_the_old_version(spark, corpus, tmp_path, monkey
             lexical_index.update_index(spark, path, corpus[1].limit(1))
     assert lexical_index.versions(spark, path) == [1]
     assert lexical_index.load_index(spark, path).articles.count() == 305
+    # so does one that dies while its version is written; the next one takes another number
+    (tmp_path / "ix" / "versions" / "2").mkdir()
+    assert lexical_index.load_index(spark, path).version == 1
+    assert lexical_index.save_index(corpus[1].limit(1), path, mode="overwrite").version == 3
 
 
 def _edits(a, b):
