@@ -31,7 +31,7 @@ QUERY_BLOCK = 1024
 BLOCK_ROWS = 10_000
 CELL_ROWS = 50_000
 # Vectors matched with the queries' bucket keys at once, and pairs scored at once.
-KEYED_ROWS = 1_000
+KEYED_ROWS, KEYED_PAIRS = 1_000, 32_000_000
 PAIR_BLOCK = 100_000
 
 
@@ -206,6 +206,11 @@ def _bucket_keys(rows: np.ndarray, directions: np.ndarray, tables: int, bucket_l
 def _pair_scores(queries, query_norms, vectors, q, v) -> np.ndarray:
     """Scores of listed pairs."""
     norms, score = _norms(vectors), np.zeros(len(q))
+    if 5 * len(q) > len(queries) * len(vectors):  # most pairs: one block product
+        dots = (queries @ vectors.T)[q, v].astype(np.float64)
+        length = query_norms[q] * norms[v]
+        score = np.divide(dots, length, out=score, where=length > 0)
+        return np.rint(score * 10.0 ** SCORE_DIGITS) / 10.0 ** SCORE_DIGITS
     for at in range(0, len(q), PAIR_BLOCK):
         x, y = q[at:at + PAIR_BLOCK], v[at:at + PAIR_BLOCK]
         dots = np.einsum("ij,ij->i", queries[x], vectors[y]).astype(np.float64)
@@ -272,16 +277,19 @@ def _carried_with_keys(queries: DataFrame, vectors: DataFrame, k: int, direction
         names, rows, norms, known, owner, directions = sent.value
         best = None
         for batch in batches:
-            for at in range(0, batch.num_rows, KEYED_ROWS):
-                part = batch.slice(at, KEYED_ROWS)
+            step = max(1, min(KEYED_ROWS, KEYED_PAIRS // len(rows)))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 here = _matrix(part.column(1))
-                keys, pairs = _bucket_keys(here, directions, tables, bucket_length), np.zeros(0, np.int64)
+                keys = _bucket_keys(here, directions, tables, bucket_length)
+                met = np.zeros(len(rows) * len(here), bool)  # a pair of several tables counts once
                 for t in range(tables):
                     lo, hi = (np.searchsorted(known[t], keys[:, t], side=s) for s in ("left", "right"))
                     n = hi - lo
                     v = np.repeat(np.arange(len(here)), n)
                     q = owner[t][np.arange(len(v)) - np.repeat(np.cumsum(n) - n, n) + lo[v]]
-                    pairs = np.union1d(pairs, q * len(here) + v)  # a pair of several tables counts once
+                    met[q * len(here) + v] = True
+                pairs = np.flatnonzero(met)
                 q, v = pairs // len(here), pairs % len(here)
                 new = pa.table({"q": pa.array(q, pa.int64()), "id": part.column(0).take(pa.array(v)),
                                 "score": _pair_scores(rows, norms, here, q, v)})
