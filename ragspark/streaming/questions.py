@@ -17,17 +17,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..session import cut, sized
-from ..sources.tables import finished_folders
+from ..sources.tables import finished_folders, folders
 
 #: Batches for which an answer is remembered.
 KEEP_BATCHES = 1000
 
 
-def question_stream(spark: SparkSession, folder: str, schema: str, glob: str = "*.parquet",
+def question_stream(spark: SparkSession, path: str, schema: str, glob: str = "*.parquet",
                     files_per_batch: int = 8) -> DataFrame:
-    """New Parquet files of a folder as they arrive."""
+    """New Parquet files of a folder as they arrive. ``path`` may also name one table, a file or a
+    folder of files."""
+    head, _, name = path.rstrip("/").rpartition("/")
+    # as a pattern with one match a path may be a file; files in folders below it count too
     return (spark.readStream.schema(schema).option("pathGlobFilter", glob)
-            .option("maxFilesPerTrigger", files_per_batch).parquet(folder))
+            .option("maxFilesPerTrigger", files_per_batch).parquet(f"{head}/{{{name}}}"))
 
 
 def _started(questions: DataFrame, one_batch, checkpoint: str, trigger: dict | None) -> StreamingQuery:
@@ -110,5 +113,8 @@ def remembering_stream(questions: DataFrame, current: Callable[[], tuple[str, Ca
     return _started(questions, one_batch, checkpoint, trigger)
 
 
-def read_answers(spark: SparkSession, path: str) -> DataFrame:
+def read_answers(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """What was answered so far. With ``schema`` an empty table where no question had an answer."""
+    if schema is not None and not any(name.startswith("batch_id=") for name in folders(spark, path)):
+        return spark.createDataFrame([], schema)
     return spark.read.parquet(path).drop("batch_id")

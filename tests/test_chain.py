@@ -254,3 +254,20 @@ def test_whole_chain_runs_on_a_stream(spark, world, tmp_path):
     source = stream.question_stream(spark, inbox, "qid STRING, question STRING")
     stream.answer_stream(source, _chain(world), out, str(tmp_path / "mark")).awaitTermination()
     assert stream.read_answers(spark, out).first().output.startswith("Answer:\n Charcoal")
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_stream_reads_one_table_of_a_folder(spark, tmp_path, files):
+    table, out = str(tmp_path / "in" / "asked.parquet"), str(tmp_path / "out")
+    asked = spark.createDataFrame([("1", "charcoal"), ("2", "harbour")], "qid STRING, question STRING").repartition(files)
+    asked.write.parquet(table)
+    asked.write.parquet(str(tmp_path / "in" / "other.parquet"))
+    if files == 1:  # the table is one file
+        table = next(str(f) for f in (tmp_path / "in" / "asked.parquet").iterdir() if f.suffix == ".parquet")
+    source = stream.question_stream(spark, table, "qid STRING, question STRING")
+    stream.answer_stream(source, lambda b: b.select("qid"), out, str(tmp_path / "mark")).awaitTermination()
+    assert sorted(r.qid for r in stream.read_answers(spark, out).collect()) == ["1", "2"]
+
+
+def test_answers_of_an_empty_stream(spark, tmp_path):
+    assert stream.read_answers(spark, str(tmp_path / "none"), "qid STRING").count() == 0
