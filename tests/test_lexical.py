@@ -256,3 +256,22 @@ def test_fuzzy_searches_equal_brute_force(corpus, index, spark, how):
         assert [d for d, _ in added.get(qid, [])] == [d for d, _ in want]
         want = _brute(docs, q, {"text": 1.0}, 5, terms=near)
         assert [d for d, _ in single.get(qid, [])] == [d for d, _ in want]
+
+
+@pytest.mark.parametrize("kind", ["BIGINT", "STRING"])
+def test_many_terms_are_searched_in_passes(spark, index, monkeypatch, kind):
+    asked = spark.createDataFrame([(i, QUESTIONS[i % len(QUESTIONS)]) for i in range(200)], "qid BIGINT, question STRING")
+    asked = asked.withColumn("qid", asked.qid.cast(kind))
+    want = _by_question(lexical_search.multi_match(asked, index, k=2))
+
+    def joined(*_):
+        raise AssertionError("terms and postings were joined")
+    monkeypatch.setattr(lexical_search, "_match", joined)
+    assert want and _by_question(lexical_search.multi_match(asked, index, k=2, broadcast_limit=40_000)) == want
+
+
+def test_parts_follow_the_text(spark, corpus, monkeypatch):
+    assert lexical_index.PART_BYTES <= 16 << 20 and lexical_index.SLICE_ARTICLES <= 1_000_000
+    monkeypatch.setattr(lexical_index, "PART_BYTES", 100)
+    parts, slices, _ = lexical_index._layout(corpus[1], ("title", "text"), None)
+    assert parts > lexical_index.LEAST_PARTS and slices == 1
