@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import BROADCAST_LIMIT_BYTES, cut, pieces_of
-from ..sources.tables import read_table, table_exists, write_table
-from .knn import (CELL_ROWS, PARAGRAPHS_PER_QUESTION, SCORE_DIGITS, _block_best, _cells, _final, _matrix, _norms,
+from ..sources.tables import read_table, table_exists, union_all, write_table
+from .knn import (CELL_ROWS, GROUP_QUERIES, PARAGRAPHS_PER_QUESTION, SCORE_DIGITS, _block_best, _cells, _final, _matrix, _norms,
                   _types)
 from .topk import best_rows, whole
 
@@ -196,12 +196,17 @@ class _Carried:
         return self.spark.createDataFrame([], self._schema(index))
 
     def search(self, index: InvertedLists, near: list[np.ndarray], k: int) -> DataFrame:
-        """(qid, id, score): the best of each task in the lists ``near`` each query."""
+        """(qid, id, score): the best of each task in the lists ``near`` each query. What a task holds
+        follows a group of the queries, not all of them."""
+        return union_all([self._group(index, near[at:at + GROUP_QUERIES], k, at) for at in range(0, len(near), GROUP_QUERIES)])
+
+    def _group(self, index: InvertedLists, near: list[np.ndarray], k: int, at: int) -> DataFrame:
+        mine = slice(at, at + len(near))
         asked = np.repeat(np.arange(len(near)), [len(x) for x in near])
         lists = np.concatenate(near)
         order = np.argsort(lists, kind="stable")
         begin = np.searchsorted(lists[order], np.arange(len(index.centroids) + 1))
-        sent = self.spark.sparkContext.broadcast((self.ids, self.rows, self.norms, asked[order], begin))
+        sent = self.spark.sparkContext.broadcast((self.ids.take(pa.array(np.arange(at, at + len(near)))), self.rows[mine], self.norms[mine], asked[order], begin))
         keep = k * index.spill  # a hit may come once from each of its lists
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,19 +274,23 @@ def _dealt_with_lists(queries: DataFrame, index: InvertedLists, k: int, probes:
     small = InvertedLists(None, index.centroids, index.sizes, index.widths, index.spill)
     parts = np.array([pieces_of(s, cell_rows) for s in index.sizes.tolist()])
     first = np.r_[0, np.cumsum(parts)]  # cells of a list
+    sides = pieces_of(queries.count(), cell_rows)  # a list meets a bounded share of the queries at a time
     sent = queries.sparkSession.sparkContext.broadcast((small, first))
 
     def probing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         small, first = sent.value
         for batch in batches:
-            for i, lists in enumerate(_probes(_matrix(batch.column("qv")), small, k, probes) if batch.num_rows else ()):
-                cells = np.concatenate([np.arange(first[x], first[x + 1]) for x in lists.tolist()])
-                row = pa.array(np.full(len(cells), i))
-                yield pa.RecordBatch.from_arrays([batch.column("qid").take(row), batch.column("qv").take(row), pa.array(cells)],
-                                                 ["qid", "qv", "cell"])
+            if batch.num_rows:
+                cells = [np.concatenate([np.arange(first[x], first[x + 1]) for x in lists.tolist()])
+                         for lists in _probes(_matrix(batch.column("qv")), small, k, probes)]
+                row = pa.array(np.repeat(np.arange(len(cells)), [len(x) for x in cells]))
+                yield pa.RecordBatch.from_arrays([batch.column("qid").take(row), batch.column("qv").take(row),
+                                                  pa.array(np.concatenate(cells))], ["qid", "qv", "cell"])
 
     asked = queries.select("qid", "qv").mapInArrow(probing, f"qid {qid_type}, qv array<tinyint>, cell long")
     starts, counts = (F.array(*[F.lit(int(x)) for x in v]) for v in (first[:-1], parts))
     held = index.lists.withColumn("cell", F.get(starts, F.col("list")) + F.pmod(F.xxhash64("id"), F.get(counts, F.col("list"))))
-    held = held.withColumn("cell", F.col("cell").cast("long"))
+    held = held.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(sides - 1)),
+                                                         lambda side: (F.col("cell") * sides + side).cast("long"))))
+    asked = asked.withColumn("cell", F.col("cell") * sides + F.pmod(F.xxhash64("qid"), F.lit(sides)))
     return _cells(*(side.withColumn("part", F.col("cell")) for side in (asked, held)), k)

@@ -208,3 +208,32 @@ def test_ragged_vectors_are_left_out_and_counted(spark, tmp_path):
     assert (counts["dims"], counts["accepted"], counts["rejected"]) == (3, 6, 4)
     with pytest.raises(Exception, match="different lengths"):
         quantize.calibrate(floats).collect()
+
+
+def test_hits_of_a_task_follow_a_group_of_queries(spark, clustered, tmp_path, monkeypatch):
+    v, q = _bytes(spark, clustered).repartition(4), _bytes(spark, clustered[195:300], "qid")
+    index = inverted_lists.save_lists(v, str(tmp_path / "lists"))
+    want = set(_want(clustered[195:300], clustered, 5))
+    held = []
+
+    real = type(spark).sparkContext.fget
+    for module in (knn, inverted_lists):
+        monkeypatch.setattr(module, "GROUP_QUERIES", 40)
+    monkeypatch.setattr(type(spark), "sparkContext", property(lambda self: _Watched(real(self), held)))
+    found = [knn.exact_knn(q, v, 5), inverted_lists.search_lists(q, index, 5, probes=len(index.centroids)),
+             inverted_lists.exact_search(q, index, 5)[0]]
+    monkeypatch.undo()
+    assert all({(r.qid, r.id, r["rank"]) for r in rows.collect()} == want for rows in found)
+    assert held and max(len(value[0]) for value in held) <= 40
+
+
+class _Watched:
+    def __init__(self, context, held):
+        self.context, self.held = context, held
+
+    def broadcast(self, value):
+        self.held.append(value)
+        return self.context.broadcast(value)
+
+    def __getattr__(self, name):
+        return getattr(self.context, name)
