@@ -552,3 +552,15 @@ def test_pipeline_from_the_first_stage(spark, docs, nothing, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, str(tmp_path))
         assert empty.count() == 0
+
+
+def test_nbest_search_goes_on_through_the_whole_text(monkeypatch):
+    lattice = nbest_pieces.Lattice(*nbest_pieces.read_vocabulary())
+    texts = ["the kiln is warm today", "zzqx under, over!", "a", "un deux trois\nquatre cinq"]
+    # all segmentations of the undivided lattice in order
+    want = [[score for score, _ in lattice.paths(" " + t, lattice.nbest)] for t in texts]
+
+    def merged(*_):
+        raise AssertionError("scores were merged instead of searched")
+    monkeypatch.setattr(nbest_pieces.heapq, "nsmallest", merged)
+    assert [scores for _, scores in lattice.texts(texts)] == want
