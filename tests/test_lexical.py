@@ -1,5 +1,6 @@
 """Keyword search against a plain Python computation, and its strategies against each other."""
 
+import inspect
 import math
 import random
 import re
@@ -275,3 +276,10 @@ def test_parts_follow_the_text(spark, corpus, monkeypatch):
     monkeypatch.setattr(lexical_index, "PART_BYTES", 100)
     parts, slices, _ = lexical_index._layout(corpus[1], ("title", "text"), None)
     assert parts > lexical_index.LEAST_PARTS and slices == 1
+
+
+def test_terms_are_not_gathered_in_one_task(spark, index, questions):
+    terms = lexical_search.weigh_terms(lexical_search.question_terms(questions), index, lexical_search.FIELD_WEIGHTS).cache()
+    held = lexical_search._fetched(terms, 1 << 20)
+    assert held.num_rows == terms.count() and lexical_search._fetched(terms, 128) is None
+    assert "limit(" not in inspect.getsource(lexical_search._fetched)
