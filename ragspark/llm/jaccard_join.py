@@ -72,7 +72,7 @@ def _packer(width: int, percent: int, buckets: int):
     return run
 
 
-_MEMBERS = "sid long, n int, least long, tokens binary"
+MEMBERS = "sid long, n int, least long, tokens binary"
 
 
 def _reader(width: int):
@@ -238,19 +238,9 @@ def _visit(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
             .applyInArrow(frugal_cogroup(_visitor(percent)), "a long, b long"))
 
 
-def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5,
-                       percent: int = 75) -> DataFrame:
-    """Per document: ``doc_id, n_shingles, component_id`` (smallest id reachable by links)."""
-    docs = docs.select(known_id(id_column).alias("id"), F.col(text_column).alias("text"))
-    # about six bytes of text a shingle; half of the shingles are sent
-    buckets = min(pieces(text_bytes(docs), 12 * BUCKET_KEYS), 32_000)
-    sets = stored(settled(docs.mapInArrow(frugal(_packer(width, percent, buckets)), PACKED)), "jaccard-sets")
-    sets = sets.select(F.col("a").alias("id"), F.col("b").alias("sid"), F.col("c").cast("int").alias("n"), "open")
-    firsts = sets.where("n > 0").groupBy("sid", "n").agg(F.min("id").alias("id"), F.max("open").alias("open"))
-
-    wanted = firsts.where("open").select("id", "sid")
-    read = docs.join(sized(wanted, ["id", "sid"], 16 << 20), "id").select("id", "sid", "text")
-    members = stored(read.mapInArrow(frugal(_reader(width)), _MEMBERS), "jaccard-members")
+def set_components(members: DataFrame, percent: int) -> DataFrame:
+    """``sid, comp``: components of every link among ``members(sid, n, least, tokens)``, named by one of their
+    sets. ``tokens`` are sorted 64-bit shingles without repeats, ``least`` the first of them."""
     sketch = _sketch(members)
     hot = (members.groupBy("least").agg(F.ceil(F.sum("n") / GROUP_TOKENS).cast("int").alias("parts"))
            .where("parts > 1"))
@@ -280,8 +270,24 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     tagged = groups.join(family.select("gid", F.col("family.gid").alias("family")), "gid", "left")
     found = components(near.unionByName(_visit(pairs, tagged, percent)))
 
-    label = (groups.select("sid", "gid").join(found.withColumnRenamed("node", "gid"), "gid", "left")
-             .select("sid", F.coalesce("component", "gid").alias("comp")).distinct())
+    return (groups.select("sid", "gid").join(found.withColumnRenamed("node", "gid"), "gid", "left")
+            .select("sid", F.coalesce("component", "gid").alias("comp")).distinct())
+
+
+def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5,
+                       percent: int = 75) -> DataFrame:
+    """Per document: ``doc_id, n_shingles, component_id`` (smallest id reachable by links)."""
+    docs = docs.select(known_id(id_column).alias("id"), F.col(text_column).alias("text"))
+    # about six bytes of text a shingle; half of the shingles are sent
+    buckets = min(pieces(text_bytes(docs), 12 * BUCKET_KEYS), 32_000)
+    sets = stored(settled(docs.mapInArrow(frugal(_packer(width, percent, buckets)), PACKED)), "jaccard-sets")
+    sets = sets.select(F.col("a").alias("id"), F.col("b").alias("sid"), F.col("c").cast("int").alias("n"), "open")
+    firsts = sets.where("n > 0").groupBy("sid", "n").agg(F.min("id").alias("id"), F.max("open").alias("open"))
+
+    wanted = firsts.where("open").select("id", "sid")
+    read = docs.join(sized(wanted, ["id", "sid"], 16 << 20), "id").select("id", "sid", "text")
+    members = stored(read.mapInArrow(frugal(_reader(width)), MEMBERS), "jaccard-members")
+    label = set_components(members, percent)
     classed = firsts.join(label, "sid", "left").select(
         "sid", "n", "id", F.coalesce("comp", "sid").alias("comp"), F.col("comp").isNotNull().alias("grouped"))
     names = classed.groupBy("grouped", "comp").agg(F.min("id").alias("name"))

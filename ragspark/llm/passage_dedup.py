@@ -7,9 +7,10 @@ recurs in other surroundings falls into the same paragraphs but for its ends. Pa
 
 1. Each paragraph has one band key for each of the bands that ``tune_bands`` asks for. One packed
    shuffle (``repeats``) drops the paragraphs whose keys occur nowhere else.
-2. Equal paragraphs count as one from here on. Those that share a band key are joined: in keys with
-   up to ``FULL`` distinct paragraphs each with each, in others through pairs of keys, and through
-   the smallest paragraph of what is still larger. Exact Jaccard similarity >= 0.75 makes a link.
+2. Equal paragraphs count as one from here on. Those that share a band key with up to ``FULL`` distinct
+   paragraphs are compared each with each. All paragraphs of larger keys go through the token-group
+   matrix of ``jaccard_join``, which finds every link among them without forming their pairs. Exact
+   Jaccard similarity >= 0.75 makes a link.
 3. Components of the links are clusters; in each the first occurrence (smallest id, then place)
    stays and the rest is marked for removal.
 
@@ -30,11 +31,12 @@ from pyspark.sql import functions as F
 from ..session import sized
 from .common import (_BASE, components, distinct, known_id, mix, pieces, public_id, signed, slices, stored, text_bytes,
                      words_of)
+from .jaccard_join import MEMBERS, set_components
 from .repeats import BUCKET_KEYS, PACKED, pack, settled
 
 REACH, SHORTEST, WIDTH = 5, 8, 5
 THRESHOLD, RECALL = 75, 0.999
-#: Distinct paragraphs of a band key that are all compared with each other.
+#: Distinct paragraphs of a band key that are paired; those of larger keys meet in the matrix.
 FULL = 32
 _ITEMS = 60_000
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -131,24 +133,25 @@ def _reader(bands: int, rows: int):
     return run
 
 
-def _collisions(contents: DataFrame) -> DataFrame:
-    """Candidate pairs ``a < b`` of distinct paragraphs that share a band key."""
-    def split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        sizes = rows.groupBy("key").agg(F.count("*").alias("k"), F.min("cid").alias("lead")).where("k > 1")
-        rows = rows.join(sizes, "key")
-        small = rows.where(F.col("k") <= FULL).select("key", F.col("cid").alias("a"))
-        pairs = small.join(small.withColumnRenamed("a", "b"), "key").where("a < b").select("a", "b")
-        return pairs, rows.where(F.col("k") > FULL)
+def _collisions(contents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs ``a < b`` of distinct paragraphs that share a band key of up to ``FULL`` of them, and the
+    paragraphs ``cid`` of larger keys."""
+    rows = stored(contents.select("cid", F.explode("keys").alias("key")), "passage-keys")
+    sizes = rows.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
+    rows = rows.join(sizes, "key")
+    small = rows.where(F.col("k") <= FULL).select("key", F.col("cid").alias("a"))
+    pairs = small.join(small.withColumnRenamed("a", "b"), "key").where("a < b").select("a", "b").distinct()
+    return pairs, rows.where(F.col("k") > FULL).select("cid").distinct()
 
-    rows = stored(contents.select("cid", F.explode("keys").alias("key"), "keys"), "passage-keys")
-    pairs, large = split(rows.select("key", "cid"))
-    two = large.select("key", "cid").join(contents.select("cid", F.explode("keys").alias("other")), "cid")
-    two = stored(two.where("other <> key").select(
-        F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "cid").distinct(), "passage-pairs-of-keys")
-    more, rest = split(two)
-    stars = rest.where("cid <> lead").select(F.col("lead").alias("a"), F.col("cid").alias("b"))
-    stars = stars.unionByName(large.where("cid <> lead").select(F.col("lead").alias("a"), F.col("cid").alias("b")))
-    return pairs.unionByName(more).unionByName(stars).distinct()
+
+def _members(batches):
+    """Paragraphs as the sets of ``set_components``."""
+    for batch in batches:
+        column = batch.column("shingles")
+        sets = [signed(np.asarray(column[i].values)) for i in range(len(column))]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("cid"), batch.column("n"), pa.array([s[0] for s in sets], pa.int64()),
+             pa.array([s.tobytes() for s in sets], pa.binary())], names=["sid", "n", "least", "tokens"])
 
 
 def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
@@ -167,14 +170,17 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: s
     size = wanted.agg(F.coalesce(F.sum(F.lit(32) + 8 * F.size("wanted")), F.lit(0)).alias("n")).first()["n"]
     read = docs.join(F.broadcast(wanted) if size <= 24 << 20 else wanted, "id").select("text", "wanted")
     contents = stored(read.mapInArrow(_reader(bands, rows), _CONTENTS).dropDuplicates(["cid"]), "passage-contents")
-    pairs = _collisions(contents)
+    pairs, crowd = _collisions(contents)
     sets = contents.select("cid", "n", "shingles")
     judged = (pairs.join(sets.select(F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("s_a")), "a")
               .join(sets.select(F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("s_b")), "b")
               .where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
               .withColumn("k", F.size(F.array_intersect("s_a", "s_b")))
               .where(f"100 * k >= {percent} * (n_a + n_b - k)"))
-    found = components(judged.select("a", "b"))
+    members = stored(contents.join(sized(stored(crowd, "passage-crowd"), ["cid"], 16 << 20), "cid").select("cid", "n", "shingles")
+                     .mapInArrow(_members, MEMBERS), "passage-members")
+    crowded = set_components(members, percent).select(F.col("sid").alias("a"), F.col("comp").alias("b"))
+    found = components(judged.select("a", "b").unionByName(crowded))
     placed = (seen.join(found.withColumnRenamed("node", "cid"), "cid", "left")
               .select("id", "at", "n", F.coalesce("component", "cid").alias("cluster")))
     heads = (placed.groupBy("cluster").agg(F.count("*").alias("k"), F.min(F.struct("id", "at")).alias("first"))

@@ -400,6 +400,24 @@ def test_passages(docs):
     assert len(key) == len(set(key))
 
 
+def test_passages_of_a_crowded_key(spark):
+    """Two hundred pairs of near copies that all share two thirds of their words, and so their band keys."""
+    import numpy as np
+    import pyarrow as pa
+    from ragspark.llm import common
+    words = [f"w{i}" for i in range(6_000)]
+    hashes = common.words_of(pa.array([" ".join(words)])).hashes
+    words = [words[i] for i in np.argsort(hashes)]  # a text in this order is one paragraph
+    core, rng, texts = words[:600:30], np.random.default_rng(3), []
+    for _ in range(200):
+        own = np.sort(rng.choice(np.arange(3_000, 6_000), 11, replace=False))
+        texts += [" ".join(core + [words[i] for i in chosen]) for chosen in (own[:10], np.r_[own[:9], own[10]])]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert len(passage_dedup.Paragraphs(pa.array(texts)).size) == len(texts)
+    got = {r["doc_id"]: r["cluster_doc_id"] for r in passage_dedup.repeated_passages(docs).collect()}
+    assert got == {i: i - i % 2 for i in range(len(texts))}
+
+
 def test_bands():
     bands, rows = passage_dedup.tune_bands(75, 0.999)
     assert 1 - (1 - 0.75 ** rows) ** bands >= 0.999
