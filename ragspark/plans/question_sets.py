@@ -9,15 +9,17 @@ from ..functions.generation import QUESTION_WRITING, Factory, Sampling, generate
 from ..functions.json_lines import parse_object, parse_questions, has_question_shape, valid_questions
 from ..functions.prompts import essay_prompt, retrieval_prompt
 from ..functions.text import sentences, tokens, windows
-from ..operators.lexical_index import LexicalIndex
-from ..session import cut
+from ..operators.lexical_index import LexicalIndex, posting_rows
+from ..session import cut, fits_broadcast, parallel, pieces_of
 from ..sources.articles import prefix_rows
-from ..sources.tables import write_json_lines
+from ..sources.tables import union_all, write_json_lines
 from .reading import SCORE_DIGITS, rarity
 
 # Pieces between blanks of an article that one prompt holds, and shares with the one before.
 PROMPT_WORDS = 3000
 PROMPT_OVERLAP = 100
+# Postings that one task sorts by article.
+TASK_POSTINGS = 1 << 20
 GAP = "____"
 ESSAY_TERMS = 3
 
@@ -49,13 +51,24 @@ def essay_questions(articles: DataFrame, factory: Factory, n: int | None = None,
 def telling_terms(index: LexicalIndex, n: int, field: str = "text") -> DataFrame:
     """(article_id, terms): the ``n`` words of each article with the highest tf x idf, best first.
 
-    Only the best of a task are shuffled (``WindowGroupLimit``); ties go to the smaller word.
+    Frequencies join the blocks, before postings become rows. Those are shuffled once, by article, into as
+    many tasks as their counted number asks for; ties go to the smaller word.
     """
     from pyspark.sql.window import Window as W
-    weighed = (index.postings.where(F.col("field") == field)
-               .join(index.doc_freq.where(F.col("field") == field).select("term", "df"), "term")
-               .withColumn("n", index.stats.where(F.col("field") == field).select("n").scalar())
-               .select("article_id", "term", F.round(F.col("tf") * rarity(F.col("df"), F.col("n")), SCORE_DIGITS).alias("weight")))
+    known = index.doc_freq.where(F.col("field") == field).select("term", "df")
+    tasks = max(pieces_of(known.agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n")).first()["n"], TASK_POSTINGS),
+                parallel(known.sparkSession))
+    few = fits_broadcast(known, ["term", "df"])
+    known = F.broadcast(known) if few else known.repartition(tasks, "term")
+
+    def weighable(blocks: DataFrame) -> DataFrame:
+        held = blocks.where(F.col("field") == field)
+        return posting_rows((held if few else held.repartition(tasks, "term")).join(known, "term"), "df")
+
+    rows = union_all([index.live(s, weighable(s.blocks)) for s in index.segments])
+    weighed = (rows.withColumn("n", index.stats.where(F.col("field") == field).select("n").scalar())
+               .select("article_id", "term", F.round(F.col("tf") * rarity(F.col("df"), F.col("n")), SCORE_DIGITS).alias("weight"))
+               .repartition(tasks, "article_id"))
     order = W.partitionBy("article_id").orderBy(F.desc("weight"), "term")
     best = weighed.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= n)
     ordered = F.array_sort(F.collect_list(F.struct("nth", "term")))  # at most n
@@ -65,10 +78,11 @@ def telling_terms(index: LexicalIndex, n: int, field: str = "text") -> DataFrame
 def cloze_questions(articles: DataFrame, index: LexicalIndex) -> DataFrame:
     """(article_id, question, answer): of each article the first sentence with its most telling word,
     which is left out and asked for."""
+    cut_up = F.transform(sentences(F.col("text")), lambda s, no: F.struct(no.alias("no"), tokens(s).alias("words")))
+    held = F.get(F.filter(cut_up, lambda s: F.array_contains(s["words"], F.col("answer"))), F.lit(0))
     spans = (articles.join(telling_terms(index, 1), "article_id")
-             .select("article_id", F.get("terms", F.lit(0)).alias("answer"), F.posexplode(sentences(F.col("text"))).alias("no", "span"))
-             .withColumn("words", tokens(F.col("span"))).where(F.array_contains("words", F.col("answer"))))
-    first = spans.groupBy("article_id").agg(F.min(F.struct("no", "words", "answer")).alias("s"))
+             .withColumn("answer", F.get("terms", F.lit(0))).withColumn("span", held).where("span is not null"))
+    first = spans.groupBy("article_id").agg(F.min(F.struct("span.no", "span.words", "answer")).alias("s"))
     gapped = F.transform("s.words", lambda w: F.when(w == F.col("s.answer"), GAP).otherwise(w))
     return first.select("article_id", F.array_join(gapped, " ").alias("question"), F.col("s.answer").alias("answer"))
 

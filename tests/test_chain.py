@@ -181,6 +181,22 @@ def test_question_sets_from_the_articles(spark, world):
     assert essays["1"].endswith(" belong together in Anarchy?") and essays["1"].count(",") == 2
 
 
+def test_telling_terms_spread_with_the_postings(spark, world, monkeypatch):
+    """Tasks follow the counted postings, not the session's partitions, and the words stay the same."""
+    index = world[1]
+
+    def told():
+        found = question_sets.telling_terms(index, 3)
+        return found.rdd.getNumPartitions(), sorted(map(tuple, found.collect()))
+    held = index.postings.where("field = 'text'").count()
+    _, usual = told()
+    monkeypatch.setattr(question_sets, "TASK_POSTINGS", 1, raising=False)
+    tasks, few = told()
+    assert tasks == held > 8 and few == usual
+    monkeypatch.setattr(question_sets, "fits_broadcast", lambda *_: False, raising=False)
+    assert told() == (held, usual)
+
+
 def test_stream_equals_batch_and_resumes(spark, world, tmp_path):
     _, lexical, _ = world
     inbox, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
