@@ -56,3 +56,10 @@ def test_query_equals_twin(spark, duck, name):
     columns = [c[0] for c in want.description]
     assert sorted(columns) == sorted(df.columns)
     assert _rows(df.columns, got) == _rows(columns, want.fetchall())
+
+
+def test_lsh_asks_for_every_fiftieth_vector(spark):
+    exact = {(r.qid, r.id): r.score for r in QUERIES["knn_int8"](spark, FOLDER).where("qid % 50 = 0").collect()}
+    got = {(r.qid, r.id): r.score for r in QUERIES["knn_lsh"](spark, FOLDER).collect()}
+    assert {q for q, _ in got} == {q for q, _ in exact} and exact
+    assert sum(got.get(pair) == score for pair, score in exact.items()) >= 0.95 * len(exact)
