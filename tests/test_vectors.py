@@ -108,6 +108,25 @@ def test_every_vector_finds_itself(spark, matrix):
     assert {r.nearest_id for r in rows if 99 <= r.id < 250} == {99}
 
 
+def test_a_floor_keeps_every_hit():
+    """Blocks after the first score only what may reach the k-th score so far; ties and zero vectors stay."""
+    import pyarrow as pa
+    from ragspark.operators.topk import best_rows
+    rng = np.random.default_rng(4)
+    data = rng.integers(-128, 128, (900, 64)).astype(np.float32)
+    data[::7], data[450:460] = data[3], 0
+    asked, ids = np.r_[data[:40], data[455:456]], pa.array(np.arange(900))
+    norms, best, scored = knn._norms(asked), None, 0
+    for at in range(0, 900, 100):
+        floor = None if best is None else knn._floor(best, len(asked), 10)
+        new = knn._block_best(asked, norms, data[at:at + 100], ids.slice(at, 100), 10, floor)
+        scored += new.num_rows if at else 0
+        best = best_rows(new if best is None else pa.concat_tables([best, new]), 10)
+    assert best.to_pylist() == best_rows(knn._block_best(asked, norms, data, ids, 10), 10).to_pylist()
+    assert scored < 41 * 800 / 4
+    assert (knn._floor(best.slice(0, 8), 41, 10) == -2).all()
+
+
 def test_approximate_is_exact_within_buckets(spark, matrix):
     rng = np.random.default_rng(6)
     centers = rng.integers(-100, 100, (20, 24))
