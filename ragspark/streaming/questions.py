@@ -96,12 +96,13 @@ def remembering_stream(questions: DataFrame, current: Callable[[], tuple[str, Ca
         if known is not None:
             known = cut(known.join(sized(distinct, ["key", "question"]), ["key", "question"], "left_semi"))
             new = distinct.join(sized(known.select("key", "question"), ["key", "question"]), ["key", "question"], "left_anti")
-        # the question itself names the row that is searched
-        found = retrieve(cut(new).select(F.col("question").alias("qid"), "question")).withColumnRenamed("qid", "question")
-        columns = [c for c in found.columns if c != "question"]
-        hits = found.groupBy("question").agg(F.collect_list(F.struct(*columns)).alias("found"))  # at most k
+        # a number names the row that is searched: a search holds it next to each term
+        new = cut(new.withColumn("number", F.monotonically_increasing_id()))
+        found = retrieve(new.select(F.col("number").alias("qid"), "question")).withColumnRenamed("qid", "number")
+        columns = [c for c in found.columns if c != "number"]
+        hits = found.groupBy("number").agg(F.collect_list(F.struct(*columns)).alias("found"))  # at most k
         empty = F.array().cast(hits.schema["found"].dataType)
-        told = new.join(hits, "question", "left").select("key", "question", F.coalesce("found", empty).alias("found"))
+        told = new.join(hits, "number", "left").select("key", "question", F.coalesce("found", empty).alias("found"))
         entry = f"{state}/batch={batch_id}"
         (told.select("key", "question", "found", F.lit(version).alias("version"), F.lit(batch_id).alias("batch_id"))
          .write.mode("overwrite").parquet(entry))
